@@ -95,15 +95,18 @@ class PieceModel:
         is a symbol (a character without a piece: its bytes), and each merge
         takes one away.  A heap entry is rank * 2**32 + left position; it is
         stale if the pair that now starts there has another rank."""
-        rank = self.rank.get
-        left = n = len(text)
+        left = len(text)
         if not self.characters.issuperset(text):
             left = sum(1 if c in self.characters else len(c.encode()) for c in text)
+        return left - self._merge(list(text), text)
+
+    def _merge(self, sym: list[str], text: str) -> int:
+        """Merge the characters of ``text``, listed in ``sym``, in place (a
+        symbol that was merged away becomes empty); the number of merges."""
+        rank = self.rank.get
+        merges, n = 0, len(sym)
         heap = [r << 32 | i for i, r in enumerate(map(rank, map(str.__add__, text, text[1:]))) if r is not None]
-        if not heap:
-            return left
         heapify(heap)
-        sym = list(text)
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
         while heap:
@@ -115,7 +118,7 @@ class PieceModel:
             merged = sym[i] + sym[j]
             if rank(merged) != entry >> 32:
                 continue
-            left -= 1
+            merges += 1
             sym[i] = merged
             sym[j] = ""
             k = after[i] = after[j]
@@ -129,7 +132,7 @@ class PieceModel:
                 r = rank(sym[h] + merged)
                 if r is not None:
                     heappush(heap, r << 32 | h)
-        return left
+        return merges
 
     def safe_parts(self, text: str) -> list[str]:
         """``text`` cut wherever no piece holds the two characters in a row,
@@ -138,10 +141,12 @@ class PieceModel:
         cuts = [i for i, pair in enumerate(map(str.__add__, text, text[1:]), 1) if pair not in inside]
         return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
 
-    def merges_across(self, left: str, right: str) -> bool:
-        """Whether merging ``left + right`` joins symbols over the seam (then
-        the two pieces never stand side by side in an encoding)."""
-        return self.count(left + right) != 2
+    def beside(self, left: str, right: str) -> bool:
+        """Whether the two pieces may stand side by side in an encoding: merging
+        ``left + right`` gives them back."""
+        sym = list(left + right)
+        self._merge(sym, left + right)
+        return [x for x in sym if x] == [left, right]
 
 
 def load(path: str) -> bytes:

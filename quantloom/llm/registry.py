@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quantloom.llm import token_counts
+from quantloom.llm import sentencepiece_codec, simhash, token_counts
 
-_MODULES = (token_counts,)
+_MODULES = (sentencepiece_codec, simhash, token_counts)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _module in _MODULES:
