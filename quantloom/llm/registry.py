@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quantloom.llm import sentencepiece_codec, simhash, substring_dedup, token_counts
+from quantloom.llm import embedding_dedup, sentencepiece_codec, simhash, substring_dedup, token_counts
 
-_MODULES = (sentencepiece_codec, simhash, substring_dedup, token_counts)
+_MODULES = (embedding_dedup, sentencepiece_codec, simhash, substring_dedup, token_counts)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _module in _MODULES:
