@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quantloom.llm import embedding_dedup, sentencepiece_codec, simhash, substring_dedup, token_counts, topk_search
+from quantloom.llm import chat_format, embedding_dedup, sentencepiece_codec, simhash, substring_dedup, token_counts, topk_search
 
-_MODULES = (embedding_dedup, sentencepiece_codec, simhash, substring_dedup, token_counts, topk_search)
+_MODULES = (chat_format, embedding_dedup, sentencepiece_codec, simhash, substring_dedup, token_counts, topk_search)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _module in _MODULES:
