@@ -1,12 +1,76 @@
-"""Corpus pipeline (stages are added with their operators)."""
+"""Corpus pipeline: toxicity, language, near-duplicates, passages, packing.
+
+``STAGES`` lists (name, function); a function takes ``(spark, docs, sf_dir)``,
+works on every row of ``docs`` and returns the columns of documents (the last:
+one row per piece of a document with its bin).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quantloom.llm import language_id, packing, simhash, substring_dedup, toxicity
+from quantloom.llm.shared import materialize, read
+
+#: A document whose best language is no likelier than this is rejected.
+LEAST_LANGUAGE_SCORE = 0.3
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents below the toxicity threshold."""
+    classifier = toxicity.fit(spark, docs, read(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, classifier)
+    return scored.filter(F.col("toxic_score") < toxicity.THRESHOLD).select(*docs.columns)
+
+
+def reject_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language: not null, not without letters, and likelier
+    in one learnt language than ``LEAST_LANGUAGE_SCORE``."""
+    found = language_id.predict(docs, language_id.fit(spark, docs))
+    sure = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("lang_score") > LEAST_LANGUAGE_SCORE)
+    return found.filter(sure).select(*docs.columns)
+
+
+def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents that share four fifths of their five-word
+    shingles, the one with the smallest doc_id (rows without one stay)."""
+    found = simhash.similar_documents(spark, docs)
+    drop = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__ql_drop")).distinct()
+    kept = docs.join(drop, F.col("doc_id") == F.col("__ql_drop"), "left_anti")
+    return kept.select(*docs.columns)
+
+
+def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that a smaller doc_id holds too; a
+    document of which nothing is left goes.  ``n_chars`` follows the text."""
+    found = substring_dedup.remove_repeats(spark, docs, changed_only=True)
+    left = found.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return left.withColumn("n_chars", n_chars).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's pieces with their bins."""
+    return packing.pack_documents(spark, docs)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("language", reject_unknown_language),
+    ("simhash", keep_one_of_similar),
+    ("substring", remove_passages),
+    ("packing", pack),
+]
 
-STAGES: list = []
+#: The stages learn models and pack greedily; SQL cannot express them.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = materialize(spark, docs, f"stage-{name}")
+    return docs

@@ -34,26 +34,38 @@ from quantloom.llm.components import connected_components
 from quantloom.llm.shared import binary_values, discard, local_components, materialize, parts, read, sorted_groups
 
 SHINGLE, BITS_APART, SEED = 3, 2, 42
-#: Distinct fingerprints in a shard, children of a node, queries searched at once.
-SHARD, FANOUT, AT_ONCE = 4096, 8, 2048
+#: Distinct fingerprints in a shard (of 64 bits, of more), children of a node.
+SHARD, WIDE_SHARD, FANOUT = 4096, 65_536, 8
+#: Queries searched at once, and (query, node) pairs held at once.
+AT_ONCE, FRONTIER = 2048, 1 << 21
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """64-bit SimHash: a bit is 1 if it is set in over half the shingles'
+def fingerprint(text: bytes | None, shingle: int = SHINGLE, n_words: int = 1) -> list[int]:
+    """SimHash of 64 bits: a bit is 1 if it is set in over half the shingles'
     XXH64.  Words are runs of bytes other than ASCII white space; A-Z are
-    lower-cased."""
+    lower-cased.  Further words of 64 bits come from mixing the same hashes."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return [0] * n_words
     joined = b" ".join(words)
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, SEED)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist(), strict=False)]
-    return majority(np.array(hashes, np.uint64))
+    if len(words) <= shingle:
+        hashes = [digest(joined, SEED)]
+    else:
+        ends = np.cumsum([len(w) + 1 for w in words]) - 1
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist(), strict=False)]
+    first = np.array(hashes, np.uint64)
+    return [majority(first if k == 0 else mixed(first, k)) for k in range(n_words)]
+
+
+def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Another 64 bits from each hash."""
+    h = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -88,108 +100,159 @@ class GrayIndex:
             shared = np.bitwise_and.reduceat(mask & code, at) | np.bitwise_and.reduceat(mask & ~code, at)
             self.levels.insert(0, (shared, code[at] & shared))
 
-    def search(self, queries: np.ndarray, apart: int) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, queries: np.ndarray, apart: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs (query, position in the indexed array) of at most ``apart``
-        differing bits."""
-        query = np.arange(len(queries))
-        node = np.zeros(len(queries), np.int64)
-        apart_so_far = np.zeros(len(queries), np.int64)
-        above: np.ndarray | None = None
-        for depth, (mask, code) in enumerate(self.levels):
-            if depth:
-                child = node[:, None] * self.fanout + np.arange(self.fanout)
-                inside = child < len(mask)
-                width = inside.sum(axis=1)
-                query, apart_so_far = np.repeat(query, width), np.repeat(apart_so_far, width)
-                parent, node = np.repeat(node, width), child[inside]
-                fixed = mask[node] & ~above[parent]
-            else:
-                fixed = mask[node]
-            apart_so_far = apart_so_far + np.bitwise_count((queries[query] ^ code[node]) & fixed)
-            keep = apart_so_far <= apart
-            query, node, apart_so_far = query[keep], node[keep], apart_so_far[keep]
-            above = mask
-        return query, self.order[node]
-
-
-def _shard_links(own: np.ndarray, own_ids: np.ndarray, guest: np.ndarray, guest_ids: np.ndarray, apart: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest, as pairs of ids, of the links within ``own`` and
-    between ``own`` and ``guest``."""
-    index = GrayIndex(own)
-    codes, ids = np.concatenate([own, guest]), np.concatenate([own_ids, guest_ids])
+        differing bits, so many at a time that memory stays bounded."""
+        mask, code = self.levels[0]
+        root = np.bitwise_count((queries ^ code[0]) & mask[0]).astype(np.int64)
+        start = np.flatnonzero(root <= apart)
+        todo = [(0, start, np.zeros(len(start), np.int64), root[start])]
+        while todo:
+            depth, query, node, sum_ = todo.pop()
+            if depth == len(self.levels) - 1:
+                if len(query):
+                    yield query, self.order[node]
+                continue
+            if len(query) * self.fanout > FRONTIER and len(query) > 1:
+                half = len(query) // 2
+                todo += [(depth, query[half:], node[half:], sum_[half:]), (depth, query[:half], node[:half], sum_[:half])]
+                continue
+            (above, _), (mask, code) = self.levels[depth], self.levels[depth + 1]
+            child = node[:, None] * self.fanout + np.arange(self.fanout)
+            inside = child < len(mask)
+            width = inside.sum(axis=1)
+            parent, child = np.repeat(node, width), child[inside]
+            query = np.repeat(query, width)
+            more = np.bitwise_count((queries[query] ^ code[child]) & mask[child] & ~above[parent])
+            sum_ = np.repeat(sum_, width) + more
+            keep = sum_ <= apart
+            todo.append((depth + 1, query[keep], child[keep], sum_[keep]))
+
+
+def _shard_links(codes: np.ndarray, words: np.ndarray, ids: np.ndarray, own: np.ndarray, apart: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, as pairs of ids, of the links between the ``own``
+    rows and all rows of a shard: at most ``apart`` bits between the indexed
+    ``codes`` and at most ``limit`` between the whole ``words``."""
+    home = np.flatnonzero(own)
+    index = GrayIndex(codes[home])
     label = np.arange(len(codes))
     for at in range(0, len(codes), AT_ONCE):
-        q, hit = index.search(codes[at : at + AT_ONCE], apart)
-        q = q + at
-        keep = q != hit
-        q, hit = label[q[keep]], label[hit[keep]]
-        # Merged at once, so that at most one chunk's pairs are held.
-        label = local_components(len(codes), np.concatenate([q, np.arange(len(label))]), np.concatenate([hit, label]))
+        for q, hit in index.search(codes[at : at + AT_ONCE], apart):
+            q, hit = q + at, home[hit]
+            new = label[q] != label[hit]  # else already known to be joined
+            q, hit = q[new], hit[new]
+            if words.shape[1] > 1:
+                near = np.bitwise_count(words[q] ^ words[hit]).sum(axis=1, dtype=np.int64) <= limit
+                q, hit = q[near], hit[near]
+            if len(q):
+                q, hit = label[q], label[hit]
+                label = local_components(len(codes), np.concatenate([q, np.arange(len(label))]), np.concatenate([hit, label]))
     linked = np.flatnonzero(label != np.arange(len(label)))
     return ids[linked], ids[label[linked]]
 
 
-def links(spark: SparkSession, nodes: DataFrame, n_nodes: int, apart: int = BITS_APART) -> DataFrame:
-    """``nodes``: distinct ``fp`` (long) with ``rep`` (long).  Pairs ``a``,
-    ``b`` of reps that span the same components as all links do."""
+def links(spark: SparkSession, nodes: DataFrame, n_nodes: int, n_words: int = 1, apart: int = BITS_APART, limit: int = BITS_APART, band: int = 64) -> DataFrame:
+    """``nodes``: ``rep`` (long) and ``words`` (array of ``n_words`` longs, the
+    bits of the fingerprint), distinct.  Indexes each band of ``band`` bits with
+    radius ``apart`` and keeps pairs of at most ``limit`` differing bits in all.
+    Pairs ``a``, ``b`` of reps that span the same components as all links."""
+    bands = 64 * n_words // band
+    most = SHARD if n_words == 1 else WIDE_SHARD
     depth = 0
-    while n_nodes >> depth > SHARD and depth < 24:
+    while n_nodes >> depth > most and depth < band:
         depth += 1
     # Shard (leading bits of the code) and rank order agree: Gray code maps prefixes to prefixes.
     flips = [sum(1 << b for b in some) for k in range(min(apart, depth) + 1) for some in combinations(range(depth), k)]
 
+    def band_codes(words: np.ndarray) -> Iterator[np.ndarray]:
+        bits = np.unpackbits(words.astype(">u8").view(np.uint8).reshape(len(words), -1), axis=1)
+        for k in range(bands):
+            code = np.zeros((len(words), 64), np.uint8)
+            code[:, :band] = bits[:, k * band : (k + 1) * band]
+            yield np.packbits(code, axis=1).view(">u8").ravel().astype(np.uint64)
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shift = np.uint64(64 - depth)
         for batch in batches:
-            fp = batch.column(0).to_numpy().astype(np.int64)
-            rep = batch.column(1).to_numpy().astype(np.int64)
-            home = (fp.view(np.uint64) >> shift).astype(np.int64) if depth else np.zeros(len(fp), np.int64)
-            for flip in flips:
-                there = home ^ flip
-                # Each pair of shards meets in the one with the larger number.
-                some = there >= home
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(there[some]), pa.array(fp[some]), pa.array(rep[some]), pa.array(np.full(int(some.sum()), flip == 0))],
-                    ["shard", "fp", "rep", "own"],
-                )
+            if not batch.num_rows:
+                continue
+            rep, lists = batch.column(0).to_numpy(), batch.column(1)
+            words = lists.flatten().to_numpy().view(np.uint64).reshape(-1, n_words)
+            for k, code in enumerate(band_codes(words)):
+                home = (code >> np.uint64(64 - depth)).astype(np.int64) if depth else np.zeros(len(code), np.int64)
+                for flip in flips:
+                    there = home ^ flip
+                    # Each pair of shards meets in the one with the larger number.
+                    some = np.flatnonzero(there >= home)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array((k << 32) + there[some]),
+                            pa.array(code[some].view(np.int64)),
+                            pa.array(rep[some]),
+                            lists.take(pa.array(some)),
+                            pa.array(np.full(len(some), flip == 0)),
+                        ],
+                        ["shard", "code", "rep", "words", "own"],
+                    )
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, ["shard"]):
-            fp = group.column("fp").to_numpy().view(np.uint64)
-            rep = group.column("rep").to_numpy()
             own = group.column("own").to_numpy()
-            if own.any():
-                a, b = _shard_links(fp[own], rep[own], fp[~own], rep[~own], apart)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    n = parts(spark, n_nodes * len(flips) / 2, 250_000, spark.sparkContext.defaultParallelism)
-    dealt = nodes.select("fp", "rep").mapInArrow(deal, "shard long, fp long, rep long, own boolean")
+            if not own.any():
+                continue
+            words = group.column("words").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, n_words)
+            code = group.column("code").to_numpy().view(np.uint64)
+            a, b = _shard_links(code, words, group.column("rep").to_numpy(), own, apart, limit)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    n = parts(spark, n_nodes * bands * len(flips) / 2, 100_000, spark.sparkContext.defaultParallelism)
+    dealt = nodes.select("rep", "words").mapInArrow(deal, "shard long, code long, rep long, words array<long>, own boolean")
     return dealt.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(join, "a long, b long")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id`` (long) and ``fp`` (the 64 bits as a long) of each row."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, n_words: int = 1) -> DataFrame:
+    """``doc_id`` (long) and ``words`` (the fingerprint's bits, 64 to a long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = np.array([fingerprint(t, shingle) for t in binary_values(batch.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes.view(np.int64))], ["doc_id", "fp"])
+            codes = [fingerprint(t, shingle, n_words) for t in binary_values(batch.column(1))]
+            flat = np.array([w for c in codes for w in c], np.uint64).view(np.int64)
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(flat), n_words).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "words"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, "doc_id long, words array<long>")
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, apart: int = BITS_APART) -> DataFrame:
-    """``doc_id``, ``fp`` and ``component_id`` (smallest doc_id reachable over
-    links of at most ``apart`` differing bits) of every row of ``docs``."""
-    rows = materialize(spark, fingerprints(docs, shingle), "fingerprints")
-    nodes = materialize(spark, rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
+def _classes(spark: SparkSession, docs: DataFrame, shingle: int, n_words: int, **search) -> DataFrame:
+    rows = materialize(spark, fingerprints(docs, shingle, n_words), "fingerprints")
+    nodes = materialize(spark, rows.groupBy("words").agg(F.min("doc_id").alias("rep")), "nodes")
     known = nodes.dropna()
-    edges = materialize(spark, links(spark, known, nodes.count(), apart), "links")
+    edges = materialize(spark, links(spark, known, nodes.count(), n_words, **search), "links")
     label = connected_components(spark, edges)
     discard(spark, edges)
-    of = nodes.join(label, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return rows.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = nodes.join(label, F.col("rep") == F.col("node"), "left").select("words", F.coalesce("component", "rep").alias("component_id"))
+    return rows.join(of, "words").select("doc_id", "words", "component_id")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, apart: int = BITS_APART) -> DataFrame:
+    """``doc_id``, ``fp`` (64 bits as a long) and ``component_id`` (smallest
+    doc_id reachable over links of at most ``apart`` differing bits) of every
+    row of ``docs``."""
+    found = _classes(spark, docs, shingle, 1, apart=apart, limit=apart)
+    return found.select("doc_id", F.col("words")[0].alias("fp"), "component_id")
+
+
+def similar_documents(spark: SparkSession, docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``doc_id`` and ``component_id`` over links of about ``similarity`` or
+    more (shared part of all shingles).  That many shared shingles leave about
+    15 of 100 fingerprint bits different, which 64 bits cannot find or tell:
+    the fingerprint has 256, indexed by ten bands of 24 at ``BITS_APART``, and
+    pairs are kept up to two standard deviations beyond the expected bits."""
+    cosine = 2 * similarity / (1 + similarity)
+    differing = float(np.arccos(cosine) / np.pi)
+    limit = int(256 * differing + (256 * differing * (1 - differing)) ** 0.5)
+    found = _classes(spark, docs, shingle, 4, apart=BITS_APART, limit=limit, band=24)
+    return found.select("doc_id", "component_id")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
