@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
+from quantloom.plans import flow, price
+
+_MODULES = (price, flow)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+for _module in _MODULES:
+    QUERIES |= _module.QUERIES
+    ORACLE_SQL |= _module.ORACLE_SQL
