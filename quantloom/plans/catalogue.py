@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quantloom.plans import flow, price
+from quantloom.plans import flow, market, price
 
-_MODULES = (price, flow)
+_MODULES = (price, flow, market)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _module in _MODULES:
