@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quantloom.plans import flow, market, price
+from quantloom.plans import flow, market, models, price
 
-_MODULES = (price, flow, market)
+_MODULES = (price, flow, market, models)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _module in _MODULES:
