@@ -12,7 +12,7 @@ def cubic_roots(alpha: float, beta: float, tolerance: float = 1e-12) -> list[flo
     """Distinct real roots of y^3 - beta y - alpha, ascending: the scaled cubic
     in closed form, then Newton steps."""
     scale = max(abs(alpha) ** (1 / 3), math.sqrt(abs(beta)))
-    if scale == 0:
+    if scale < 1e-100:  # its cube would underflow
         return [0.0]
     a, b = alpha / scale**3, beta / scale**2
     disc = 4 * b**3 - 27 * a * a

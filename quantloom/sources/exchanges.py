@@ -20,16 +20,10 @@ from quantloom.schemas import EVENT, EVENT_TYPES, LEVELS, PRICE, QUANTITY, RATE
 PAIRS = "array<array<string>>"
 MS = 1_000_000
 
-#: What each venue's messages are read as (all scalars as text or integers).
+#: What venues' messages are read as.  Binance and Bybit use field names that
+#: differ only in case, which a struct cannot hold; they are read as VARIANT.
 SHAPES = {
-    "binance": f"e string, E long, s string, a string, p string, q string, T long, m boolean, U long, u long, pu long, b {PAIRS}, B string, A string, i string, r string, "
-    "lastUpdateId long, bids array<array<string>>, asks array<array<string>>, openInterest string, symbol string, time long, status int, msg string, o struct<s: string, S: string, q: string, p: string, ap: string, X: string, l: string, z: string, T: long>",
-    "binance_ticker": "u long, s string, b string, B string, a string, A string",
-    "binance_depth": f"e string, E long, s string, U long, u long, pu long, b {PAIRS}, a {PAIRS}",
-    "bybit": "topic string, type string, ts long, cts long, data string",
-    "bybit_book": f"s string, b {PAIRS}, a {PAIRS}, u long, seq long",
-    "bybit_trades": "array<struct<T: long, s: string, S: string, v: string, p: string, i: string, seq: long>>",
-    "bybit_ticker": "symbol string, markPrice string, indexPrice string, openInterest string, fundingRate string, nextFundingTime string",
+    "bybit": "topic string, type string, ts long, data string",
     "deribit": "method string, params struct<channel: string, data: string>",
     "deribit_book": f"type string, timestamp long, instrument_name string, change_id long, prev_change_id long, bids {PAIRS}, asks {PAIRS}",
     "deribit_trades": "array<struct<trade_id: string, timestamp: long, price: string, amount: string, direction: string, instrument_name: string, iv: string>>",
@@ -40,6 +34,15 @@ SHAPES = {
 }
 
 
+def _reader(column: str):
+    """Fields of a VARIANT column by path: text, integers, flags, pairs."""
+
+    def get(path: str, kind: str = "string") -> Column:
+        return F.try_variant_get(F.col(column), f"$.{path}", kind)
+
+    return get
+
+
 def _decimal(column: Column, kind: T.DecimalType) -> Column:
     """Exact; text with an exponent is accepted, anything else is null."""
     return column.try_cast(kind)
@@ -80,48 +83,43 @@ def _side(buy: Column) -> Column:
 
 
 def _binance(rows: DataFrame) -> list[DataFrame]:
-    r = rows.withColumns(
-        {"m": F.from_json("raw", SHAPES["binance"]), "d": F.from_json("raw", SHAPES["binance_depth"]), "k": F.from_json("raw", SHAPES["binance_ticker"])}
-    )
-    trade = r.filter("m.e in ('aggTrade', 'trade')")
-    delta = r.filter("m.e = 'depthUpdate'")
-    snapshot = r.filter("m.lastUpdateId is not null")
-    ticker = r.filter("m.e is null and k.B is not null and k.A is not null")
-    mark = r.filter("m.e = 'markPriceUpdate'")
-    interest = r.filter("m.openInterest is not null")
-    forced = r.filter("m.e = 'forceOrder'")
-    status = r.filter("m.status is not null and m.msg is not null")
+    r, m = rows.withColumn("j", F.try_parse_json("raw")), _reader("j")
+    kind = m("e")
+    trade, delta, mark, forced = (r.filter(kind.isin(*k)) for k in (("aggTrade", "trade"), ("depthUpdate",), ("markPriceUpdate",), ("forceOrder",)))
+    snapshot = r.filter(m("lastUpdateId").isNotNull())
+    ticker = r.filter(kind.isNull() & m("B").isNotNull() & m("A").isNotNull())
+    interest = r.filter(m("openInterest").isNotNull())
+    status = r.filter(m("status").isNotNull() & m("msg").isNotNull())
+    at = m("E", "long") * MS
     return [
-        _project(trade, "trade", symbol=F.col("m.s"), event_time_ns=F.col("m.T") * MS, price=_decimal(F.col("m.p"), PRICE), quantity=_decimal(F.col("m.q"), QUANTITY), trade_id=F.col("m.a"), side=_side(~F.col("m.m"))),
-        _project(delta, "book_delta", symbol=F.col("d.s"), event_time_ns=F.col("d.E") * MS, bids=_levels(F.col("d.b")), asks=_levels(F.col("d.a")), first_sequence=F.col("d.U"), last_sequence=F.col("d.u"), previous_sequence=F.col("d.pu")),
-        _project(snapshot, "book_snapshot", event_time_ns=F.col("receive_wall_time_ns"), bids=_levels(F.col("m.bids")), asks=_levels(F.col("m.asks")), last_sequence=F.col("m.lastUpdateId")),
-        _project(ticker, "top_of_book", symbol=F.col("k.s"), event_time_ns=F.col("receive_wall_time_ns"), bids=_levels(F.array(F.array("k.b", "k.B"))), asks=_levels(F.array(F.array("k.a", "k.A"))), last_sequence=F.col("k.u")),
-        _project(mark, "mark_index_observation", symbol=F.col("m.s"), event_time_ns=F.col("m.E") * MS, mark_price=_decimal(F.col("m.p"), PRICE), index_price=_decimal(F.col("m.i"), PRICE)),
-        _project(mark, "funding_observation", symbol=F.col("m.s"), event_time_ns=F.col("m.E") * MS, funding_rate=_decimal(F.col("m.r"), RATE), next_funding_time_ns=F.col("m.T") * MS),
-        _project(interest, "open_interest_observation", symbol=F.col("m.symbol"), event_time_ns=F.col("m.time") * MS, open_interest=_decimal(F.col("m.openInterest"), QUANTITY)),
-        _project(forced, "liquidation_observation", symbol=F.col("m.o.s"), event_time_ns=F.col("m.o.T") * MS, price=_decimal(F.col("m.o.p"), PRICE), quantity=_decimal(F.col("m.o.q"), QUANTITY), side=F.lower("m.o.S"), completeness=F.lit("sampled")),
-        _project(status, "venue_status", event_time_ns=F.col("receive_wall_time_ns"), state=F.when(F.col("m.status") == 0, "trading").otherwise("maintenance")),
+        _project(trade, "trade", symbol=m("s"), event_time_ns=m("T", "long") * MS, price=_decimal(m("p"), PRICE), quantity=_decimal(m("q"), QUANTITY), trade_id=m("a"), side=_side(~m("m", "boolean"))),
+        _project(delta, "book_delta", symbol=m("s"), event_time_ns=at, bids=_levels(m("b", PAIRS)), asks=_levels(m("a", PAIRS)), first_sequence=m("U", "long"), last_sequence=m("u", "long"), previous_sequence=m("pu", "long")),
+        _project(snapshot, "book_snapshot", event_time_ns=F.col("receive_wall_time_ns"), bids=_levels(m("bids", PAIRS)), asks=_levels(m("asks", PAIRS)), last_sequence=m("lastUpdateId", "long")),
+        _project(ticker, "top_of_book", symbol=m("s"), event_time_ns=F.col("receive_wall_time_ns"), bids=_levels(F.array(F.array(m("b"), m("B")))), asks=_levels(F.array(F.array(m("a"), m("A")))), last_sequence=m("u", "long")),
+        _project(mark, "mark_index_observation", symbol=m("s"), event_time_ns=at, mark_price=_decimal(m("p"), PRICE), index_price=_decimal(m("i"), PRICE)),
+        _project(mark, "funding_observation", symbol=m("s"), event_time_ns=at, funding_rate=_decimal(m("r"), RATE), next_funding_time_ns=m("T", "long") * MS),
+        _project(interest, "open_interest_observation", symbol=m("symbol"), event_time_ns=m("time", "long") * MS, open_interest=_decimal(m("openInterest"), QUANTITY)),
+        _project(forced, "liquidation_observation", symbol=m("o.s"), event_time_ns=m("o.T", "long") * MS, price=_decimal(m("o.p"), PRICE), quantity=_decimal(m("o.q"), QUANTITY), side=F.lower(m("o.S")), completeness=F.lit("sampled")),
+        _project(status, "venue_status", event_time_ns=F.col("receive_wall_time_ns"), state=F.when(m("status", "int") == 0, "trading").otherwise("maintenance")),
     ]
 
 
 def _bybit(rows: DataFrame) -> list[DataFrame]:
-    r = rows.withColumn("m", F.from_json("raw", SHAPES["bybit"]))
-    book = r.filter("m.topic like 'orderbook.%'").withColumn("d", F.from_json("m.data", SHAPES["bybit_book"]))
-    deal = r.filter("m.topic like 'publicTrade.%'").withColumn("d", F.explode(F.from_json("m.data", SHAPES["bybit_trades"])))
-    tick = r.filter("m.topic like 'tickers.%'").withColumn("d", F.from_json("m.data", SHAPES["bybit_ticker"]))
-    forced = r.filter("m.topic like 'allLiquidation.%'").withColumn("d", F.explode(F.from_json("m.data", SHAPES["bybit_trades"])))
+    r, d = rows.withColumn("m", F.from_json("raw", SHAPES["bybit"])), _reader("d")
+    one = lambda topic: r.filter(F.col("m.topic").startswith(topic)).withColumn("d", F.try_parse_json("m.data"))
+    many = lambda topic: r.filter(F.col("m.topic").startswith(topic)).withColumn("one", F.explode(F.from_json("m.data", "array<string>"))).withColumn("d", F.try_parse_json("one"))
+    book, deal, tick, forced = one("orderbook."), many("publicTrade."), one("tickers."), many("allLiquidation.")
     at = F.col("m.ts") * MS
-    levels = {"symbol": F.col("d.s"), "event_time_ns": at, "bids": _levels(F.col("d.b")), "asks": _levels(F.col("d.a")), "last_sequence": F.col("d.u")}
-    ticker = {"symbol": F.col("d.symbol"), "event_time_ns": at}
-    # A liquidated long is sold: the taker's side is the position's opposite.
-    print_ = {"symbol": F.col("d.s"), "event_time_ns": F.col("d.T") * MS, "price": _decimal(F.col("d.p"), PRICE), "quantity": _decimal(F.col("d.v"), QUANTITY), "side": F.lower("d.S")}
+    levels = {"symbol": d("s"), "event_time_ns": at, "bids": _levels(d("b", PAIRS)), "asks": _levels(d("a", PAIRS)), "last_sequence": d("u", "long")}
+    ticker = {"symbol": d("symbol"), "event_time_ns": at}
+    print_ = {"symbol": d("s"), "event_time_ns": d("T", "long") * MS, "price": _decimal(d("p"), PRICE), "quantity": _decimal(d("v"), QUANTITY), "side": F.lower(d("S"))}
     return [
         _project(book.filter("m.type = 'snapshot'"), "book_snapshot", **levels),
-        _project(book.filter("m.type = 'delta'"), "book_delta", first_sequence=F.col("d.u"), **levels),
-        _project(deal, "trade", trade_id=F.col("d.i"), **print_),
-        _project(tick.filter("d.markPrice is not null"), "mark_index_observation", mark_price=_decimal(F.col("d.markPrice"), PRICE), index_price=_decimal(F.col("d.indexPrice"), PRICE), **ticker),
-        _project(tick.filter("d.fundingRate is not null"), "funding_observation", funding_rate=_decimal(F.col("d.fundingRate"), RATE), next_funding_time_ns=F.col("d.nextFundingTime").try_cast("long") * MS, **ticker),
-        _project(tick.filter("d.openInterest is not null"), "open_interest_observation", open_interest=_decimal(F.col("d.openInterest"), QUANTITY), **ticker),
+        _project(book.filter("m.type = 'delta'"), "book_delta", first_sequence=d("u", "long"), **levels),
+        _project(deal, "trade", trade_id=d("i"), **print_),
+        _project(tick.filter(d("markPrice").isNotNull()), "mark_index_observation", mark_price=_decimal(d("markPrice"), PRICE), index_price=_decimal(d("indexPrice"), PRICE), **ticker),
+        _project(tick.filter(d("fundingRate").isNotNull()), "funding_observation", funding_rate=_decimal(d("fundingRate"), RATE), next_funding_time_ns=d("nextFundingTime").try_cast("long") * MS, **ticker),
+        _project(tick.filter(d("openInterest").isNotNull()), "open_interest_observation", open_interest=_decimal(d("openInterest"), QUANTITY), **ticker),
         _project(forced, "liquidation_observation", completeness=F.lit("venue_reported_all"), **print_),
     ]
 
