@@ -25,11 +25,13 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quantloom.llm.shared import binary_values, held_out, materialize, read
 
@@ -43,12 +45,12 @@ HASHED = 1 << 20
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "2": "z", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
 SEPARATORS = " .-_*'~^,/\\"
 #: Costs, in nats: a look-alike, a character read as a gap, a dropped separator, a dropped repetition.
-SUBSTITUTE, GAP, DROP, REPEAT = 1.0, 2.0, 1.0, 1.0
+SUBSTITUTE, GAP, DROP, REPEAT = 1.0, 5.0, 1.0, 1.0
 
 _EDGE = ".,;:?!\"')]}>|*&%#$~-_=/\\"
 _FRONT = "\"'([{<|*&%#~-_=/\\.,;:?"
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
-_SPACED = re.compile(r"(?<!\S)\S(?: \S(?!\S)){3,}")
+_SPACED = re.compile(r"(?<!\S)\S(?: \S(?!\S)){2,} \S(?=[.,;:!?]*(?!\S))")
 _CLASSES = 28
 _BYTE_CLASS = np.zeros(256, np.int32)
 _BYTE_CLASS[ord("a") : ord("z") + 1] = _BYTE_CLASS[ord("A") : ord("Z") + 1] = np.arange(1, 27)
@@ -97,28 +99,35 @@ def smoothed(counts: np.ndarray) -> np.ndarray:
     return np.log((three + 10 * p2[None]) / (three.sum(axis=2, keepdims=True) + 10))
 
 
-def _choices(char: str, before: str) -> list[tuple[str, float]]:
-    """Readings of an observed character: a letter, nothing or a gap."""
+def _choices(char: str, repeated: bool) -> list[tuple[str, float]]:
+    """Readings of an observed character: a letter, nothing or a gap.
+    ``repeated``: it follows its like in a run of three or more."""
     if char.isalpha():
-        return [(char, 0.0), ("", REPEAT)] if char == before else [(char, 0.0)]
+        return [(char, 0.0), ("", REPEAT)] if repeated else [(char, 0.0)]
     out = [(letter, SUBSTITUTE) for letter in LEET.get(char, "")]
     if char in SEPARATORS:
         out += [("", DROP), (" ", 0.0 if char == " " else GAP)]
     else:
         out += [(" ", GAP)]
-        if char == before:
+        if repeated:
             out += [("", REPEAT)]
     return out
 
 
+def _repeats(token: str) -> list[bool]:
+    out: list[bool] = []
+    for run in (list(g) for _, g in groupby(token)):
+        out += [len(run) >= 3 and k > 0 for k in range(len(run))]
+    return out
+
+
 def restore(token: str, model: list) -> list[str]:
     """Words of the likeliest path through the token's lattice.  ``model``:
     nested lists of log-probabilities by class."""
     beam = {(0, 0): (0.0, "")}
-    before = ""
-    for char in token:
+    for char, repeated in zip(token, _repeats(token), strict=True):
         following: dict = {}
-        choices = [(letter, cost, _class(letter) if letter else -1) for letter, cost in _choices(char, before)]
+        choices = [(letter, cost, _class(letter) if letter else -1) for letter, cost in _choices(char, repeated)]
         for (c0, c1), (score, text) in beam.items():
             row = model[c0][c1]
             for letter, cost, c in choices:
@@ -130,7 +139,7 @@ def restore(token: str, model: list) -> list[str]:
                     state, value, out = (c1, c), score - cost + row[c], text + letter
                 if state not in following or value > following[state][0]:
                     following[state] = (value, out)
-        beam, before = following, char
+        beam = following
     best = max(((score + (model[c0][c1][0] if c1 else 0.0), text) for (c0, c1), (score, text) in beam.items()), key=lambda x: x[0])
     return best[1].split()
 
@@ -286,8 +295,6 @@ def score(docs: DataFrame, classifier: Classifier) -> DataFrame:
             scores = [classifier.score(reader.features(t)) for t in binary_values(batch.column(at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*names, "toxic_score"])
 
-    from pyspark.sql import types as T
-
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("toxic_score", T.DoubleType())]))
 
 
