@@ -60,9 +60,9 @@ def discard(spark: SparkSession, df: DataFrame | None) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a scan (file sizes; no job is run)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts (one scan of one column, no Python)."""
+    return docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
 
 
 def parts(spark: SparkSession, rows_or_bytes: float, per_part: float, least: int = 1) -> int:

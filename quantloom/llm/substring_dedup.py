@@ -35,11 +35,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quantloom.llm.shared import binary_values, input_bytes, parts, read, sorted_groups
+from quantloom.llm.shared import binary_values, parts, read, sorted_groups, text_bytes
 
 WINDOW, MINIMISER = 13, 5
-#: Text bytes a task compares at once; file bytes whose windows make a bucket.
-UNIT, BUCKET = 12_000_000, 1_500_000
+#: Text bytes a task compares at once; text bytes whose windows make a bucket.
+UNIT, BUCKET = 12_000_000, 2_700_000
 _U = np.uint64
 _STEP, _MIX = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
 _BACK = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -273,7 +273,7 @@ def _gather(blobs: list[bytes], window: int) -> pa.RecordBatch | None:
 def repeated_ranges(spark: SparkSession, docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER) -> DataFrame:
     """``doc_id``, ``mark`` and ``ranges`` (array of first window and number
     of windows) of the documents that share a window with a smaller doc_id."""
-    n = parts(spark, input_bytes(docs), BUCKET, 8)
+    n = parts(spark, text_bytes(docs), BUCKET, 8)
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit: list[tuple[int, bytes]] = []
