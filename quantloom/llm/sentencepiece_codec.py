@@ -267,8 +267,7 @@ def codec(data: bytes) -> Codec:
 
 
 def _with(docs: DataFrame, name: str, kind: T.DataType, source: str, model_path: str | None, convert) -> DataFrame:
-    if name in docs.columns:
-        raise ValueError(f"the input already has a column {name}")
+    docs = docs.drop(name)
     data = piece_model.load(model_path or piece_model.default_path())
     names, at = docs.columns, docs.columns.index(source)
 
@@ -281,7 +280,8 @@ def _with(docs: DataFrame, name: str, kind: T.DataType, source: str, model_path:
 
 
 def encode(docs: DataFrame, model_path: str | None = None) -> DataFrame:
-    """Adds ``ids`` (array of int) to rows with a string column ``text``."""
+    """Adds ``ids`` (array of int; a column of that name is replaced) to rows
+    with a string column ``text``."""
 
     def convert(tool: Codec, column: pa.Array) -> pa.Array:
         rows = [np.frombuffer(r, "<i4") for r in tool.encode_batch(binary_values(column))]

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quantloom.llm import piece_model
 from quantloom.llm.shared import binary_values, read
@@ -109,7 +110,9 @@ def count_text(text: bytes, bare: _Bare, spaced: _Spaced) -> int:
 
 
 def count_tokens(docs: DataFrame, model_path: str | None = None) -> DataFrame:
-    """``docs`` with a string column ``text``: its columns and ``n_tokens``."""
+    """``docs`` with a string column ``text``: its columns and ``n_tokens`` (a
+    column of that name is replaced)."""
+    docs = docs.drop("n_tokens")
     data = piece_model.load(model_path or piece_model.default_path())
     names = docs.columns
     at = names.index("text")
@@ -120,10 +123,6 @@ def count_tokens(docs: DataFrame, model_path: str | None = None) -> DataFrame:
             counts = [count_text(t, bare, spaced) if t else 0 for t in binary_values(batch.column(at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64())], [*names, "n_tokens"])
 
-    from pyspark.sql import types as T
-
-    if "n_tokens" in names:
-        raise ValueError("the input already has a column n_tokens")
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("n_tokens", T.LongType())]))
 
 
