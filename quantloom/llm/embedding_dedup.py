@@ -204,4 +204,23 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_embedding_dedup": op4_embedding_dedup}
-ORACLE_SQL: dict[str, str] = {}
+#: All pairs, exactly; the operator finds each with the planned recall.
+ORACLE_SQL = {
+    "op4_embedding_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), l AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.n > 0 AND b.n > 0
+  AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.95
+), c AS (
+  SELECT vec_id AS node, vec_id AS reached FROM embeddings
+  UNION SELECT c.node, l.b FROM c JOIN l ON c.reached = l.a
+), m AS (
+  SELECT node, min(reached) AS component_id FROM c GROUP BY node
+)
+SELECT vec_id, (SELECT count(*) FROM l WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN m ON vec_id = node
+"""
+}

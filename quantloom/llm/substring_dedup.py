@@ -360,4 +360,22 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_substring_dedup": op5_substring_dedup}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op5_substring_dedup": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), p AS (
+  SELECT doc_id, len(w) AS n, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d
+), s AS (
+  SELECT doc_id, n, i, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS passage FROM p
+), f AS (
+  SELECT passage, min(doc_id) AS first_doc FROM s WHERE i + 12 <= n GROUP BY passage
+), g AS (
+  SELECT DISTINCT s.doc_id, s.i + k AS i FROM s JOIN f USING (passage), range(13) t(k) WHERE s.i + 12 <= s.n AND first_doc < s.doc_id
+), r AS (
+  SELECT p.doc_id, count(g.i) AS n_removed, coalesce(string_agg(CASE WHEN g.i IS NULL THEN word END, ' ' ORDER BY p.i), '') AS kept
+  FROM p LEFT JOIN g ON p.doc_id = g.doc_id AND p.i = g.i GROUP BY p.doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)
+"""
+}
