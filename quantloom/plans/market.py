@@ -157,7 +157,7 @@ def book_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         book.classification().alias("classification"),
         F.size("bids").cast("long").alias("bid_active_price_levels"),
         F.size("asks").cast("long").alias("ask_active_price_levels"),
-        *(r6(c).alias(n) for n, c in made.items()),
+        *(r6(c, 9).alias(n) for n, c in made.items()),
     )
 
 
@@ -440,3 +440,53 @@ m AS (SELECT entity, CAST(sum(pos) AS BIGINT) AS positives, count(DISTINCT regim
 SELECT entity, positives, regimes, round(share, 6) + 0.0 AS share, concat_ws(',', CASE WHEN positives < 3 THEN 'insufficient_positives' END, CASE WHEN regimes < 3 THEN 'insufficient_regimes' END, CASE WHEN share < 0.7 THEN 'insufficient_skill' END) AS reasons,
   positives >= 3 AND regimes >= 3 AND share >= 0.7 AS promoted FROM m""",
 }
+
+_BANDS = "".join(
+    f", coalesce(sum(qty) FILTER (bid AND (mid - price) * 10000 <= mid * {b}), 0) AS bd{b}, coalesce(sum(qty) FILTER (NOT bid AND (price - mid) * 10000 <= mid * {b}), 0) AS ad{b}"
+    for b in book.BANDS
+)
+_BAND_OUT = "".join(
+    f", round(bd{b}, 9) + 0.0 AS bid_depth_{b}bps, round(ad{b}, 9) + 0.0 AS ask_depth_{b}bps, round((bd{b} - ad{b}) / nullif(bd{b} + ad{b}, 0), 9) + 0.0 AS book_imbalance_{b}bps"
+    for b in book.BANDS
+)
+_SHAPE = """CASE WHEN {s}3 IS NOT NULL THEN (({y}2) / ({s}2 - {s}1)) - (((({y}3) / ({s}3 - {s}2)) - (({y}2) / ({s}2 - {s}1))) / ({s}3 - {s}1)) * ({s}1 + {s}2) END"""
+_CURVE = """CASE WHEN {s}3 IS NOT NULL THEN 2 * (((({y}3) / ({s}3 - {s}2)) - (({y}2) / ({s}2 - {s}1))) / ({s}3 - {s}1)) END"""
+ORACLE_SQL["book_features"] = f"""WITH l AS (
+  SELECT l_partkey AS part, l_linenumber % 2 = 0 AS bid, CAST(1000 + l_partkey % 50 + (CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END) * (1 + l_orderkey % 15) AS DOUBLE) AS price, sum(l_quantity) AS qty
+  FROM lineitem GROUP BY 1, 2, 3
+), t AS (
+  SELECT part, max(price) FILTER (bid) AS bp, min(price) FILTER (NOT bid) AS ap, arg_max(qty, price) FILTER (bid) AS bq, arg_min(qty, price) FILTER (NOT bid) AS aq,
+    count(*) FILTER (bid) AS nb, count(*) FILTER (NOT bid) AS na, sum(qty) AS tot, max(price) FILTER (bid) - min(price) FILTER (bid) AS bs, max(price) FILTER (NOT bid) - min(price) FILTER (NOT bid) AS asp FROM l GROUP BY part
+), j AS (
+  SELECT l.*, (bp + ap) / 2 AS mid, bp, ap, tot, row_number() OVER (PARTITION BY part, bid ORDER BY CASE WHEN bid THEN -price ELSE price END) AS k,
+    sum(price * qty) OVER (PARTITION BY part, bid ORDER BY CASE WHEN bid THEN -price ELSE price END ROWS UNBOUNDED PRECEDING) AS cn
+  FROM l JOIN t USING (part)
+), c AS (
+  SELECT *, greatest(least(price * qty, 10000 - (cn - price * qty)), 0) AS used FROM j
+), a AS (
+  SELECT part, max(mid) AS mid{_BANDS}, sum(-(qty / tot) * ln(qty / tot)) AS ent, sum((qty / tot) * (qty / tot)) AS hhi,
+    max(price) FILTER (bid AND price * qty >= 60000) AS bw, min(price) FILTER (NOT bid AND price * qty >= 60000) AS aw,
+    sum(price * qty) FILTER (NOT bid AND abs(price - ap) * 10000 <= ap * 25) AS eb, sum(price * qty) FILTER (bid AND abs(price - bp) * 10000 <= bp * 25) AS es,
+    sum(used) FILTER (NOT bid) AS ua, sum(used / price) FILTER (NOT bid) AS qa, sum(used) FILTER (bid) AS ub, sum(used / price) FILTER (bid) AS qb,
+    max(abs(price - bp)) FILTER (bid AND k = 1) AS b1, max(abs(price - bp)) FILTER (bid AND k = 2) AS b2, max(abs(price - bp)) FILTER (bid AND k = 3) AS b3, max(qty) FILTER (bid AND k = 2) AS by2, max(qty) FILTER (bid AND k = 3) AS by3,
+    max(abs(price - ap)) FILTER (NOT bid AND k = 1) AS a1, max(abs(price - ap)) FILTER (NOT bid AND k = 2) AS a2, max(abs(price - ap)) FILTER (NOT bid AND k = 3) AS a3, max(qty) FILTER (NOT bid AND k = 2) AS ay2, max(qty) FILTER (NOT bid AND k = 3) AS ay3
+  FROM c GROUP BY part
+)
+SELECT part, CASE WHEN bp IS NULL OR ap IS NULL THEN 'one_sided' WHEN bp = ap THEN 'locked' WHEN bp > ap THEN 'crossed' ELSE 'normal' END AS classification,
+  nb AS bid_active_price_levels, na AS ask_active_price_levels, round(ap - bp, 9) + 0.0 AS absolute_spread, round((ap - bp) / mid, 9) + 0.0 AS relative_spread{_BAND_OUT},
+  round((bp * bq + ap * aq) / (bq + aq), 9) + 0.0 AS weighted_midpoint, round((ap * bq + bp * aq) / (bq + aq), 9) + 0.0 AS microprice,
+  round({_SHAPE.format(s="b", y="by")}, 9) + 0.0 AS bid_book_slope, round({_SHAPE.format(s="a", y="ay")}, 9) + 0.0 AS ask_book_slope,
+  round({_CURVE.format(s="b", y="by")}, 9) + 0.0 AS bid_book_convexity, round({_CURVE.format(s="a", y="ay")}, 9) + 0.0 AS ask_book_convexity,
+  round(abs(bw - mid) / mid * 10000, 9) + 0.0 AS bid_liquidity_wall_distance, round(abs(aw - mid) / mid * 10000, 9) + 0.0 AS ask_liquidity_wall_distance,
+  round(CASE WHEN bs > 0 THEN (bs + 1 - nb) / bs END, 9) + 0.0 AS bid_price_level_gap_density, round(CASE WHEN asp > 0 THEN (asp + 1 - na) / asp END, 9) + 0.0 AS ask_price_level_gap_density,
+  round(eb, 9) + 0.0 AS maximum_executable_buy_quote_notional, round(es, 9) + 0.0 AS maximum_executable_sell_quote_notional,
+  round(CASE WHEN ua >= 10000 THEN abs(10000 / qa / mid - 1) END, 9) + 0.0 AS expected_buy_sweep_cost, round(CASE WHEN ub >= 10000 THEN abs(10000 / qb / mid - 1) END, 9) + 0.0 AS expected_sell_sweep_cost,
+  round(CASE WHEN nb + na > 1 THEN ent / ln(nb + na) END, 9) + 0.0 AS local_book_entropy, round(hhi, 9) + 0.0 AS depth_concentration_by_level
+FROM t JOIN a USING (part)"""
+
+ORACLE_SQL["cusp_equilibria"] = f"""WITH {_E}, c AS (SELECT seq, CAST(k AS DOUBLE) / 50 - 1.013 AS a, least(price / 50, 4.0) - 1.007 AS b FROM e),
+d AS (SELECT *, 4 * power(b, 3) - 27 * a * a AS disc FROM c),
+r AS (SELECT seq, b, 3 AS n_roots, unnest([2, 1, 0]) AS k, acos(greatest(least(3 * a / (2 * b) * sqrt(3 / b), 1.0), -1.0)) / 3 AS th, a FROM d WHERE disc > 0),
+y AS (SELECT seq, b, n_roots, 2 * sqrt(b / 3) * cos(th - 2 * pi() * k / 3) AS y FROM r
+  UNION ALL SELECT seq, b, 1, cbrt(a / 2 + sqrt(greatest(a * a / 4 - power(b, 3) / 27, 0))) + cbrt(a / 2 - sqrt(greatest(a * a / 4 - power(b, 3) / 27, 0))) FROM d WHERE disc <= 0)
+SELECT seq, CAST(n_roots AS BIGINT) AS n_roots, row_number() OVER (PARTITION BY seq ORDER BY y) - 1 AS pos, true AS solves, CASE WHEN 3 * y * y > b THEN 'stable' ELSE 'unstable' END AS stability FROM y"""

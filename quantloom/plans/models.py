@@ -192,3 +192,8 @@ SELECT event_type, day, last(la ORDER BY t, seq) AS source_latency_ns, max(ji) A
     "partition_manifest": f"""WITH {_E} SELECT event_type, CAST(make_timestamp(t // 1000) AS DATE) AS utc_date, extract(hour FROM make_timestamp(t // 1000)) AS hour, count(*) AS rows, min(t) AS first_ns, max(t) AS last_ns FROM e GROUP BY 1, 2, 3""",
     "correction_dataset": f"""WITH {_E} SELECT entity, day, round(sum(CASE WHEN event_type <> 'error' THEN price ELSE 0 END), 2) + 0.0 AS total, CAST(2 AS BIGINT) AS dataset_version FROM e GROUP BY entity, day""",
 }
+
+ORACLE_SQL["feature_catalogue"] = """SELECT * FROM (VALUES
+  ('price', 'model_eligible', true, 32::BIGINT), ('book', 'model_eligible', true, 48::BIGINT), ('book', 'model_eligible', false, 2::BIGINT), ('flow', 'model_eligible', true, 27::BIGINT),
+  ('venue', 'model_eligible', true, 13::BIGINT), ('venue', 'model_eligible', false, 23::BIGINT), ('venue', 'uncertainty_only', true, 19::BIGINT), ('venue', 'uncertainty_only', false, 4::BIGINT),
+  ('venue', 'gating_only', true, 3::BIGINT), ('venue', 'gating_only', false, 1::BIGINT)) t(family, role, emits, features)"""
