@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 #: Allowed moves of a source's health (fixed values).
 HEALTH_MOVES = {
-    "healthy": ("degraded", "stale", "unhealthy"),
-    "degraded": ("healthy", "stale", "unhealthy", "quarantined"),
-    "stale": ("healthy", "degraded", "unhealthy", "quarantined"),
-    "unhealthy": ("degraded", "quarantined", "healthy"),
-    "quarantined": ("degraded",),
+    "recovering": ("healthy", "degraded", "unhealthy", "quarantined"),
+    "healthy": ("degraded", "unhealthy", "quarantined"),
+    "degraded": ("healthy", "unhealthy", "recovering", "quarantined"),
+    "unhealthy": ("recovering", "quarantined"),
+    "quarantined": ("recovering",),
 }
 
 
@@ -41,7 +41,7 @@ def illegal_health_moves(states: DataFrame) -> DataFrame:
     before, last = F.lag("health").over(order), F.lag("sequence").over(order)
     allowed = F.create_map(*[x for k, v in HEALTH_MOVES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     rows = states.withColumns({"__before": before, "__last": last})
-    jump = F.col("__before").isNotNull() & (F.col("__before") != F.col("health")) & ~F.array_contains(F.element_at(allowed, F.col("__before")), F.col("health"))
+    jump = F.col("__before").isNotNull() & ~F.array_contains(F.element_at(allowed, F.col("__before")), F.col("health"))
     return rows.filter(jump | (F.col("sequence") - F.col("__last") != 1)).drop("__before", "__last")
 
 

@@ -10,9 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Health of a source, best first, and whether it spoils a window (fixed values).
-HEALTH = ("healthy", "degraded", "stale", "unhealthy", "quarantined")
-BAD_HEALTH = ("unhealthy", "quarantined")
+#: Health of a source, best first (fixed values).
+HEALTH = ("healthy", "recovering", "degraded", "unhealthy", "quarantined")
 
 
 def tumbling_start(t: Column, extent_ns: int, anchor_ns: int = 0) -> Column:
@@ -32,14 +31,15 @@ def sliding(df: DataFrame, extent_ns: int, advance_ns: int, anchor_ns: int = 0)
     return rows.withColumn("window_end_ns", F.col("window_start_ns") + extent_ns)
 
 
-def finality(windows: DataFrame, marks: DataFrame, keys: list[str], lateness_ns: int) -> DataFrame:
+def finality(windows: DataFrame, marks: DataFrame, keys: list[str], lateness_ns: int, allowed: tuple[str, ...] = ("healthy",)) -> DataFrame:
     """State of each window from its key's sources.  ``marks``: ``keys``,
     ``source``, ``required`` (boolean), ``watermark_ns`` (null: none yet),
-    ``as_known_ns``, ``health``.  Any required source in bad health makes the
-    window invalid; all of them past end + lateness make it final."""
-    past = F.coalesce(F.col("watermark_ns") >= F.col("window_end_ns") + lateness_ns, F.lit(False))
+    ``as_known_ns``, ``health`` (null: not known yet).  A required source whose
+    health is not among the allowed makes the window invalid; all of them past
+    end + lateness, with a known health, make it final."""
+    past = F.coalesce(F.col("watermark_ns") >= F.col("window_end_ns") + lateness_ns, F.lit(False)) & F.col("health").isNotNull()
     need = marks.filter("required")
-    bad = F.bool_or(F.col("health").isin(*BAD_HEALTH))
+    bad = F.coalesce(F.bool_or(~F.col("health").isin(*allowed)), F.lit(False))
     state = F.when(bad, "invalid").when(F.bool_and(past), "final").otherwise("provisional")
     return windows.join(need, keys).groupBy(*keys, "window_start_ns", "window_end_ns").agg(
         state.alias("finality_state"),
@@ -50,9 +50,9 @@ def finality(windows: DataFrame, marks: DataFrame, keys: list[str], lateness_ns:
     )
 
 
-def effective_frontier(marks: DataFrame, keys: list[str], lateness_ns: int) -> DataFrame:
-    """Least required watermark less the lateness; null if any is missing or in bad health."""
-    usable = F.bool_and(F.col("watermark_ns").isNotNull() & ~F.col("health").isin(*BAD_HEALTH))
+def effective_frontier(marks: DataFrame, keys: list[str], lateness_ns: int, allowed: tuple[str, ...] = ("healthy",)) -> DataFrame:
+    """Least required watermark less the lateness; null if any is missing or its health is not allowed."""
+    usable = F.bool_and(F.col("watermark_ns").isNotNull() & F.coalesce(F.col("health").isin(*allowed), F.lit(False)))
     return marks.filter("required").groupBy(*keys).agg(F.when(usable, F.min("watermark_ns") - lateness_ns).alias("frontier_ns"))
 
 

@@ -20,7 +20,7 @@ def test_as_known(spark):
 
 
 def test_health(spark):
-    rows = [("s", 1, 1, "healthy"), ("s", 1, 2, "stale"), ("s", 1, 3, "quarantined"), ("s", 1, 4, "healthy"), ("s", 1, 6, "degraded")]
+    rows = [("s", 1, 1, "recovering"), ("s", 1, 2, "healthy"), ("s", 1, 3, "quarantined"), ("s", 1, 4, "healthy"), ("s", 1, 6, "degraded")]
     bad = rd.illegal_health_moves(spark.createDataFrame(rows, "source string, epoch long, sequence long, health string"))
     assert sorted(r["sequence"] for r in bad.collect()) == [4, 6]
 
