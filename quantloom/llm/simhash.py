@@ -247,7 +247,7 @@ def similar_documents(spark: SparkSession, docs: DataFrame, shingle: int = 5, si
     more (shared part of all shingles).  That many shared shingles leave about
     15 of 100 fingerprint bits different, which 64 bits cannot find or tell:
     the fingerprint has 256, indexed by ten bands of 24 at ``BITS_APART``, and
-    pairs are kept up to two standard deviations beyond the expected bits."""
+    pairs are kept up to one standard deviation beyond the expected bits."""
     cosine = 2 * similarity / (1 + similarity)
     differing = float(np.arccos(cosine) / np.pi)
     limit = int(256 * differing + (256 * differing * (1 - differing)) ** 0.5)
