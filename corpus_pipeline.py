@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from quantloom.llm import language_id, packing, simhash, substring_dedup, toxicity
 from quantloom.llm.shared import materialize, read
 
-#: A document whose best language is no likelier than this is rejected.
-LEAST_LANGUAGE_SCORE = 0.3
+#: A document is rejected if its best language is no likelier than this many
+#: times an even share among the learnt ones.
+LEAST_LANGUAGE_SHARE = 1.1
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,10 +26,14 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def reject_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: not null, not without letters, and likelier
-    in one learnt language than ``LEAST_LANGUAGE_SCORE``."""
-    found = language_id.predict(docs, language_id.fit(spark, docs))
-    sure = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("lang_score") > LEAST_LANGUAGE_SCORE)
+    """Documents with a language: not null, not without letters, and not equally
+    likely in all learnt languages.  Without any labelled language all stay."""
+    model = language_id.fit(spark, docs)
+    if not model.languages:
+        return docs
+    found = language_id.predict(docs, model)
+    least = LEAST_LANGUAGE_SHARE / max(len(model.languages), 2)
+    sure = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("lang_score") > least)
     return found.filter(sure).select(*docs.columns)
 
 
