@@ -214,7 +214,7 @@ SELECT entity, day, round(ln(c / o), 6) + 0.0 AS log_return, round(c / o - 1, 6)
 ), b AS (
   SELECT *, (t - t0) / {float(NS_PER_HOUR)!r} AS x, CASE WHEN t > before THEN (price - pp) / ((t - before) / {float(NS_PER_HOUR)!r}) END AS slope,
     (before - t0 + (t - before) // 2) / {float(NS_PER_HOUR)!r} AS mid FROM a)
-SELECT entity, day, round(regr_slope(price, x), 6) + 0.0 AS trend_slope, round(regr_slope(slope, mid), 6) + 0.0 AS trend_acceleration FROM b GROUP BY entity, day""",
+SELECT entity, day, round(nullif(regr_slope(price, x), 'nan'::DOUBLE), 6) + 0.0 AS trend_slope, round(nullif(regr_slope(slope, mid), 'nan'::DOUBLE), 6) + 0.0 AS trend_acceleration FROM b GROUP BY entity, day""",
     "ewma_halflife": f"""WITH p AS (
   SELECT user_id AS entity, epoch_us(ts) * 1000 AS t, event_id AS seq, value AS x FROM events
 ), a AS (
