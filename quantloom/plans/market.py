@@ -289,7 +289,7 @@ def hazard_incidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     t0 = Window.partitionBy("entity")
     rows = rows.withColumn("bucket", F.floor((F.col("t") - F.min("t").over(t0)) / (6 * NS_PER_HOUR)).cast("long")).filter("bucket < 24")
     n = rows.groupBy("event_type", "bucket").agg(F.count_if(F.col("price") > 100).alias("up"), F.count_if(F.col("price") < 10).alias("down"), F.count("*").alias("n"))
-    h = n.select("event_type", "bucket", (F.col("up") / (F.col("n") * 4)).alias("up"), (F.col("down") / (F.col("n") * 4)).alias("down"))
+    h = n.select("event_type", "bucket", (F.col("up") / (F.col("n") * 3.7)).alias("up"), (F.col("down") / (F.col("n") * 3.7)).alias("down"))
     out = scoring.cumulative_incidence(h, ["event_type"], ["up", "down"])
     return out.select("event_type", "bucket", *(r6(c, 9).alias(c) for c in ("survival_before", "cif_up", "cif_down")))
 
@@ -427,7 +427,7 @@ SELECT entity, day, fu AS predicted_funding_rate, fu - lag(fu) OVER w AS funding
   round(mk / nullif(ix, 0) - 1, 6) + 0.0 AS mark_index_divergence, liq AS liquidation_observed_count, round(ln_, 6) + 0.0 AS liquidation_observed_notional, round(liq / 86400.0 * 1000, 6) + 0.0 AS liquidation_observed_velocity_per_1000_s
 FROM d WINDOW w AS (PARTITION BY entity ORDER BY day)""",
     "hazard_incidence": f"""WITH {_E}, b AS (SELECT event_type, price, CAST(floor((t - min(t) OVER (PARTITION BY entity)) / {float(6 * H)!r}) AS BIGINT) AS bucket FROM e),
-h AS (SELECT event_type, bucket, (count(*) FILTER (price > 100)) / (count(*) * 4) AS up, (count(*) FILTER (price < 10)) / (count(*) * 4) AS dn FROM b WHERE bucket < 24 GROUP BY ALL),
+h AS (SELECT event_type, bucket, (count(*) FILTER (price > 100)) / (count(*) * 3.7::DOUBLE) AS up, (count(*) FILTER (price < 10)) / (count(*) * 3.7::DOUBLE) AS dn FROM b WHERE bucket < 24 GROUP BY ALL),
 s AS (SELECT *, coalesce(exp(sum(ln(1 - up - dn)) OVER (PARTITION BY event_type ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS sv FROM h)
 SELECT event_type, bucket, round(sv, 9) + 0.0 AS survival_before, round(sum(sv * up) OVER w, 9) + 0.0 AS cif_up, round(sum(sv * dn) OVER w, 9) + 0.0 AS cif_down FROM s WINDOW w AS (PARTITION BY event_type ORDER BY bucket ROWS UNBOUNDED PRECEDING)""",
     "evidence_topk": f"""WITH {_E}, r AS (SELECT entity, seq, price - 50 AS c, row_number() OVER (PARTITION BY entity ORDER BY abs(price - 50) DESC, seq) AS rank FROM e)
