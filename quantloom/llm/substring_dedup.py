@@ -1,9 +1,9 @@
 """Operator 5: repeated passages by super-k-mer partitioning.
 
 A document's windows of 13 words are cut into runs that share a minimiser (the
-smallest hash of the 5-word sequences inside a window).  A run travels as one
+smallest hash of the 3-word sequences inside a window).  A run travels as one
 packed string to the bucket of its minimiser, so equal windows always meet,
-each word is sent about three times instead of thirteen, and a bucket sorts
+each word is sent three times instead of thirteen, and a bucket sorts
 its windows and counts them exactly.
 
 Skew: windows are first compared within the unit of rows that a task holds.
@@ -37,9 +37,9 @@ from pyspark.sql import types as T
 
 from quantloom.llm.shared import binary_values, parts, read, sorted_groups, text_bytes
 
-WINDOW, MINIMISER = 13, 5
+WINDOW, MINIMISER = 13, 3
 #: Text bytes a task compares at once; text bytes whose windows make a bucket.
-UNIT, BUCKET = 12_000_000, 2_700_000
+UNIT, BUCKET = 4_000_000, 2_700_000
 _U = np.uint64
 _STEP, _MIX = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
 _BACK = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -205,7 +205,7 @@ def _scatter(rows: list[tuple[int, bytes]], n_buckets: int, window: int, minimis
     begin, end = starts[at[lo]].tolist(), ends[at[hi] + window - 1].tolist()
     who, word = owner[lo], at[lo] - first[owner[lo]]
     cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-    press = zstandard.ZstdCompressor(level=3)
+    press = zstandard.ZstdCompressor(level=5)
     names, blobs = [], []
     for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(lo)], strict=True):
         strings = [data[s:e] for s, e in zip(begin[a:b], end[a:b], strict=True)]
