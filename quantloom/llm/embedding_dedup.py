@@ -38,6 +38,8 @@ from quantloom.llm.vectors import matrix, usable
 THRESHOLD, BITS, RECALL = 0.95, 64, 0.97
 #: Rows the rotations are learnt on, rounds of learning, rows of a block.
 SAMPLE, ROUNDS, BLOCK = 4096, 40, 1024
+#: Large buckets (16 bytes each) that are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def learn_rotation(sample: np.ndarray, bits: int, seed: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -115,10 +117,11 @@ def link(spark: SparkSession, vectors: DataFrame, threshold: float = THRESHOLD,
 
     rows = vectors.select("node", "copies", "vec")
     dealt = rows.mapInArrow(deal, "bucket long, node long, copies long, vec array<double>, keys array<int>")
-    # Sizes need no vectors: the same keys, aggregated before the shuffle.
-    sizes = dealt.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    with_size = dealt.join(sizes, "bucket")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    # Sizes need no vectors: the same keys, aggregated before the shuffle.  Only
+    # buckets above a block matter; they are few, and broadcast if that is so.
+    sizes = materialize(spark, dealt.groupBy("bucket").agg(F.count("*").alias("size")).filter(F.col("size") > BLOCK), "large-buckets")
+    with_size = dealt.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes, "bucket", "left")
+    blocks = F.coalesce(F.ceil(F.col("size") / BLOCK).cast("int"), F.lit(1))
     mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
     others = F.transform(
         F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, mine).alias("lo"), F.greatest(o, mine).alias("hi"))
