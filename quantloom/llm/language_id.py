@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quantloom.llm.shared import binary_values, held_out, materialize, read
+from quantloom.llm.shared import binary_values, held_out, materialize, read, text_batches
 
 #: Documents of a language in the sample, landmarks in all, bytes of a sampled document.
 SAMPLE, LANDMARKS, LONGEST = 800, 160, 20_000
@@ -185,6 +185,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``lang_score`` (columns of these names
     are replaced)."""
     docs = docs.drop("lang_pred", "lang_score")
+    text_batches(docs.sparkSession)
     names, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

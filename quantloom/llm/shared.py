@@ -65,6 +65,15 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
 
 
+def text_batches(spark: SparkSession, most: int = 2000) -> None:
+    """Rows with texts reach Python at most so many at a time, so that a batch
+    of long texts stays small on both sides (a session setting that is only
+    ever lowered; results do not depend on it)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= most:
+        spark.conf.set(key, str(most))
+
+
 def parts(spark: SparkSession, rows_or_bytes: float, per_part: float, least: int = 1) -> int:
     """Number of partitions so that each holds about ``per_part``."""
     return int(max(least, -(-rows_or_bytes // per_part)))

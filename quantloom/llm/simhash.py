@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm.components import connected_components
-from quantloom.llm.shared import binary_values, discard, local_components, materialize, parts, read, sorted_groups
+from quantloom.llm.shared import binary_values, discard, local_components, materialize, parts, read, sorted_groups, text_batches
 
 SHINGLE, BITS_APART, SEED = 3, 2, 42
 #: Distinct fingerprints in a shard (of 64 bits, of more), children of a node.
@@ -219,6 +219,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, n_words: int = 1) -> D
             lists = pa.FixedSizeListArray.from_arrays(pa.array(flat), n_words).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "words"])
 
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, "doc_id long, words array<long>")
 

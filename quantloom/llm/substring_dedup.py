@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quantloom.llm.shared import binary_values, parts, read, sorted_groups, text_bytes
+from quantloom.llm.shared import binary_values, parts, read, sorted_groups, text_batches, text_bytes
 
 WINDOW, MINIMISER = 13, 3
 #: Text bytes a task compares at once; text bytes whose windows make a bucket.
@@ -273,6 +273,7 @@ def _gather(blobs: list[bytes], window: int) -> pa.RecordBatch | None:
 def repeated_ranges(spark: SparkSession, docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER) -> DataFrame:
     """``doc_id``, ``mark`` and ``ranges`` (array of first window and number
     of windows) of the documents that share a window with a smaller doc_id."""
+    text_batches(spark)
     n = parts(spark, text_bytes(docs), BUCKET, 8)
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

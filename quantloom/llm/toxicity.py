@@ -33,12 +33,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quantloom.llm.shared import binary_values, held_out, materialize, read
+from quantloom.llm.shared import binary_values, held_out, materialize, read, text_batches
 
 #: Labelled rows of each class that the classifier is fitted on; features kept.
 SAMPLE, FEATURES = 8192, 1024
 THRESHOLD = 0.3
-CACHE = 300_000
+CACHE = 200_000
 HASHED = 1 << 20
 
 #: Look-alikes of letters.
@@ -84,6 +84,7 @@ def language_model(spark: SparkSession, docs: DataFrame) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["code", "n"])
 
+    text_batches(spark)
     counted = docs.select("text").mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros(_CLASSES**3)
     total[counted.column("code").to_numpy()] = counted.column("n").to_numpy()
@@ -287,6 +288,7 @@ def _gain(a, n, toxic: float, total: float):
 def score(docs: DataFrame, classifier: Classifier) -> DataFrame:
     """``docs`` with ``toxic_score`` (a column of that name is replaced)."""
     docs = docs.drop("toxic_score")
+    text_batches(docs.sparkSession)
     names, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
