@@ -35,11 +35,11 @@ from quantloom.llm.piece_model import SPACE
 from quantloom.llm.shared import binary_values, read
 
 #: Words whose identifiers a worker keeps, and characters indexed at once.
-CACHE = 300_000
-INDEXED = 300_000
+CACHE = 800_000
+INDEXED = 600_000
 _WORD = re.compile(rb" +[^ ]*|[^ ]+")
 _SPACE = SPACE.encode()
-_PAIRS = 500_000
+_PAIRS = 1_000_000
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
