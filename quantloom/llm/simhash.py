@@ -21,7 +21,7 @@ fingerprint; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -31,33 +31,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm.components import connected_components
-from quantloom.llm.shared import binary_values, discard, local_components, materialize, parts, read, sorted_groups, text_batches
+from quantloom.llm.shared import binary_values, discard, local_components, materialize, parts, read, sorted_groups, text_batches, text_bytes
 
 SHINGLE, BITS_APART, SEED = 3, 2, 42
 #: Distinct fingerprints in a shard (of 64 bits, of more), children of a node.
 SHARD, WIDE_SHARD, FANOUT = 4096, 65_536, 8
+#: Fingerprint words and band bits that similar documents are looked for with;
+#: bytes of text of a group's block in the exact check.
+WIDE, BAND, BLOCK = 6, 20, 16 << 20
 #: Queries searched at once, and (query, node) pairs held at once.
 AT_ONCE, FRONTIER = 2048, 1 << 21
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE, n_words: int = 1) -> list[int]:
-    """SimHash of 64 bits: a bit is 1 if it is set in over half the shingles'
-    XXH64.  Words are runs of bytes other than ASCII white space; A-Z are
-    lower-cased.  Further words of 64 bits come from mixing the same hashes."""
+def shingle_hashes(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each shingle.  Words are runs of bytes other than ASCII white
+    space; A-Z are lower-cased."""
     words = (text or b"").lower().split()
     if not words:
-        return [0] * n_words
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        hashes = [digest(joined, SEED)]
-    else:
-        ends = np.cumsum([len(w) + 1 for w in words]) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist(), strict=False)]
-    first = np.array(hashes, np.uint64)
-    return [majority(first if k == 0 else mixed(first, k)) for k in range(n_words)]
+        return np.array([digest(joined, SEED)], np.uint64)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist(), strict=False)], np.uint64)
+
+
+def simhash(hashes: np.ndarray, n_words: int = 1) -> list[int]:
+    """A bit is 1 if it is set in over half the hashes; further words of 64
+    bits come from mixing the same hashes."""
+    if not len(hashes):
+        return [0] * n_words
+    return [majority(hashes if k == 0 else mixed(hashes, k)) for k in range(n_words)]
+
+
+def fingerprint(text: bytes | None, shingle: int = SHINGLE, n_words: int = 1) -> list[int]:
+    """SimHash of 64 bits a word; a repeated shingle counts each time."""
+    return simhash(shingle_hashes(text, shingle), n_words)
+
+
+def set_fingerprint(text: bytes | None, shingle: int, n_words: int) -> list[int]:
+    """SimHash of the distinct shingles and, as one word more, a digest of
+    their set."""
+    distinct = np.unique(shingle_hashes(text, shingle))
+    return [*simhash(distinct, n_words), xxhash.xxh64_intdigest(distinct.astype("<u8").tobytes(), SEED)]
 
 
 def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -209,14 +228,16 @@ def links(spark: SparkSession, nodes: DataFrame, n_nodes: int, n_words: int = 1,
     return dealt.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(join, "a long, b long")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, n_words: int = 1) -> DataFrame:
-    """``doc_id`` (long) and ``words`` (the fingerprint's bits, 64 to a long)."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, n_words: int = 1, of: Callable = fingerprint) -> DataFrame:
+    """``doc_id`` (long) and ``words`` (what ``of`` returns, 64 bits to a long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = [fingerprint(t, shingle, n_words) for t in binary_values(batch.column(1))]
+            if not batch.num_rows:
+                continue
+            codes = [of(t, shingle, n_words) for t in binary_values(batch.column(1))]
             flat = np.array([w for c in codes for w in c], np.uint64).view(np.int64)
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(flat), n_words).cast(pa.list_(pa.int64()))
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(flat), len(codes[0])).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "words"])
 
     text_batches(docs.sparkSession)
@@ -224,36 +245,108 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, n_words: int = 1) -> D
     return rows.mapInArrow(run, "doc_id long, words array<long>")
 
 
-def _classes(spark: SparkSession, docs: DataFrame, shingle: int, n_words: int, **search) -> DataFrame:
-    rows = materialize(spark, fingerprints(docs, shingle, n_words), "fingerprints")
+def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, apart: int = BITS_APART) -> DataFrame:
+    """``doc_id``, ``fp`` (64 bits as a long) and ``component_id`` (smallest
+    doc_id reachable over links of at most ``apart`` differing bits) of every
+    row of ``docs``."""
+    rows = materialize(spark, fingerprints(docs, shingle), "fingerprints")
     nodes = materialize(spark, rows.groupBy("words").agg(F.min("doc_id").alias("rep")), "nodes")
-    known = nodes.dropna()
-    edges = materialize(spark, links(spark, known, nodes.count(), n_words, **search), "links")
+    edges = materialize(spark, links(spark, nodes.dropna(), nodes.count(), apart=apart, limit=apart), "links")
+    found = _classes(spark, rows, nodes, edges)
+    return found.select("doc_id", F.col("words")[0].alias("fp"), "component_id")
+
+
+def _classes(spark: SparkSession, rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``rows`` with the component of their node; ``edges`` are used up."""
     label = connected_components(spark, edges)
     discard(spark, edges)
     of = nodes.join(label, F.col("rep") == F.col("node"), "left").select("words", F.coalesce("component", "rep").alias("component_id"))
     return rows.join(of, "words").select("doc_id", "words", "component_id")
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, apart: int = BITS_APART) -> DataFrame:
-    """``doc_id``, ``fp`` (64 bits as a long) and ``component_id`` (smallest
-    doc_id reachable over links of at most ``apart`` differing bits) of every
-    row of ``docs``."""
-    found = _classes(spark, docs, shingle, 1, apart=apart, limit=apart)
-    return found.select("doc_id", F.col("words")[0].alias("fp"), "component_id")
+def bits_limit(similarity: float, n_bits: int) -> int:
+    """Differing bits that a pair of the similarity stays within.  A share p of
+    the bits is expected to differ; the majorities of very few shingles differ
+    in up to a quarter more (3/16 for 4 of 5), so four standard deviations are
+    added to that."""
+    p = 1.25 * float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(n_bits * p + 4 * (n_bits * p * (1 - p)) ** 0.5)
+
+
+def exact_links(sets: list[np.ndarray], words: np.ndarray, limit: int, similarity: float) -> np.ndarray:
+    """For each set the first member of its component, over pairs of at most
+    ``limit`` differing bits whose intersection is at least ``similarity`` of
+    the union.  Pairs that are already joined are not compared."""
+    size = np.array([len(s) for s in sets], np.int64)
+    ends = np.cumsum(size)
+    tokens = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    mark = np.zeros(int(tokens.max(initial=-1)) + 1, bool)
+    label = np.arange(len(sets))
+    for k in range(1, len(sets)):
+        if not size[k]:
+            continue
+        near = np.bitwise_count(words[:k] ^ words[k]).sum(axis=1, dtype=np.int64) <= limit
+        near &= np.minimum(size[:k], size[k]) / np.maximum(size[:k], size[k]) >= similarity
+        left, at_once = np.flatnonzero(near), 1
+        mine = tokens[ends[k] - size[k] : ends[k]]
+        mark[mine] = True
+        while len(left := left[label[left] != label[k]]):
+            some, left = left[:at_once], left[at_once:]
+            shared = np.array([np.count_nonzero(mark[tokens[ends[j] - size[j] : ends[j]]]) for j in some.tolist()])
+            for j in some[shared / (size[some] + size[k] - shared) >= similarity].tolist():
+                low, high = sorted((label[j], label[k]))
+                label[label == high] = low
+            at_once = min(2 * at_once, 1024)
+        mark[mine] = False
+    return label
+
+
+def verified(spark: SparkSession, docs: DataFrame, label: DataFrame, shingle: int, limit: int, similarity: float) -> DataFrame:
+    """Of the candidates' components ``label`` (``node``, ``component``), the
+    links that hold exactly, as pairs that span the same components as all of
+    them.  A component of over ``BLOCK`` bytes of text is cut into blocks, and
+    each two blocks meet in a group of their own; so no group holds more than
+    about two blocks, and no pair of the component is left out."""
+    member = label.unionByName(label.select(F.col("component").alias("node"), "component")).distinct()
+    text = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
+    sizes = text.select("node", F.octet_length("text").cast("long").alias("n")).join(member, "node").groupBy("component").agg(F.sum("n").alias("n"))
+    sizes = sizes.select("component", F.ceil(F.greatest("n", F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    member = materialize(spark, member.join(sizes, "component"), "members")
+    block = F.pmod(F.xxhash64("node"), "blocks").cast("int")
+    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block"))))
+    dealt = text.join(member, "node").withColumn("block", block).select("node", "component", "text", "block", other.alias("other"))
+    dealt = dealt.select("node", "component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "text")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, ["component", "low", "high"]):
+            ids = group.column("node").to_numpy()
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in binary_values(group.column("text"))]
+            words = np.array([simhash(s, WIDE) for s in sets], np.uint64)
+            first = exact_links(sets, words, limit, similarity)
+            linked = np.flatnonzero(first != np.arange(len(first)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(ids[first[linked]])], ["a", "b"])
+
+    text_batches(spark)
+    n = parts(spark, text_bytes(docs), 2 * BLOCK, spark.sparkContext.defaultParallelism)
+    keys = ["component", "low", "high"]
+    return dealt.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(check, "a long, b long")
 
 
 def similar_documents(spark: SparkSession, docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``doc_id`` and ``component_id`` over links of about ``similarity`` or
-    more (shared part of all shingles).  That many shared shingles leave about
-    15 of 100 fingerprint bits different, which 64 bits cannot find or tell:
-    the fingerprint has 256, indexed by ten bands of 24 at ``BITS_APART``, and
-    pairs are kept up to one standard deviation beyond the expected bits."""
-    cosine = 2 * similarity / (1 + similarity)
-    differing = float(np.arccos(cosine) / np.pi)
-    limit = int(256 * differing + (256 * differing * (1 - differing)) ** 0.5)
-    found = _classes(spark, docs, shingle, 4, apart=BITS_APART, limit=limit, band=24)
-    return found.select("doc_id", "component_id")
+    """``doc_id`` and ``component_id`` over links of at least ``similarity``
+    (shared part of all distinct shingles).  Pairs are looked for by
+    fingerprints of ``WIDE`` words, indexed by bands of ``BAND`` bits at
+    ``BITS_APART``, and each is then checked on the shingles themselves (their
+    64-bit hashes); equal sets are one node."""
+    limit = bits_limit(similarity, 64 * WIDE)
+    rows = materialize(spark, fingerprints(docs, shingle, WIDE, set_fingerprint), "fingerprints")
+    nodes = materialize(spark, rows.groupBy("words").agg(F.min("doc_id").alias("rep")), "nodes")
+    known = nodes.dropna().select("rep", F.slice("words", 1, WIDE).alias("words"))
+    maybe = materialize(spark, links(spark, known, nodes.count(), WIDE, apart=BITS_APART, limit=limit, band=BAND), "candidates")
+    label = connected_components(spark, maybe)
+    discard(spark, maybe)
+    edges = materialize(spark, verified(spark, docs, label, shingle, limit, similarity), "links")
+    return _classes(spark, rows, nodes, edges).select("doc_id", "component_id")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

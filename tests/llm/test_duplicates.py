@@ -100,6 +100,34 @@ def test_similar_documents(spark):
     assert all(got[100 + k] == got[k] == k for k in range(12))
 
 
+def shingle_set(text):
+    w = text.lower().split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+
+@pytest.mark.parametrize("block", [1 << 24, 3000])
+def test_similar_documents_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(6)
+    some = lambda n: ["w%d" % rng.randrange(9000) for _ in range(n)]
+    rows = []
+    for _ in range(60):
+        base, n = some(124), len(rows)
+        part = (0.7, 0.75, 0.79, 0.8, 0.82)[n // 2 % 5]
+        rows += [(n, " ".join(base)), (n + 1, " ".join(base[: round(120 * part) + 4]))]
+    line = some(8)
+    # A line often repeated does not make documents similar.
+    rows += [(200 + k, " ".join(line * 40 + some(60))) for k in range(10)]
+    base = some(200)  # a chain and a group of near copies
+    rows += [(300 + k, " ".join(base[k : k + 150])) for k in range(0, 50, 5)]
+    rows += [(400, ""), (401, " "), (402, "a b"), (403, "a b c")]
+    rows = [(k, t) for k, (_, t) in enumerate(rows)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [shingle_set(t) if t.split() else set() for _, t in rows]
+    near = [(a, b) for a in range(len(rows)) for b in range(a) if sets[a] == sets[b] or len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    assert got == closure(range(len(rows)), near)
+
+
 def plain_repeats(rows):
     first, words = {}, {}
     for i, t in sorted(rows, key=lambda r: r[0]):
