@@ -1,12 +1,16 @@
 """Operator 1: toxicity after noisy-channel deobfuscation.
 
 A character model (trigrams with back-off) is counted over all texts.  A token
-that may be disguised (letters mixed with look-alikes or separators, a letter
-three times in a row, letters set apart by spaces) becomes a lattice: a
-look-alike may be each of its letters or itself, a separator or a repetition
-may be dropped, each at a cost.  A Viterbi search finds the path that the
-character model and the costs make likeliest; the restored words replace the
-token.  All other tokens have one path only, themselves.
+that may be disguised (letters mixed with look-alikes or separators, look-alikes
+only, a letter twice or more in a row, letters set apart by white space) becomes
+a lattice: a look-alike may be each of its letters or itself, a separator or a
+repetition may be dropped, each at a cost.  A Viterbi search finds the path that
+the character model and the costs make likeliest; the restored words replace the
+token.  Where clean text looks the same, the token keeps its plain reading and
+gets the restored one besides: look-alikes at its edges that may be punctuation,
+letters that are only doubled, and letters with white space between them.
+Numbers (digits with their usual signs) stay numbers.  All other tokens have one
+path only, themselves.
 
 The classifier is a logistic regression on the presence of restored words and
 of their beginnings.  It is fitted on a bounded sample of labelled rows (at
@@ -42,15 +46,19 @@ CACHE = 200_000
 HASHED = 1 << 20
 
 #: Look-alikes of letters.
-LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "2": "z", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
+LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "2": "z", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "#": "h"}
 SEPARATORS = " .-_*'~^,/\\"
 #: Costs, in nats: a look-alike, a character read as a gap, a dropped separator, a dropped repetition.
 SUBSTITUTE, GAP, DROP, REPEAT = 1.0, 5.0, 1.0, 1.0
 
 _EDGE = ".,;:?!\"')]}>|*&%#$~-_=/\\"
 _FRONT = "\"'([{<|*&%#~-_=/\\.,;:?"
-_TRIPLE = re.compile(r"([^\W\d_])\1\1")
-_SPACED = re.compile(r"(?<!\S)\S(?: \S(?!\S)){2,} \S(?=[.,;:!?]*(?!\S))")
+#: Of these the look-alikes, which a token is also read with.
+_SOFT = "$!|("
+_HARD_EDGE, _HARD_FRONT = "".join(set(_EDGE) - set(_SOFT)), "".join(set(_FRONT) - set(_SOFT))
+_NUMBER = re.compile(r"[$€#(|+!]?\d[\d.,:/()+-]*(?:!+|[|$€+])?")
+_DOUBLE, _TRIPLE = re.compile(r"([^\W\d_])\1"), re.compile(r"([^\W\d_])\1\1")
+_SPACED = re.compile(rf"(?<!\S)[{re.escape(_FRONT)}]*(\S(?:\s+\S(?!\S))+\s+\S)[{re.escape(_EDGE)}]*(?!\S)")
 _CLASSES = 28
 _BYTE_CLASS = np.zeros(256, np.int32)
 _BYTE_CLASS[ord("a") : ord("z") + 1] = _BYTE_CLASS[ord("A") : ord("Z") + 1] = np.arange(1, 27)
@@ -102,7 +110,7 @@ def smoothed(counts: np.ndarray) -> np.ndarray:
 
 def _choices(char: str, repeated: bool) -> list[tuple[str, float]]:
     """Readings of an observed character: a letter, nothing or a gap.
-    ``repeated``: it follows its like in a run of three or more."""
+    ``repeated``: it follows its like in a run."""
     if char.isalpha():
         return [(char, 0.0), ("", REPEAT)] if repeated else [(char, 0.0)]
     out = [(letter, SUBSTITUTE) for letter in LEET.get(char, "")]
@@ -115,18 +123,20 @@ def _choices(char: str, repeated: bool) -> list[tuple[str, float]]:
     return out
 
 
-def _repeats(token: str) -> list[bool]:
+def _repeats(token: str, least: int = 3) -> list[bool]:
+    """Whether each character follows its like in a run of ``least`` or more."""
     out: list[bool] = []
     for run in (list(g) for _, g in groupby(token)):
-        out += [len(run) >= 3 and k > 0 for k in range(len(run))]
+        out += [len(run) >= least and k > 0 for k in range(len(run))]
     return out
 
 
-def restore(token: str, model: list) -> list[str]:
-    """Words of the likeliest path through the token's lattice.  ``model``:
-    nested lists of log-probabilities by class."""
+def restore(token: str, model: list, least: int = 3) -> list[str]:
+    """Words of the likeliest path through the token's lattice, in which runs
+    of ``least`` may shrink.  ``model``: nested lists of log-probabilities by
+    class."""
     beam = {(0, 0): (0.0, "")}
-    for char, repeated in zip(token, _repeats(token), strict=True):
+    for char, repeated in zip(token, _repeats(token, least), strict=True):
         following: dict = {}
         choices = [(letter, cost, _class(letter) if letter else -1) for letter, cost in _choices(char, repeated)]
         for (c0, c1), (score, text) in beam.items():
@@ -145,23 +155,52 @@ def restore(token: str, model: list) -> list[str]:
     return best[1].split()
 
 
+def _ends(edge: str) -> list[str]:
+    """Beginnings of an edge that end between unlike characters: the first
+    four, and all of it."""
+    out, at = [""], 0
+    for _, run in groupby(edge):
+        at += len(list(run))
+        out.append(edge[:at])
+    return [*out[:5], *out[5:][-1:]]
+
+
+def _core_readings(core: str, model: list) -> list[str]:
+    """Words of a token without punctuation around it."""
+    if not _DOUBLE.search(core):
+        return [core] if core.isalpha() else restore(core, model)
+    plain = [core] if core.isalpha() and not _TRIPLE.search(core) else restore(core, model)
+    return plain + restore(core, model, 2)
+
+
 def readings(token: str, model: list) -> list[str]:
     """Words that a lower-case token stands for."""
     core = token.rstrip(_EDGE).lstrip(_FRONT)
-    if core.isalpha():
-        return restore(core, model) if _TRIPLE.search(core) else [core]
     if any(map(str.isalpha, core)):
-        return restore(core, model)
-    return []
+        out = _core_readings(core, model)
+        start = token.index(core)
+        before, after = token[:start], token[start + len(core) :]
+        before, after = before[len(before.rstrip(_SOFT)) :], after[: len(after) - len(after.lstrip(_SOFT))]
+        if before or after:
+            for front in _ends(before[::-1]):
+                for back in _ends(after):
+                    if front or back:
+                        out = out + _core_readings(front[::-1] + core + back, model)
+        return list(dict.fromkeys(out))
+    whole = token.rstrip(_HARD_EDGE).lstrip(_HARD_FRONT)
+    if len(whole) < 3 or len(set(whole) & LEET.keys()) < 2 or _NUMBER.fullmatch(whole):
+        return []
+    return list(dict.fromkeys(restore(whole, model) + restore(whole, model, 2)))
 
 
 def spaced_words(text: str, model: list) -> list[str]:
-    """Words spelt with spaces between their letters."""
+    """Words spelt with white space between their letters."""
     out = []
     for m in _SPACED.finditer(text):
-        if sum(map(str.isalpha, m[0])) >= 3:
-            out += restore(m[0], model)
-    return out
+        letters = sum(map(str.isalpha, m[1]))
+        if letters >= 3 or letters and letters + sum(c in LEET for c in m[1]) >= 3:
+            out += restore(" ".join(m[1].split()), model) + readings("".join(m[0].split()), model)
+    return list(dict.fromkeys(out))
 
 
 def word_features(word: str) -> list[int]:

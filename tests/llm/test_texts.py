@@ -40,6 +40,18 @@ def test_restoring():
     assert toxicity.readings("555-1234", m) == [] and toxicity.readings("the###", m) == ["the"]
 
 
+def test_restoring_at_edges_and_over_any_blanks():
+    text = " ".join(["idiot ass stupid shit bad cunt a the lass hello mood"] * 50).encode()
+    m = toxicity.smoothed(toxicity.trigram_counts([text])).tolist()
+    for seen, want in (("a$$", "ass"), ("|diot", "idiot"), ("(unt", "cunt"), ("(a$$!),", "ass"), ("5#!7", "shit"), ("@$$", "ass"), ("stuupid", "stupid"), ("sstuup1d!", "stupid"), ("hello!", "hello"), ("(mood", "mood")):
+        assert want in toxicity.readings(seen, m), seen
+    for seen in ("455", "$455", "(555)", "10:30", "1,000.50", "50!", "!!!", "$", "--", ""):
+        assert toxicity.readings(seen, m) == [], seen
+    for seen, want in (("you b a d one", "bad"), ("i  d i\to t", "idiot"), ("s\nt\nu\np\ni\nd", "stupid"), ("so (i d i o t), yes", "idiot"), ("1 d 1 0 t", "idiot")):
+        assert want in toxicity.spaced_words(seen, m), seen
+    assert toxicity.spaced_words("a mood 1 2 3 4", m) == []
+
+
 def test_restoring_is_the_best_path():
     """The beam holds every state, so it finds what trying all paths finds."""
     m = model()
