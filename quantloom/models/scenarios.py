@@ -26,20 +26,29 @@ DEFAULTS = {
 }
 
 
-def simulate(spark: SparkSession, innovations: list[float], paths: int, steps: int, seed: int, **changed: float) -> DataFrame:
+def simulate(spark: SparkSession, innovations: list[float], paths: int, steps: int, seed: int, counts: list[int] | None = None, **changed: float) -> DataFrame:
     """``path``, ``step``, ``log_return`` (cumulative), ``volatility``,
-    ``liquidated`` (cumulative).  ``innovations`` is a bounded empirical sample."""
+    ``liquidated`` (cumulative).  ``innovations`` are the empirical
+    values, ``counts`` how often each occurs (once each without it)."""
     p = DEFAULTS | changed
     draw = np.array(innovations, float)
-    jumps = np.sort(np.abs(draw))[-max(1, len(draw) // 20) :] * 0.05
+    upto = np.cumsum(np.ones(len(draw), np.int64) if counts is None else np.array(counts, np.int64))
+    # The largest twentieth of all occurrences, by size.
+    by_size = np.argsort(np.abs(draw), kind="stable")[::-1]
+    n_jumps = max(1, int(upto[-1]) // 20)
+    last = np.minimum(np.cumsum(np.diff(upto, prepend=0)[by_size]), n_jumps)
+    jumps, jumps_upto = np.abs(draw)[by_size][::-1] * 0.05, np.cumsum(np.diff(last, prepend=0)[::-1])
+
+    def choice(rng: np.random.Generator, values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return values[np.searchsorted(ends, rng.choice(int(ends[-1]), steps), "right")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scale = np.sqrt(p["step_seconds"] / SECONDS_PER_YEAR)
         for frame in frames:
             for path in frame["id"]:
                 rng = np.random.Generator(np.random.PCG64(splitmix64((seed << 32) ^ int(path))[1]))
-                own, common = rng.choice(draw, steps), rng.choice(draw, steps)
-                hit, size = rng.random(steps) < p["jump_probability"], rng.choice(jumps, steps) * rng.choice([-1.0, 1.0], steps)
+                own, common = choice(rng, draw, upto), choice(rng, draw, upto)
+                hit, size = rng.random(steps) < p["jump_probability"], choice(rng, jumps, jumps_upto) * rng.choice([-1.0, 1.0], steps)
                 vol, total, interest, rows = p["volatility"], 0.0, p["open_interest"], []
                 for k in range(steps):
                     z = np.sqrt(1 - p["systemic"] ** 2) * own[k] + p["systemic"] * common[k]

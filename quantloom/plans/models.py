@@ -127,8 +127,10 @@ def cusp_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scenario_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sample = user_prices(spark, sf_dir).select(((F.col("price") - 50) / 50).alias("z"), "seq").orderBy("seq").limit(500).select("z").toPandas()["z"].tolist()
-    paths = scenarios.simulate(spark, sample, 500, 30, 7)
+    """Scenarios drawn from the prices of all events; the driver gets each
+    distinct price (they are in cents) with its count."""
+    known = user_prices(spark, sf_dir).filter("price is not null").groupBy("price").agg(F.count("*").alias("n")).orderBy("price").toPandas()
+    paths = scenarios.simulate(spark, ((known["price"].astype(float) - 50) / 50).tolist(), 500, 30, 7, known["n"].tolist())
     out = scenarios.summarize(paths, 30, -0.002)
     return out.select(*(r6(c).alias(c) for c in out.columns))
 

@@ -176,3 +176,18 @@ def test_stack_constraints():
     y = (rng.random(200) < 1 / (1 + np.exp(-x[:, 0]))).astype(float)
     b = fitted.stack(x, y, np.ones(200), "simplex", locked=(2,))
     assert b[3] == 0 and abs(b[1:].sum() - 1) < 1e-9 and (b[1:] >= 0).all()
+
+
+def test_scenarios_use_every_event(spark, monkeypatch):
+    from quantloom.models import scenarios
+    from quantloom.plans import models
+
+    counted = scenarios.simulate(spark, [-0.5, 0.1, 2.0], 5, 8, 3, [30, 25, 1]).collect()
+    assert sorted(counted) == sorted(scenarios.simulate(spark, [-0.5] * 30 + [0.1] * 25 + [2.0], 5, 8, 3).collect())
+
+    def summary(late):
+        rows = [(k, 50.0 + k % 7) for k in range(500)] + [(500 + k, late) for k in range(1500)]
+        monkeypatch.setattr(models, "user_prices", lambda *_: spark.createDataFrame(rows, "seq long, price double"))
+        return tuple(models.scenario_summary(spark, "").first())
+
+    assert summary(20.0) != summary(90.0)
