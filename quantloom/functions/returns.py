@@ -2,7 +2,9 @@
 
 A path is ordered by ``(t, seq)`` within its keys.  Measures follow the
 catalogue: population skewness and kurtosis, uncentred realised variance,
-a zero variance is missing (NULL), never 0.
+a zero variance is missing (NULL), never 0.  A price that is not finite and
+positive is no price: it counts as missing, and so do the returns on both its
+sides.
 """
 
 from __future__ import annotations
@@ -17,11 +19,25 @@ def path(keys: list[str]) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy("t", "seq")
 
 
+def valid_price(price: Column) -> Column:
+    """The price if it is finite and positive, else NULL."""
+    return F.when((price > 0) & (price < float("inf")), price)
+
+
+def log_return(now: Column, before: Column) -> Column:
+    return F.log(valid_price(now) / valid_price(before))
+
+
+def relative(now: Column, before: Column) -> Column:
+    """``now / before - 1`` of two prices."""
+    return valid_price(now) / valid_price(before) - 1
+
+
 def with_returns(df: DataFrame, keys: list[str]) -> DataFrame:
     """Adds ``r`` (log return from the row before), ``r1`` (the return before
     it) and ``next_r``."""
     w = path(keys)
-    df = df.withColumn("r", F.log(F.col("price") / F.lag("price").over(w)))
+    df = df.withColumn("r", log_return(F.col("price"), F.lag("price").over(w)))
     return df.withColumns({"r1": F.lag("r").over(w), "next_r": F.lead("r").over(w)})
 
 
@@ -72,35 +88,40 @@ def reversal(least_move: float) -> Column:
 
 def parkinson(high: Column, low: Column) -> Column:
     """From one bar."""
-    return F.sqrt(F.pow(F.log(high / low), 2) / (4 * math.log(2)))
+    return F.sqrt(F.pow(log_return(high, low), 2) / (4 * math.log(2)))
 
 
 def garman_klass(open_: Column, high: Column, low: Column, close: Column, tolerance: float = 1e-12) -> Column:
     """From one bar; a variance below minus the tolerance is missing."""
-    v = 0.5 * F.pow(F.log(high / low), 2) - (2 * math.log(2) - 1) * F.pow(F.log(close / open_), 2)
+    v = 0.5 * F.pow(log_return(high, low), 2) - (2 * math.log(2) - 1) * F.pow(log_return(close, open_), 2)
     return F.when(v >= -tolerance, F.sqrt(F.greatest(v, F.lit(0.0))))
 
 
+def _at() -> Column:
+    return F.when(valid_price(F.col("price")).isNotNull(), F.struct("t", "seq"))
+
+
 def first_price() -> Column:
-    return F.min_by("price", F.struct("t", "seq"))
+    return F.min_by("price", _at())
 
 
 def last_price() -> Column:
-    return F.max_by("price", F.struct("t", "seq"))
+    return F.max_by("price", _at())
 
 
 def with_extremes(df: DataFrame, keys: list[str]) -> DataFrame:
     """Adds the running ``peak`` and ``trough`` of the path."""
     so_far = path(keys).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({"peak": F.max("price").over(so_far), "trough": F.min("price").over(so_far)})
+    price = valid_price(F.col("price"))
+    return df.withColumns({"peak": F.max(price).over(so_far), "trough": F.min(price).over(so_far)})
 
 
 def maximum_drawdown() -> Column:
-    return F.max((F.col("peak") - F.col("price")) / F.col("peak"))
+    return F.max((F.col("peak") - valid_price(F.col("price"))) / F.col("peak"))
 
 
 def maximum_run_up() -> Column:
-    return F.max((F.col("price") - F.col("trough")) / F.col("trough"))
+    return F.max((valid_price(F.col("price")) - F.col("trough")) / F.col("trough"))
 
 
 def trend_slope(per_ns: Column | None = None) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.functions.returns import valid_price
 from quantloom.operators.joins import asof_backward, asof_forward
 
 
@@ -103,8 +104,8 @@ def shock_response(shocks: DataFrame, mids: DataFrame, key: str, horizon_ns: int
     """For each trade (``t``, ``seq``, ``price``, ``sign``): the mid in force
     before it (no older than ``max_age_ns``) and the first mid from ``horizon``
     on, within the tolerance; impact and spreads relative to the first mid.
-    ``mids``: ``key``, ``t``, ``mid``."""
-    quote = mids.select(key, "t", F.col("mid").alias("value"))
+    ``mids``: ``key``, ``t``, ``mid``; a mid that is no valid price is no quote."""
+    quote = mids.select(key, "t", valid_price(F.col("mid")).alias("value")).filter("value is not null")
     before = asof_backward(shocks, quote, key, max_age_ns).withColumnRenamed("value", "mid0").drop("value_t")
     due = before.withColumn("t0", F.col("t")).withColumn("t", F.col("t") + horizon_ns)
     after = asof_forward(due, quote, key, tolerance_ns).withColumnRenamed("value", "mid1").drop("value_t")

@@ -202,7 +202,7 @@ l AS (SELECT *, lag(b) OVER w AS b0, lag(bq) OVER w AS bq0, lag(a) OVER w AS a0,
 o AS (SELECT entity, sum((CASE WHEN b >= b0 THEN bq ELSE 0 END - CASE WHEN b <= b0 THEN bq0 ELSE 0 END) - (CASE WHEN a <= a0 THEN aq ELSE 0 END - CASE WHEN a >= a0 THEN aq0 ELSE 0 END)) AS ofi FROM l WHERE b0 IS NOT NULL GROUP BY entity),
 s AS (SELECT entity, max(t) - max(CASE WHEN b IS DISTINCT FROM b0 OR bq IS DISTINCT FROM bq0 THEN t END) AS stale FROM l GROUP BY entity)
 SELECT entity, round(ofi, 6) + 0.0 AS top_of_book_ofi, stale AS bid_stale_side_duration_ns FROM o JOIN s USING (entity)""",
-    "trade_shock_response": f"""WITH {_E}, m AS (SELECT entity, t, max(price) AS hi, min(price) AS lo FROM e WHERE event_type <> 'purchase' GROUP BY entity, t),
+    "trade_shock_response": f"""WITH {_E}, m AS (SELECT entity, t, max(price) AS hi, min(price) AS lo FROM e WHERE event_type <> 'purchase' AND price > 0 GROUP BY entity, t),
 s AS (SELECT entity, t, seq, price FROM e WHERE event_type = 'purchase'),
 x AS (SELECT s.*, CASE WHEN s.t - m.t <= {5 * NS_PER_DAY} THEN m.hi END AS mid0 FROM s ASOF LEFT JOIN m ON s.entity = m.entity AND s.t >= m.t),
 y AS (SELECT x.*, CASE WHEN n.t - (x.t + {6 * _HOUR}) <= {2 * NS_PER_DAY} THEN n.lo END AS mid1 FROM x ASOF LEFT JOIN m n ON x.entity = n.entity AND x.t + {6 * _HOUR} <= n.t)

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quantloom.functions.returns import valid_price
+
 NS_PER_DAY = 86_400_000_000_000
 NS_PER_HOUR = 3_600_000_000_000
 NS_PER_MINUTE = 60_000_000_000
@@ -23,18 +25,21 @@ def nanos(ts: str) -> Column:
 
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``entity``, ``t`` (ns), ``day``, ``seq``, ``price``: a price path per event type."""
+    """``entity``, ``t`` (ns), ``day``, ``seq``, ``price`` (NULL if it is not finite
+    and positive): a price path per event type."""
     rows = table(spark, sf_dir, "events")
     return rows.select(
         F.col("event_type").alias("entity"),
         nanos("ts").alias("t"),
         F.floor(nanos("ts") / NS_PER_DAY).cast("long").alias("day"),
         F.col("event_id").alias("seq"),
-        F.col("value").alias("price"),
+        valid_price(F.col("value")).alias("price"),
     )
 
 
 def user_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by user with the raw value, which is also an amount; whoever
+    divides by it or takes its logarithm goes through ``valid_price``."""
     rows = table(spark, sf_dir, "events")
     return rows.select(
         F.col("user_id").alias("entity"), nanos("ts").alias("t"), F.floor(nanos("ts") / NS_PER_DAY).cast("long").alias("day"), F.col("event_id").alias("seq"), F.col("value").alias("price"), "event_type", "props"

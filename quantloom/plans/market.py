@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions import book, derivatives, scoring
+from quantloom.functions.returns import log_return
 from quantloom.operators import joins, labels, market
 from quantloom.plans.inputs import NS_PER_DAY, NS_PER_HOUR, nanos, r6, table, user_prices
 
@@ -167,7 +168,7 @@ def competing_first_passage(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = user_prices(spark, sf_dir)
     start = rows.groupBy("entity").agg(F.min("t").alias("t0"), F.min_by("price", F.struct("t", "seq")).alias("p0"))
     f = rows.join(start, "entity").withColumn("offset_s", F.floor((F.col("t") - F.col("t0")) / 1e9).cast("long"))
-    f = f.withColumns({"known_s": F.col("offset_s") + 60, "trusted": (F.col("event_type") != "error") | (F.col("offset_s") < 200_000), "excluded": (F.col("event_type") == "error") & (F.pmod("seq", F.lit(2)) == 0), "ret": F.log(F.col("price") / F.col("p0"))})
+    f = f.withColumns({"known_s": F.col("offset_s") + 60, "trusted": (F.col("event_type") != "error") | (F.col("offset_s") < 200_000), "excluded": (F.col("event_type") == "error") & (F.pmod("seq", F.lit(2)) == 0), "ret": log_return(F.col("price"), F.col("p0"))})
     out = None
     for name, condition in (("downside", F.col("ret") <= -1.0), ("upside", F.col("ret") >= 1.0)):
         one = labels.first_passage(f, ["entity"], condition, 864_000, 3_600).withColumn("event_type", F.lit(name))
@@ -247,7 +248,7 @@ def fast_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = user_prices(spark, sf_dir).withColumn("k", F.get_json_object("props", "$.k").cast("double"))
     w = Window.partitionBy("entity").orderBy("t", "seq")
     p, k = F.col("price"), F.col("k")
-    rows = rows.withColumns({"dp": p - F.lag(p).over(w), "dk": k - F.lag(k).over(w), "dt": F.col("t") - F.lag("t").over(w), "ret": F.log(p / F.lag(p).over(w)), "oi": k / F.nullif(F.lag(k).over(w), F.lit(0.0)) - 1})
+    rows = rows.withColumns({"dp": p - F.lag(p).over(w), "dk": k - F.lag(k).over(w), "dt": F.col("t") - F.lag("t").over(w), "ret": log_return(p, F.lag(p).over(w)), "oi": k / F.nullif(F.lag(k).over(w), F.lit(0.0)) - 1})
     rows = rows.filter("dt is not null")
     d = derivatives
     destruction = d.open_interest_destruction(F.col("ret"), F.col("oi"))
@@ -376,7 +377,7 @@ SELECT a.part, venues, excluded, fp AS fair_price FROM (SELECT part, count(*) AS
 SELECT q.part, count(*) AS venues, round(median(abs(price / med - 1)), 6) + 0.0 AS cross_venue_median_absolute_dispersion, round((max(price) - min(price)) / max(med), 6) + 0.0 AS indicative_cross_venue_price_range,
   round(sum(CAST(depth AS DOUBLE) * depth) / (CAST(sum(depth) AS DOUBLE) * CAST(sum(depth) AS DOUBLE)), 6) + 0.0 AS venue_concentration_index FROM q JOIN m USING (part) GROUP BY q.part""",
     "competing_first_passage": f"""WITH {_E}, s AS (SELECT entity, min(t) AS t0, first(price ORDER BY t, seq) AS p0 FROM e GROUP BY entity),
-f AS (SELECT e.entity, CAST(floor((t - t0) / 1e9) AS BIGINT) AS o, event_type <> 'error' OR floor((t - t0) / 1e9) < 200000 AS trusted, event_type = 'error' AND seq % 2 = 0 AS excl, ln(price / p0) AS ret FROM e JOIN s USING (entity)),
+f AS (SELECT e.entity, CAST(floor((t - t0) / 1e9) AS BIGINT) AS o, event_type <> 'error' OR floor((t - t0) / 1e9) < 200000 AS trusted, event_type = 'error' AND seq % 2 = 0 AS excl, CASE WHEN price > 0 AND p0 > 0 THEN ln(price / p0) END AS ret FROM e JOIN s USING (entity)),
 v AS (SELECT 'downside' AS event_type UNION ALL SELECT 'upside'),
 b AS (SELECT f.*, v.event_type, max(CASE WHEN trusted THEN 0 ELSE 1 END) OVER (PARTITION BY entity, v.event_type ORDER BY o ROWS UNBOUNDED PRECEDING) AS broken, CASE WHEN v.event_type = 'upside' THEN ret >= 1.0 ELSE ret <= -1.0 END AS m FROM f, v WHERE o <= 864000),
 g AS (SELECT *, sum(CASE WHEN m THEN 0 ELSE 1 END) OVER (PARTITION BY entity, event_type ORDER BY o ROWS UNBOUNDED PRECEDING) AS miss FROM b WHERE broken = 0),
@@ -417,7 +418,7 @@ SELECT event_type, """
 c AS (SELECT label, i, avg(x) AS c FROM x GROUP BY ALL), d AS (SELECT vec_id, c.label, sum((x - c) * (x - c)) AS d2 FROM x JOIN c USING (i) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(d2, 9), label) AS rk, min(d2) OVER (PARTITION BY vec_id) AS m FROM d)
 SELECT vec_id, label AS nearest_label, round(sqrt(m), 6) + 0.0 AS distance FROM r WHERE rk = 1""",
-    "fast_triggers": f"""WITH {_E}, l AS (SELECT *, price - lag(price) OVER w AS dp, k - lag(k) OVER w AS dk, t - lag(t) OVER w AS dt, ln(price / lag(price) OVER w) AS ret, k / nullif(lag(k) OVER w, 0) - 1 AS oi FROM e WINDOW w AS (PARTITION BY entity ORDER BY t, seq)),
+    "fast_triggers": f"""WITH {_E}, l AS (SELECT *, price - lag(price) OVER w AS dp, k - lag(k) OVER w AS dk, t - lag(t) OVER w AS dt, CASE WHEN price > 0 AND lag(price) OVER w > 0 THEN ln(price / lag(price) OVER w) END AS ret, k / nullif(lag(k) OVER w, 0) - 1 AS oi FROM e WINDOW w AS (PARTITION BY entity ORDER BY t, seq)),
 m AS (SELECT *, CASE WHEN oi >= -1 THEN greatest(-oi, 0) * abs(ret) END AS de FROM l WHERE dt IS NOT NULL)
 SELECT seq, round(greatest(-dp, -dk, 0), 6) + 0.0 AS depth_disappearance, round(ln(1 + price * (k / 100)), 6) + 0.0 AS cancellation_burst, round(CASE WHEN dt > 0 THEN (price - (price - dp)) / (dt / 1e9) END, 6) + 0.0 AS dispersion_acceleration,
   round(de, 6) + 0.0 AS open_interest_destruction, round(ln(1 + price * (k / 100) * (1 + coalesce(de, 0))), 6) + 0.0 AS liquidation_pressure,

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions import registry
+from quantloom.functions.returns import log_return, valid_price
 from quantloom.models import fitted, scenarios, sequential
 from quantloom.models.roots import fold_distance, topology
 from quantloom.operators.bars import ewma
@@ -48,7 +49,7 @@ def har_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily, weekly and monthly means of squared returns against the next day."""
     rows = user_prices(spark, sf_dir)
     w = Window.partitionBy("entity").orderBy("t", "seq")
-    r = rows.select("entity", "day", F.log(F.col("price") / F.lag("price").over(w)).alias("r")).filter("r is not null")
+    r = rows.select("entity", "day", log_return(F.col("price"), F.lag("price").over(w)).alias("r")).filter("r is not null")
     rv = r.groupBy("entity", "day").agg(F.sum(F.col("r") * F.col("r")).alias("daily"))
     span = lambda n: Window.partitionBy("entity").orderBy("day").rangeBetween(-(n - 1), 0)
     d = Window.partitionBy("entity").orderBy("day")
@@ -59,7 +60,7 @@ def har_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def changepoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = user_prices(spark, sf_dir).select("entity", "t", "seq", F.log("price").alias("x"))
+    rows = user_prices(spark, sf_dir).select("entity", "t", "seq", F.log(valid_price(F.col("price"))).alias("x"))
 
     def fold(g: pd.DataFrame) -> pd.DataFrame:
         out = sequential.run_lengths(g["x"].to_numpy(), 1 / 50, (3.5, 1.0, 2.0, 1.0))
@@ -70,7 +71,7 @@ def changepoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hidden_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = user_prices(spark, sf_dir).select("entity", "t", "seq", F.log("price").alias("x"))
+    rows = user_prices(spark, sf_dir).select("entity", "t", "seq", F.log(valid_price(F.col("price"))).alias("x"))
 
     def fold(g: pd.DataFrame) -> pd.DataFrame:
         x = g[["x"]].to_numpy()
@@ -85,7 +86,7 @@ def hidden_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ewma_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("entity").orderBy("t", "seq")
-    rows = user_prices(spark, sf_dir).withColumn("r", F.log(F.col("price") / F.lag("price").over(w))).filter("r is not null")
+    rows = user_prices(spark, sf_dir).withColumn("r", log_return(F.col("price"), F.lag("price").over(w))).filter("r is not null")
 
     def fold(g: pd.DataFrame) -> pd.DataFrame:
         v, low, high, vol = sequential.lambda_volatility(g["r"].to_numpy(), 0.94)

@@ -14,7 +14,8 @@ from quantloom.plans.inputs import NS_PER_DAY, NS_PER_HOUR, prices, r6, trades,
 KEYS = ["entity", "day"]
 #: Prices of the day's path in SQL.
 PATH = """p AS (
-  SELECT event_type AS entity, epoch_us(ts) * 1000 AS t, CAST(floor(epoch_us(ts) / 86400000000) AS BIGINT) AS day, event_id AS seq, value AS price
+  SELECT event_type AS entity, epoch_us(ts) * 1000 AS t, CAST(floor(epoch_us(ts) / 86400000000) AS BIGINT) AS day, event_id AS seq,
+    CASE WHEN value > 0 AND value < 'Infinity'::DOUBLE THEN value END AS price
   FROM events
 ), r0 AS (
   SELECT *, ln(price / lag(price) OVER w) AS r FROM p WINDOW w AS (PARTITION BY entity, day ORDER BY t, seq)
@@ -27,6 +28,7 @@ def realized_measures_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = R.with_returns(prices(spark, sf_dir), KEYS)
     return rows.groupBy(*KEYS).agg(
         F.count("r").alias("n_returns"),
+        F.count_if(F.col("price").isNull()).alias("invalid_prices"),
         r6(R.realized_variance()).alias("realized_variance"),
         r6(F.sqrt(R.realized_variance())).alias("realized_volatility"),
         r6(R.semivariance(True)).alias("upside_semivariance"),
@@ -59,10 +61,10 @@ def ohlc_range_vol(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, h, low, c = (F.col(x) for x in "ohlc")
     return bar.select(
         *KEYS,
-        r6(F.log(c / o)).alias("log_return"),
-        r6(c / o - 1).alias("cumulative_return"),
-        r6(h / low - 1).alias("high_low_range"),
-        r6(c / o - 1).alias("open_close_range"),
+        r6(R.log_return(c, o)).alias("log_return"),
+        r6(R.relative(c, o)).alias("cumulative_return"),
+        r6(R.relative(h, low)).alias("high_low_range"),
+        r6(R.relative(c, o)).alias("open_close_range"),
         r6(R.parkinson(h, low)).alias("parkinson_volatility"),
         r6(R.garman_klass(o, h, low, c)).alias("garman_klass_volatility"),
     )
@@ -115,7 +117,7 @@ def interval_gap_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open over the previous day's close; missing unless the days adjoin."""
     bar = prices(spark, sf_dir).groupBy(*KEYS).agg(R.first_price().alias("o"), R.last_price().alias("c"))
     w = Window.partitionBy("entity").orderBy("day")
-    gap = F.when(F.lag("day").over(w) == F.col("day") - 1, F.col("o") / F.lag("c").over(w) - 1)
+    gap = F.when(F.lag("day").over(w) == F.col("day") - 1, R.relative(F.col("o"), F.lag("c").over(w)))
     return bar.select(*KEYS, r6(gap).alias("finalized_interval_gap"))
 
 
@@ -142,7 +144,7 @@ def realized_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     hour = F.floor(F.col("t") / NS_PER_HOUR).cast("long")
     grid = prices(spark, sf_dir).groupBy("entity", "day", hour.alias("hour")).agg(R.last_price().alias("price"))
     w = Window.partitionBy("entity").orderBy("hour")
-    grid = grid.withColumn("r", F.when(F.lag("hour").over(w) == F.col("hour") - 1, F.log(F.col("price") / F.lag("price").over(w)))).filter("r is not null")
+    grid = grid.withColumn("r", F.when(F.lag("hour").over(w) == F.col("hour") - 1, R.log_return(F.col("price"), F.lag("price").over(w)))).filter("r is not null")
     left = grid.select(F.col("entity").alias("left"), "day", "hour", F.col("r").alias("x"))
     right = grid.select(F.col("entity").alias("right"), "hour", F.col("r").alias("y"))
     pair = left.join(right, "hour").filter("left < right")
@@ -177,10 +179,10 @@ QUERIES = {
 _HALF_PI = repr(math.pi / 2)
 ORACLE_SQL = {
     "realized_measures_daily": f"""WITH {PATH}, a AS (
-  SELECT entity, day, count(r) AS n_returns, coalesce(sum(r * r), 0) AS rv, sum(CASE WHEN r > 0 THEN r * r ELSE 0 END) AS up,
+  SELECT entity, day, count(r) AS n_returns, count(*) FILTER (price IS NULL) AS invalid_prices, coalesce(sum(r * r), 0) AS rv, sum(CASE WHEN r > 0 THEN r * r ELSE 0 END) AS up,
     sum(CASE WHEN r < 0 THEN r * r ELSE 0 END) AS down, {_HALF_PI} * coalesce(sum(abs(r) * abs(r1)), 0) AS bv
   FROM r GROUP BY entity, day)
-SELECT entity, day, n_returns, round(rv, 6) + 0.0 AS realized_variance, round(sqrt(rv), 6) + 0.0 AS realized_volatility,
+SELECT entity, day, n_returns, invalid_prices, round(rv, 6) + 0.0 AS realized_variance, round(sqrt(rv), 6) + 0.0 AS realized_volatility,
   round(up, 6) + 0.0 AS upside_semivariance, round(down, 6) + 0.0 AS downside_semivariance,
   round(bv, 6) + 0.0 AS bipower_variation, round(greatest(rv - bv, 0), 6) + 0.0 AS jump_variation FROM a""",
     "return_moments_daily": f"""WITH {PATH}, m AS (
@@ -204,7 +206,7 @@ SELECT entity, day,
 SELECT entity, day, round(max((peak - price) / peak), 6) + 0.0 AS maximum_drawdown, round(max((price - trough) / trough), 6) + 0.0 AS maximum_run_up
 FROM x GROUP BY entity, day""",
     "ohlc_range_vol": f"""WITH {PATH}, b AS (
-  SELECT entity, day, first(price ORDER BY t, seq) AS o, max(price) AS h, min(price) AS l, last(price ORDER BY t, seq) AS c FROM p GROUP BY entity, day
+  SELECT entity, day, first(price ORDER BY t, seq) FILTER (price IS NOT NULL) AS o, max(price) AS h, min(price) AS l, last(price ORDER BY t, seq) FILTER (price IS NOT NULL) AS c FROM p GROUP BY entity, day
 ), g AS (SELECT *, 0.5 * power(ln(h / l), 2) - (2 * ln(2) - 1) * power(ln(c / o), 2) AS v FROM b)
 SELECT entity, day, round(ln(c / o), 6) + 0.0 AS log_return, round(c / o - 1, 6) + 0.0 AS cumulative_return, round(h / l - 1, 6) + 0.0 AS high_low_range,
   round(c / o - 1, 6) + 0.0 AS open_close_range, round(sqrt(power(ln(h / l), 2) / (4 * ln(2))), 6) + 0.0 AS parkinson_volatility,
@@ -235,7 +237,7 @@ SELECT instrument, day,
 FROM d WINDOW s AS (PARTITION BY instrument ORDER BY day RANGE BETWEEN 6 PRECEDING AND CURRENT ROW),
   a AS (PARTITION BY instrument, day // 30 ORDER BY day ROWS UNBOUNDED PRECEDING)""",
     "interval_gap_daily": f"""WITH {PATH}, b AS (
-  SELECT entity, day, first(price ORDER BY t, seq) AS o, last(price ORDER BY t, seq) AS c FROM p GROUP BY entity, day)
+  SELECT entity, day, first(price ORDER BY t, seq) FILTER (price IS NOT NULL) AS o, last(price ORDER BY t, seq) FILTER (price IS NOT NULL) AS c FROM p GROUP BY entity, day)
 SELECT entity, day, round(CASE WHEN lag(day) OVER w = day - 1 THEN o / lag(c) OVER w - 1 END, 6) + 0.0 AS finalized_interval_gap
 FROM b WINDOW w AS (PARTITION BY entity ORDER BY day)""",
     "volatility_structure": f"""WITH {PATH}, v AS (SELECT entity, day, sqrt(sum(r * r)) AS rv FROM r WHERE r IS NOT NULL GROUP BY entity, day)
@@ -244,7 +246,7 @@ SELECT entity, day, round(stddev_samp(rv) OVER k, 6) + 0.0 AS volatility_of_vola
   round(rv / nullif(avg(rv) OVER (PARTITION BY entity, (day + 3) % 7), 0), 6) + 0.0 AS seasonality_adjusted_volatility
 FROM v WINDOW k AS (PARTITION BY entity ORDER BY day RANGE BETWEEN 6 PRECEDING AND CURRENT ROW), s AS (PARTITION BY entity ORDER BY day RANGE BETWEEN 2 PRECEDING AND CURRENT ROW)""",
     "realized_pairs": f"""WITH {PATH}, g AS (
-  SELECT entity, CAST(floor(t / {float(NS_PER_HOUR)!r}) AS BIGINT) AS hour, last(price ORDER BY t, seq) AS price FROM p GROUP BY ALL
+  SELECT entity, CAST(floor(t / {float(NS_PER_HOUR)!r}) AS BIGINT) AS hour, last(price ORDER BY t, seq) FILTER (price IS NOT NULL) AS price FROM p GROUP BY ALL
 ), h AS (SELECT *, CASE WHEN lag(hour) OVER w = hour - 1 THEN ln(price / lag(price) OVER w) END AS r FROM g WINDOW w AS (PARTITION BY entity ORDER BY hour))
 SELECT a.entity AS "left", b.entity AS "right", count(*) AS n, round(sum(a.r * b.r), 6) + 0.0 AS realized_covariance,
   round(CASE WHEN sum(a.r * a.r) * sum(b.r * b.r) > 0 THEN sum(a.r * b.r) / sqrt(sum(a.r * a.r) * sum(b.r * b.r)) END, 6) + 0.0 AS realized_correlation,

@@ -7,10 +7,11 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from quantloom.functions import registry, scoring
+from quantloom.functions import registry, returns, scoring
 from quantloom.models import fitted, roots, sequential
-from quantloom.operators import bars, joins, labels, market, windows
+from quantloom.operators import bars, flow, joins, labels, market, windows
 
 
 def test_capped_weights_keep_order_and_sum():
@@ -191,3 +192,21 @@ def test_scenarios_use_every_event(spark, monkeypatch):
         return tuple(models.scenario_summary(spark, "").first())
 
     assert summary(20.0) != summary(90.0)
+
+
+def test_prices_that_are_not_positive_are_missing(spark):
+    values = [10.0, 0.0, 12.0, -3.0, float("nan"), None, float("inf"), 15.0, 18.0]
+    rows = spark.createDataFrame([(1, t, t, v) for t, v in enumerate(values)], "k int, t long, seq long, price double")
+    got = [r["r"] for r in returns.with_returns(rows, ["k"]).orderBy("t").collect()]
+    assert got[:8] == [None] * 8 and math.isclose(got[8], math.log(18 / 15))
+    bar = rows.groupBy("k").agg(returns.first_price().alias("o"), returns.last_price().alias("c")).first()
+    assert (bar["o"], bar["c"]) == (10.0, 18.0)
+    swing = returns.with_extremes(rows, ["k"]).groupBy("k").agg(returns.maximum_drawdown().alias("down"), returns.maximum_run_up().alias("up")).first()
+    assert swing["down"] == 0.0 and math.isclose(swing["up"], 0.8)
+    odd = spark.createDataFrame([(0.0, 0.0, 0.0, 0.0), (1.0, 2.0, 0.0, 1.0)], "o double, h double, l double, c double")
+    o, h, low, c = (F.col(x) for x in "ohlc")
+    assert [tuple(r) for r in odd.select(returns.parkinson(h, low), returns.garman_klass(o, h, low, c), returns.relative(c, o)).collect()] == [(None, None, None), (None, None, 0.0)]
+    mids = spark.createDataFrame([(1, 5, 0.0), (1, 4, 2.0), (1, 30, -1.0), (1, 31, 3.0)], "k long, t long, mid double")
+    shock = spark.createDataFrame([(1, 10, 1, 2.5, 1.0)], "k long, t long, seq long, price double, sign double")
+    out = flow.shock_response(shock, mids, "k", 15, 100, 100).first()
+    assert (out["mid0"], out["mid1"], out["trade_shock_midprice_impact"]) == (2.0, 3.0, 0.5)
