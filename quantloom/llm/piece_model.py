@@ -7,6 +7,7 @@ that hold user-defined or unused pieces, are refused rather than approximated.
 
 from __future__ import annotations
 
+import codecs
 import struct
 from heapq import heapify, heappop, heappush
 
@@ -15,6 +16,18 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 SPACE = "▁"
 
 
+def _bad_bytes(error: UnicodeDecodeError) -> tuple[str, int]:
+    return "\ufffd", error.start + 1
+
+
+codecs.register_error("quantloom.each_byte", _bad_bytes)
+
+
+def decoded(text: bytes) -> str:
+    """UTF-8 with U+FFFD for each byte that is not part of a character."""
+    return text.decode("utf-8", "quantloom.each_byte")
+
+
 def _fields(buf: bytes):
     at = 0
     end = len(buf)

@@ -15,8 +15,12 @@ decodes through its bytes.
 
 ``encode`` keeps all columns and adds ``ids``; ``decode`` turns identifiers
 into the text again.  Null and empty texts have no identifiers and decode to
-the empty text.  Repeated rows are encoded each.  The codec is reversible but
-for what the model itself joins: U+2581 decodes to a space.
+the empty text.  Repeated rows are encoded each.  A byte that is not UTF-8 is
+read as U+FFFD.  The codec is reversible but for what the model itself joins:
+U+2581 decodes to a space.
+
+What is indexed are the distinct words that a worker does not keep from earlier
+batches; the identifiers do not depend on what it keeps.
 """
 
 from __future__ import annotations
@@ -28,14 +32,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quantloom.llm import piece_model
-from quantloom.llm.piece_model import SPACE
+from quantloom.llm.piece_model import SPACE, decoded
 from quantloom.llm.shared import binary_values, read
 
-#: Words whose identifiers a worker keeps, and characters indexed at once.
-CACHE = 800_000
+#: Words of at most so many bytes whose identifiers a worker keeps, and characters indexed at once.
+CACHE, LONGEST_KEPT = 800_000, 64
 INDEXED = 600_000
 _WORD = re.compile(rb" +[^ ]*|[^ ]+")
 _SPACE = SPACE.encode()
@@ -217,11 +222,11 @@ class Codec:
                 out += [b" " + w for w in line.split(b" ")[1:]]
         return out
 
-    def learn(self, words: set[bytes]) -> None:
-        """Encode words that are not kept yet, so many characters at a time."""
-        if len(self.words) + len(words) > CACHE:
-            self.words.clear()
-        new = [w for w in words if w not in self.words]
+    def encoded(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Identifiers of each word.  Words that are not kept are encoded now,
+        so many characters at a time, and the short ones among them kept."""
+        found = {w: self.words[w] for w in words if w in self.words}
+        new = [w for w in words if w not in found]
         at = 0
         while at < len(new):
             size, end = 0, at
@@ -229,9 +234,13 @@ class Codec:
                 size += len(new[end])
                 end += 1
             some = new[at:end]
-            codes = self._index([w.decode().replace(" ", SPACE) for w in some])
-            self.words.update(zip(some, codes, strict=True))
+            codes = self._index([decoded(w).replace(" ", SPACE) for w in some])
+            found.update(zip(some, codes, strict=True))
             at = end
+        if len(self.words) + len(found) > CACHE:
+            self.words.clear()
+        self.words.update((w, c) for w, c in found.items() if len(w) <= LONGEST_KEPT)
+        return found
 
     def encode_batch(self, texts: list[bytes | None]) -> Iterator[bytes]:
         """Identifiers of each text as little-endian 32-bit numbers.  Texts are
@@ -243,8 +252,7 @@ class Codec:
                 size += len(texts[end] or b"")
                 end += 1
             cut = [self.split(t or b"") for t in texts[at:end]]
-            self.learn({w for words in cut for w in words})
-            kept = self.words
+            kept = self.encoded({w for words in cut for w in words})
             for words in cut:
                 yield b"".join([kept[w] for w in words])
             at = end
@@ -310,7 +318,7 @@ def op10_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     little-endian 32-bit numbers), decoded_sha256 (of the text decoded from
     them) and round_trip (whether that is the text, U+2581 read as a space)."""
     data = piece_model.load(piece_model.default_path())
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(data)

@@ -31,10 +31,12 @@ def held_out(doc_id: Column) -> Column:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` where it is
-    set; otherwise (tests on one machine) a temporary folder set once."""
+    set; otherwise, on one machine only, a temporary folder set once."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quantloom-"))
         named = sc.getCheckpointDir()
     return named.rstrip("/")
@@ -60,6 +62,35 @@ def discard(spark: SparkSession, df: DataFrame | None) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Rows of a table that may be broadcast (bounded samples, lists of large keys).
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame, n_rows: int) -> DataFrame:
+    """``df`` marked for broadcast if its known number of rows allows it."""
+    return F.broadcast(df) if n_rows <= BROADCAST_ROWS else df
+
+
+class Kept(dict):
+    """Results computed when first asked for.  What is kept is bounded in
+    entries and in bytes of keys; a longer key is computed each time.  The
+    results do not depend on it."""
+
+    def __init__(self, entries: int, longest: int = 64) -> None:
+        self.entries, self.longest = entries, longest
+
+    def compute(self, key):
+        raise NotImplementedError
+
+    def __missing__(self, key):
+        found = self.compute(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.entries:
+                self.clear()
+            self[key] = found
+        return found
+
+
 def text_bytes(docs: DataFrame) -> int:
     """Bytes of all texts (one scan of one column, no Python)."""
     return docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]

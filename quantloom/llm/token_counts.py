@@ -5,10 +5,11 @@ space that follows another character, and around line breaks); each part is
 merged with a heap of adjacent pairs over a linked list, lowest rank first and
 leftmost among equals.  The count is the number of initial symbols minus the
 number of merges; identifiers are never made.  Parts recur, so a worker keeps
-the counts of the parts it met last (a cache of bounded size; results do not
-depend on it).
+the counts of the short parts it met last (a cache of bounded entries of
+bounded length; results do not depend on it).
 
-Nulls and empty texts count 0 tokens and 0 bytes.  Repeated rows and rows with
+Nulls and empty texts count 0 tokens and 0 bytes.  A byte that is not UTF-8
+counts as U+FFFD, as the library reads it.  Repeated rows and rows with
 a null id are counted each.  Extra columns are ignored by the query and kept by
 ``count_tokens``.  Long texts are handled part by part.
 """
@@ -24,52 +25,44 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quantloom.llm import piece_model
-from quantloom.llm.shared import binary_values, read
+from quantloom.llm.piece_model import decoded
+from quantloom.llm.shared import Kept, binary_values, read
 
-#: Parts whose counts a worker keeps.
+#: Parts of at most 64 bytes whose counts a worker keeps.
 CACHE = 500_000
 LIMIT = 4096
 _PART = re.compile(rb" +[^ ]*|[^ ]+")
 _SPACE = piece_model.SPACE.encode()
 
 
-class _Kept(dict):
-    """Counts computed when first asked for; the cache is emptied when full."""
-
-    def __init__(self, model: piece_model.PieceModel, size: int = CACHE) -> None:
-        self.model, self.size = model, size
-
-    def __missing__(self, key):
-        n = self.compute(key)
-        if len(self) >= self.size:
-            self.clear()
-        self[key] = n
-        return n
-
-
-class _Part(_Kept):
+class _Part(Kept):
     """Count of a part that merges cannot leave, spaces as U+2581."""
 
+    def __init__(self, model: piece_model.PieceModel, entries: int = CACHE) -> None:
+        super().__init__(entries)
+        self.model = model
+
     def compute(self, part: str) -> int:
         return self.model.count(part)
 
 
-class _Bare(_Kept):
+class _Bare(Kept):
     """Count of a piece of a line, as bytes."""
 
     def __init__(self, model: piece_model.PieceModel) -> None:
-        super().__init__(model)
+        super().__init__(CACHE)
+        self.model = model
         self.part = _Part(model, CACHE // 2)
 
     def compute(self, word: bytes) -> int:
-        return sum(map(self.part.__getitem__, self.model.safe_parts(word.decode().replace(" ", piece_model.SPACE)))) if word else 0
+        return sum(map(self.part.__getitem__, self.model.safe_parts(decoded(word).replace(" ", piece_model.SPACE)))) if word else 0
 
 
 class _Spaced(_Bare):
     """The same for a word with one space before it, the space left out."""
 
     def compute(self, word: bytes) -> int:
-        text = word.decode()
+        text = decoded(word)
         if text.isalpha():  # few cuts inside a word, and fewer that save time
             return self.model.count(piece_model.SPACE + text)
         return sum(map(self.part.__getitem__, self.model.safe_parts(piece_model.SPACE + text)))
@@ -93,7 +86,7 @@ def count_text(text: bytes, bare: _Bare, spaced: _Spaced) -> int:
     if _SPACE in text:
         text = text.replace(_SPACE, b" ")
     if not model.cuts:
-        return model.count((b" " + text).decode().replace(" ", piece_model.SPACE))
+        return model.count(decoded(b" " + text).replace(" ", piece_model.SPACE))
     lines = text.split(b"\n") if model.lines else [text]
     total = len(lines) - 1
     one = spaced.__getitem__

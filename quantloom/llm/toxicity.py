@@ -19,7 +19,8 @@ classes' true sizes), never on held-out ones.  Only the text is an input.
 
 Cases: null and empty texts get the score of a text without evidence; rows
 without doc_id are scored and never learnt from; a doc_id labelled twice is
-toxic if either says so; null labels are not used; no labels at all give score
+toxic if either says so, and of several texts of one doc_id the least is
+learnt from; null labels are not used; no labels at all give score
 0; an empty table gives no rows; other columns are ignored.
 """
 
@@ -37,11 +38,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quantloom.llm.shared import binary_values, held_out, materialize, read, text_batches
+from quantloom.llm.shared import Kept, binary_values, discard, held_out, materialize, read, text_batches
 
 #: Labelled rows of each class that the classifier is fitted on; features kept.
 SAMPLE, FEATURES = 8192, 1024
 THRESHOLD = 0.3
+#: Tokens of at most 64 characters whose features a worker keeps.
 CACHE = 200_000
 HASHED = 1 << 20
 
@@ -135,24 +137,29 @@ def restore(token: str, model: list, least: int = 3) -> list[str]:
     """Words of the likeliest path through the token's lattice, in which runs
     of ``least`` may shrink.  ``model``: nested lists of log-probabilities by
     class."""
-    beam = {(0, 0): (0.0, "")}
+    # A state keeps its score and its last letter with a pointer to the one before.
+    beam: dict = {(0, 0): (0.0, None)}
     for char, repeated in zip(token, _repeats(token, least), strict=True):
         following: dict = {}
         choices = [(letter, cost, _class(letter) if letter else -1) for letter, cost in _choices(char, repeated)]
-        for (c0, c1), (score, text) in beam.items():
+        for (c0, c1), (score, back) in beam.items():
             row = model[c0][c1]
             for letter, cost, c in choices:
                 if c < 0:
-                    state, value, out = (c0, c1), score - cost, text
+                    state, value, out = (c0, c1), score - cost, back
                 elif c == 0 and c1 == 0:
-                    state, value, out = (0, 0), score - cost, text
+                    state, value, out = (0, 0), score - cost, back
                 else:
-                    state, value, out = (c1, c), score - cost + row[c], text + letter
+                    state, value, out = (c1, c), score - cost + row[c], (letter, back)
                 if state not in following or value > following[state][0]:
                     following[state] = (value, out)
         beam = following
-    best = max(((score + (model[c0][c1][0] if c1 else 0.0), text) for (c0, c1), (score, text) in beam.items()), key=lambda x: x[0])
-    return best[1].split()
+    _, back = max(((score + (model[c0][c1][0] if c1 else 0.0), back) for (c0, c1), (score, back) in beam.items()), key=lambda x: x[0])
+    letters = []
+    while back is not None:
+        letter, back = back
+        letters.append(letter)
+    return "".join(reversed(letters)).split()
 
 
 def _ends(edge: str) -> list[str]:
@@ -215,7 +222,8 @@ class Reader:
 
     def __init__(self, model: np.ndarray, chosen: dict[int, int] | None = None) -> None:
         self.model, self.chosen = model.tolist(), chosen
-        self.tokens: dict[str, tuple[int, ...]] = {}
+        self.tokens = Kept(CACHE)
+        self.tokens.compute = lambda token: self._of(readings(token, self.model))
 
     def _of(self, words: list[str]) -> tuple[int, ...]:
         found = {f for w in words for f in word_features(w)}
@@ -228,12 +236,7 @@ class Reader:
         out: set[int] = set()
         kept = self.tokens
         for token in set(text.split()):
-            some = kept.get(token)
-            if some is None:
-                if len(kept) >= CACHE:
-                    kept.clear()
-                some = kept[token] = self._of(readings(token, self.model))
-            if some:
+            if some := kept[token]:
                 out.update(some)
         words = spaced_words(text, self.model)
         if words:
@@ -287,7 +290,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
     some = known.filter("toxic = 1").orderBy(*by).limit(sample).unionByName(known.filter("toxic = 0").orderBy(*by).limit(sample))
     picked = spark.createDataFrame(some.toArrow())  # 2 * sample ids at most
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = text.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    # Of rows that repeat a doc_id the least text is learnt from.
+    rows = text.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model)
@@ -296,6 +300,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["toxic", "found"])
 
     rows = materialize(spark, rows.select("toxic", "text").mapInArrow(extract, "toxic int, found array<int>"), "sample")
+    discard(spark, known)
     n, n_toxic = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not n_toxic or n_toxic == n:
         p = (sizes.get(1, 0) + 0.5) / (sum(sizes.values()) + 1) if sizes else 0.0
@@ -306,6 +311,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
     chosen = {r["feature"]: k for k, r in enumerate(best)}
     wanted = F.array(*[F.lit(f) for f in chosen]) if chosen else F.array().cast("array<int>")
     design = rows.select("toxic", F.array_intersect("found", wanted).alias("found")).toArrow()
+    discard(spark, rows)
     y = design.column("toxic").to_numpy().astype(float)
     columns = [[chosen[f] for f in r] for r in design.column("found").to_pylist()]
     weight = np.where(y == 1, sizes[1] / n_toxic, sizes[0] / (n - n_toxic))
