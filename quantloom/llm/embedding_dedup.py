@@ -3,11 +3,16 @@
 A rotation is learnt on a bounded sample so that the signs of the rotated
 vectors make balanced 64-bit codes with little quantisation error.  The codes
 are cut into disjoint substrings, each the key of one Hamming table; several
-rotations give as many tables as the wanted recall needs at the threshold.
-Vectors that share a key in a table are compared by the cosine of the original
-vectors in double precision.  A pair counts in the first table in which it
-meets, so numbers of links are exact for the pairs found, and no pair leaves
-its task: a bucket returns counts and a spanning forest.
+rotations give as many tables as the wanted recall needs at the threshold, and
+substrings grow with the logarithm of the number of vectors.
+
+Only codes travel to the tables.  Two vectors that share a key are candidates
+if their whole codes differ in at most ``radius`` bits, and the first table in
+which they share a key has the pair.  The vectors of a table's candidates alone
+are fetched, and the same pairs are reranked by the cosine of the original
+vectors in double precision.  A pair counts once, so numbers of links are exact
+for the pairs found, and no pair leaves its task: a bucket returns counts and a
+spanning forest.
 
 Equal vectors are one node that stands for all its copies, so a vector that a
 third of all rows hold is compared once.  A bucket above ``BLOCK`` rows is cut
@@ -32,14 +37,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm.components import connected_components
-from quantloom.llm.shared import discard, local_components, materialize, parts, read, sorted_groups
+from quantloom.llm.shared import discard, local_components, materialize, parts, read, small, sorted_groups
 from quantloom.llm.vectors import matrix, usable
 
 THRESHOLD, BITS, RECALL = 0.95, 64, 0.97
 #: Rows the rotations are learnt on, rounds of learning, rows of a block.
-SAMPLE, ROUNDS, BLOCK = 4096, 40, 1024
-#: Large buckets (16 bytes each) that are broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 100_000
+SAMPLE, ROUNDS, BLOCK = 4096, 40, 4096
+#: Pairs whose codes are compared at once.
+AT_ONCE = 1 << 20
 
 
 def learn_rotation(sample: np.ndarray, bits: int, seed: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -62,36 +67,54 @@ def learn_rotation(sample: np.ndarray, bits: int, seed: int, rounds: int = ROUND
 
 def plan(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int, int]:
     """Substring bits, substrings of a code and rotations for ``n`` vectors: a
-    substring of about log2(n) - 4 bits, and tables until a pair at the
+    substring of log2(n) - 4 bits or some more, and tables until a pair at the
     threshold (each bit differs with probability angle / pi) meets with
     probability ``recall``."""
-    wanted = min(16, max(8, math.ceil(math.log2(max(n, 2))) - 4))
-    per_code = BITS // wanted
+    per_code = max(1, BITS // max(8, math.ceil(math.log2(max(n, 2))) - 4))
     width = BITS // per_code
     agree = (1 - math.acos(threshold) / math.pi) ** width
     tables = math.ceil(math.log(1 - recall) / math.log(1 - agree))
     return width, per_code, math.ceil(tables / per_code)
 
 
-def _keys(unit: np.ndarray, rotations: list[np.ndarray], width: int, per_code: int) -> np.ndarray:
-    """Key of each row in each table (rows x tables)."""
-    weights = 1 << np.arange(width, dtype=np.int64)
-    out = []
-    for turn in rotations:
-        bits = unit @ turn >= 0
-        out += [bits[:, k * width : (k + 1) * width] @ weights for k in range(per_code)]
-    return np.stack(out, axis=1)
+def radius(threshold: float, bits: int) -> int:
+    """Differing bits that a pair at the threshold stays within (six standard
+    deviations above the mean)."""
+    p = math.acos(threshold) / math.pi
+    return int(bits * p + 6 * math.sqrt(bits * p * (1 - p)))
+
 
+def _codes(unit: np.ndarray, rotations: list[np.ndarray]) -> np.ndarray:
+    """Codes (rows x rotations) of 64 bits."""
+    out = [np.packbits(unit @ turn >= 0, axis=1, bitorder="little").view("<u8")[:, 0] for turn in rotations]
+    return np.stack(out, axis=1).astype(np.uint64)
 
-def _compare(a: np.ndarray, ka: np.ndarray, b: np.ndarray, kb: np.ndarray, table: int, threshold: float, same: bool):
-    """Pairs at or above the threshold, and whether this table is the first in
-    which they share a key."""
-    i, j = np.nonzero(a @ b.T >= threshold)
-    if same:
-        keep = i < j
-        i, j = i[keep], j[keep]
-    first = ~(ka[i, :table] == kb[j, :table]).any(axis=1) if table else np.ones(len(i), bool)
-    return i, j, first
+
+def _key(codes: np.ndarray, table: int, width: int, per_code: int) -> np.ndarray:
+    """Key of each row in a table."""
+    code = codes[:, table // per_code] >> np.uint64(table % per_code * width)
+    return code & np.uint64((1 << width) - 1)
+
+
+def _candidates(a: np.ndarray, b: np.ndarray, table: int, width: int, per_code: int, most: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (row of ``a``, row of ``b``) that share the table's key, differ in
+    at most ``most`` bits, and share the key of no table before it."""
+    rows = max(1, AT_ONCE // max(1, len(b)))
+    for at in range(0, len(a), rows):
+        apart = np.zeros((min(rows, len(a) - at), len(b)), np.uint16)
+        for r in range(a.shape[1]):
+            apart += np.bitwise_count(a[at : at + rows, r, None] ^ b[None, :, r])
+        i, j = np.nonzero(apart <= most)
+        i += at
+        if same:
+            i, j = i[i < j], j[i < j]
+        for t in range(table):
+            if not len(i):
+                break
+            new = _key(a[i], t, width, per_code) != _key(b[j], t, width, per_code)
+            i, j = i[new], j[new]
+        if len(i):
+            yield i, j
 
 
 def link(spark: SparkSession, vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
@@ -103,58 +126,88 @@ def link(spark: SparkSession, vectors: DataFrame, threshold: float = THRESHOLD,
     sample = vectors.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("vec").toArrow().column(0)
     fitted = matrix(sample)
     rotations = [learn_rotation(fitted, BITS, seed) for seed in range(n_rotations)] if n else []
-    tables = n_rotations * per_code
+    tables, most = n_rotations * per_code, radius(threshold, BITS * n_rotations)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                codes = _codes(matrix(batch.column(2)), rotations).view(np.int64)
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(codes.ravel()), n_rotations).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], lists], ["node", "copies", "codes"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = _keys(matrix(batch.column(2)), rotations, width, per_code)
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.astype(np.int32).ravel()), tables).cast(pa.list_(pa.int32()))
+            codes = code_rows(batch.column(2))
             for t in range(tables):
-                bucket = (t << 32) + keys[:, t]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), *batch.columns, lists], ["bucket", "node", "copies", "vec", "keys"])
+                bucket = (t << 48) + _key(codes, t, width, per_code).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), *batch.columns], ["bucket", "node", "copies", "codes"])
+
+    def code_rows(column: pa.Array) -> np.ndarray:
+        return column.flatten().to_numpy().view(np.uint64).reshape(len(column), -1)
 
-    rows = vectors.select("node", "copies", "vec")
-    dealt = rows.mapInArrow(deal, "bucket long, node long, copies long, vec array<double>, keys array<int>")
-    # Sizes need no vectors: the same keys, aggregated before the shuffle.  Only
-    # buckets above a block matter; they are few, and broadcast if that is so.
+    coded = materialize(spark, vectors.select("node", "copies", "vec").mapInArrow(encode, "node long, copies long, codes array<long>"), "codes")
+    dealt = coded.mapInArrow(deal, "bucket long, node long, copies long, codes array<long>")
+    # Only buckets above a block matter; they are few, and broadcast if that is so.
     sizes = materialize(spark, dealt.groupBy("bucket").agg(F.count("*").alias("size")).filter(F.col("size") > BLOCK), "large-buckets")
-    with_size = dealt.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes, "bucket", "left")
+    with_size = dealt.join(small(sizes, sizes.count()), "bucket", "left")
     blocks = F.coalesce(F.ceil(F.col("size") / BLOCK).cast("int"), F.lit(1))
     mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
     others = F.transform(
         F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, mine).alias("lo"), F.greatest(o, mine).alias("hi"))
     )
-    met = with_size.select("bucket", "node", "copies", "vec", "keys", mine.alias("block"), F.explode(others).alias("pair")).select(
-        "bucket", "pair.lo", "pair.hi", "node", "copies", "vec", "keys", "block"
+    met = with_size.select("bucket", "node", "copies", "codes", mine.alias("block"), F.explode(others).alias("pair")).select(
+        "bucket", "pair.lo", "pair.hi", "block", "node", "copies", "codes"
     )
+    names = ["bucket", "lo", "hi"]
+
+    def sides(group: pa.Table) -> tuple[np.ndarray, np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
+        """Rows of the two blocks, and their candidate pairs."""
+        codes, block = code_rows(group.column("codes").combine_chunks()), group.column("block").to_numpy()
+        lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
+        left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        return left, right, _candidates(codes[left], codes[right], group.column("bucket")[0].as_py() >> 48, width, per_code, most, lo == hi)
+
+    def survive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, names):
+            keep = np.zeros(group.num_rows, bool)
+            left, right, pairs = sides(group)
+            for i, j in pairs:
+                keep[left[i]] = keep[right[j]] = True
+            if keep.any():
+                yield from group.filter(pa.array(keep)).combine_chunks().to_batches()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in sorted_groups(batches, ["bucket", "lo", "hi"]):
+        for group in sorted_groups(batches, names):
             node, copies = group.column("node").to_numpy(), group.column("copies").to_numpy()
-            vec, keys = matrix(group.column("vec")), matrix(group.column("keys")).astype(np.int64)
-            block, lo, hi = group.column("block").to_numpy(), group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
-            left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-            i, j, first = _compare(vec[left], keys[left], vec[right], keys[right], group.column("bucket")[0].as_py() >> 32, threshold, lo == hi)
-            if not len(i):
-                continue
-            i, j = left[i], right[j]
-            count = np.bincount(i[first], copies[j[first]], len(node)) + np.bincount(j[first], copies[i[first]], len(node))
-            label = local_components(len(node), i, j)
+            vec = matrix(group.column("vec"))
+            left, right, pairs = sides(group)
+            count, label = np.zeros(len(node)), np.arange(len(node))
+            for i, j in pairs:
+                i, j = left[i], right[j]
+                near = np.concatenate([np.einsum("ij,ij->i", vec[i[at : at + 8192]], vec[j[at : at + 8192]]) for at in range(0, len(i), 8192)]) >= threshold
+                i, j = i[near], j[near]
+                count += np.bincount(i, copies[j], len(node)) + np.bincount(j, copies[i], len(node))
+                new = label[i] != label[j]
+                if new.any():
+                    label = local_components(len(node), np.concatenate([i[new], np.arange(len(node))]), np.concatenate([j[new], label]))
             some = np.flatnonzero((count > 0) | (label != np.arange(len(node))))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(node[some]), pa.array(count[some].astype(np.int64)), pa.array(node[label[some]])], ["node", "n", "other"]
-            )
+            if len(some):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(node[some]), pa.array(count[some].astype(np.int64)), pa.array(node[label[some]])], ["node", "n", "other"]
+                )
 
-    n_parts = parts(spark, n * tables, 20_000, spark.sparkContext.defaultParallelism)
+    n_parts = parts(spark, n * tables, 100_000, spark.sparkContext.defaultParallelism)
+    survivors = (
+        met.repartition(n_parts, *names).sortWithinPartitions(*names).mapInArrow(survive, "bucket long, lo int, hi int, block int, node long, copies long, codes array<long>")
+    )
+    survivors = materialize(spark, survivors, "candidates")
+    fetched = survivors.join(vectors.select("node", "vec"), "node")
+    n_parts = parts(spark, survivors.count(), 20_000, spark.sparkContext.defaultParallelism)
     found = materialize(
-        spark,
-        met.repartition(n_parts, "bucket", "lo", "hi")
-        .sortWithinPartitions("bucket", "lo", "hi")
-        .mapInArrow(compare, "node long, n long, other long"),
-        "links",
+        spark, fetched.repartition(n_parts, *names).sortWithinPartitions(*names).mapInArrow(compare, "node long, n long, other long"), "links"
     )
+    for used in (coded, sizes, survivors):
+        discard(spark, used)
     degrees = found.groupBy("node").agg(F.sum("n").alias("n"))
     return degrees, found.select(F.col("node").alias("a"), F.col("other").alias("b"))
 
