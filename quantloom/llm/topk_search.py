@@ -3,12 +3,15 @@
 Components are quantised to ``floor(1024 * x)``.  The vectors are dealt to
 shards of bounded size; each shard's KD-tree (median splits on the widest
 side, tight bounding boxes) is built once and kept as one row of a table.
-Queries are taken in blocks of bounded size, and every block visits every
-shard: a traversal pops the node with the best box-to-query bound, the sum of
-``max(q * low, q * high)``, and stops when that is below the k-th score found
-so far.  That score starts from the block's own members (they are candidates
-too) and is passed on from shard to shard within a task.  Each task returns k
-rows per query at most, and a window over the query picks the best.
+Queries are packed into blocks of bounded size, a row each, so neither queries
+nor vectors reach the driver and the plan is the same for any number of them.
+A task is a group of blocks with a group of shards, which meet by that key:
+each block visits each shard once.  A traversal pops the node with the best
+box-to-query bound, the sum of ``max(q * low, q * high)``, and stops when that
+is below the k-th score found so far.  That score starts from the block's own
+members (they are candidates too) and is passed on from shard to shard within
+a task.  Each task returns k rows per query at most, and a window over the
+query picks the best.
 
 Scores are integers and exact: doubles hold them while they stay below 2**53,
 otherwise Python's integers are used (a score beyond a long is clipped to it).
@@ -35,6 +38,8 @@ from quantloom.llm.vectors import matrix, usable
 K, SCALE = 10, 1024
 #: Vectors of a shard, of a leaf, and queries of a block.
 SHARD, LEAF, BLOCK = 4096, 64, 2048
+#: Shards and blocks that a task holds at most (blocks stay, shards pass through).
+SHARDS_EACH, BLOCKS_EACH = 4, 8
 
 
 def build(points: np.ndarray, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -148,6 +153,8 @@ def top_k(spark: SparkSession, embeddings: DataFrame, is_query, k: int = K) -> D
         "vectors",
     )
     n, n_queries, most = rows.agg(F.count("*"), F.count_if("asks"), F.max(F.greatest(F.array_max("vec"), -F.array_min("vec")))).first()
+    if not n:
+        return spark.createDataFrame([], schema)
     most = float(most) + 1
     exact = most * most * dims < 2**53
     kind = _kind(most)
@@ -163,6 +170,8 @@ def top_k(spark: SparkSession, embeddings: DataFrame, is_query, k: int = K) -> D
                 [*(pa.array([x.tobytes()], pa.binary()) for x in packed)], ["row", "ids", "points", "ranges", "children", "boxes"]
             )
 
+    if not n_queries:
+        return spark.createDataFrame([], schema)
     dealt = rows.select("vec_id", "vec", "row", F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard"))
     n_parts = parts(spark, shards, 4, min(shards, spark.sparkContext.defaultParallelism))
     trees = materialize(
@@ -173,53 +182,88 @@ def top_k(spark: SparkSession, embeddings: DataFrame, is_query, k: int = K) -> D
         "trees",
     )
 
-    def search(block: pa.Table) -> DataFrame:
-        raw = np.floor(matrix(block.column("vec")))
-        own, query_ids = block.column("row").to_numpy(), block.column("vec_id").to_numpy()
-        queries = _as_numbers(raw, exact)
-        floor: list = [None] * len(own)
-        if exact and len(own) > k:  # the block's members are candidates: a first bound
-            scores = queries @ queries.T
-            np.fill_diagonal(scores, -np.inf)
-            floor = [int(x) for x in np.partition(scores, len(own) - k, axis=1)[:, len(own) - k]]
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            state = Search(_as_numbers(raw, exact), own.tolist(), floor, k)
-            for batch in batches:
-                for at in range(batch.num_rows):
-                    get = lambda name, kind: np.frombuffer(batch.column(name)[at].as_buffer(), kind)  # noqa: B023, E731
-                    state.visit(
-                        _as_numbers(get("points", kind).reshape(-1, dims), exact),
-                        get("row", "<i8").tolist(),
-                        get("ids", "<i8").tolist(),
-                        get("ranges", "<i4").reshape(-1, 2).tolist(),
-                        get("children", "<i4").reshape(-1, 2).tolist(),
-                        _as_numbers(get("boxes", kind).reshape(-1, 2 * dims), exact),
-                    )
-            found = [(q, entry) for q, best in enumerate(state.best) for entry in best]
-            clip = lambda s: max(-(2**63), min(2**63 - 1, s))
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, ["block"]):
+            raw = np.floor(matrix(group.column("vec")))
+            own, ids = group.column("row").to_numpy(), group.column("vec_id").to_numpy()
+            floor = np.full(len(own), np.nan)
+            if exact and len(own) > k:  # the block's members are candidates: a first bound
+                scores = raw @ raw.T
+                np.fill_diagonal(scores, -np.inf)
+                floor = np.partition(scores, len(own) - k, axis=1)[:, len(own) - k]
+            packed = [own.astype("<i8"), ids.astype("<i8"), raw.astype(kind), floor.astype("<f8")]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([int(own[q]) for q, _ in found], pa.int64()),
-                    pa.array([int(query_ids[q]) for q, _ in found], pa.int64()),
-                    pa.array([-e[1] for _, e in found], pa.int64()),
-                    pa.array([clip(e[0]) for _, e in found], pa.int64()),
-                ],
-                ["row", "query_id", "vec_id", "score"],
+                [pa.array(group.column("block").to_numpy()[:1]), *(pa.array([x.tobytes()], pa.binary()) for x in packed)], ["block", "row", "ids", "points", "floor"]
             )
 
-        return trees.mapInArrow(run, "row long, query_id long, vec_id long, score long")
-
     blocks = parts(spark, n_queries, BLOCK)
-    asking = rows.filter("asks").select("row", "vec_id", "vec")
-    found = None
-    for b in range(blocks if n_queries else 0):
-        block = asking.filter(F.pmod(F.xxhash64("row"), F.lit(blocks)) == b).toArrow()
-        if block.num_rows:
-            part = search(block)
-            found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], schema)
+    asking = rows.filter("asks").select("vec_id", "vec", "row", F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block"))
+    n_parts = parts(spark, blocks, 4, min(blocks, spark.sparkContext.defaultParallelism))
+    asks = materialize(
+        spark,
+        asking.repartition(n_parts, "block").sortWithinPartitions("block").mapInArrow(gather, "block long, row binary, ids binary, points binary, floor binary"),
+        "blocks",
+    )
+
+    # Each group of shards meets each group of blocks under one key.
+    shard_groups = parts(spark, shards, SHARDS_EACH, min(shards, spark.sparkContext.defaultParallelism))
+    block_groups = parts(spark, blocks, BLOCKS_EACH)
+    none = F.lit(None).cast("binary")
+    shard_group = F.explode(F.sequence(F.lit(0), F.lit(shard_groups - 1)))
+    block_group = F.explode(F.sequence(F.lit(0), F.lit(block_groups - 1)))
+    payload = ["row", "ids", "points", "ranges", "children", "boxes", "floor"]
+    left = asks.select(
+        shard_group.alias("s"), F.pmod("block", F.lit(block_groups)).cast("int").alias("q"), F.lit(False).alias("tree"),
+        *(c if c in asks.columns else none.alias(c) for c in payload),
+    )
+    right = trees.select(
+        F.pmod(F.xxhash64("row"), F.lit(shard_groups)).cast("int").alias("s"), block_group.alias("q"), F.lit(True).alias("tree"),
+        *(c if c in trees.columns else none.alias(c) for c in payload),
+    )
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, held = None, []
+        for batch in batches:
+            for at in range(batch.num_rows):
+                get = lambda name, kind: np.frombuffer(batch.column(name)[at].as_buffer(), kind)  # noqa: B023, E731
+                key = batch.column("s")[at].as_py(), batch.column("q")[at].as_py()
+                if key != task:
+                    yield from map(answers, held)
+                    task, held = key, []
+                if not batch.column("tree")[at].as_py():
+                    floor = [None if np.isnan(f) else int(f) for f in get("floor", "<f8").tolist()]
+                    queries = _as_numbers(get("points", kind).reshape(-1, dims), exact)
+                    held.append((Search(queries, get("row", "<i8").tolist(), floor, k), get("ids", "<i8").tolist()))
+                    continue
+                tree = (
+                    _as_numbers(get("points", kind).reshape(-1, dims), exact),
+                    get("row", "<i8").tolist(),
+                    get("ids", "<i8").tolist(),
+                    get("ranges", "<i4").reshape(-1, 2).tolist(),
+                    get("children", "<i4").reshape(-1, 2).tolist(),
+                    _as_numbers(get("boxes", kind).reshape(-1, 2 * dims), exact),
+                )
+                for state, _ in held:
+                    state.visit(*tree)
+        yield from map(answers, held)
+
+    def answers(one: tuple[Search, list[int]]) -> pa.RecordBatch:
+        state, query_ids = one
+        found = [(q, entry) for q, best in enumerate(state.best) for entry in best]
+        clip = lambda s: max(-(2**63), min(2**63 - 1, s))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([state.own[q] for q, _ in found], pa.int64()),
+                pa.array([query_ids[q] for q, _ in found], pa.int64()),
+                pa.array([-e[1] for _, e in found], pa.int64()),
+                pa.array([clip(e[0]) for _, e in found], pa.int64()),
+            ],
+            ["row", "query_id", "vec_id", "score"],
+        )
+
+    n_parts = parts(spark, shard_groups * block_groups, 1)
+    met = left.unionByName(right).repartition(n_parts, "s", "q").sortWithinPartitions("s", "q", "tree")
+    found = met.mapInArrow(search, "row long, query_id long, vec_id long, score long")
     best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -199,6 +199,8 @@ def test_embeddings_against_brute_force(spark):
 def test_topk_against_brute_force(spark, monkeypatch, scale):
     monkeypatch.setattr(topk_search, "SHARD", 50)
     monkeypatch.setattr(topk_search, "LEAF", 8)
+    monkeypatch.setattr(topk_search, "BLOCK", 3)
+    monkeypatch.setattr(topk_search, "BLOCKS_EACH", 2)
     rows, _ = vectors(spark)
     if scale != 1.0:
         rows = rows[:60] + rows[-9:]
