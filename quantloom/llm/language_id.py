@@ -1,20 +1,23 @@
 """Operator 9: language identification with a string kernel.
 
 The kernel of two texts is the number of n-grams of one to three bytes (letters
-lower-cased, other ASCII one gap class) that both hold, whatever their counts,
-divided by the geometric mean of the texts' own numbers.  N-grams that occur in
-no landmark are left out of all three numbers.  Landmarks are a few documents
+lower-cased, other ASCII one gap class, a text followed by gaps) that both hold,
+whatever their counts, divided by the geometric mean of the texts' own numbers.
+N-grams that occur in no landmark are left out of all three numbers.  Landmarks are a few documents
 of each language; through them (Nystroem) one-versus-rest kernel ridge
 regression is a small linear problem.  All documents are scored in batches by
 one product of their presence matrix with the folded weights.
 
-Fitted on a bounded sample: of each language at most ``SAMPLE`` documents of at
-most ``LONGEST`` bytes by a hash of doc_id, the first of them landmarks; none
-is held out, and only text and language are read.  Scoring reads whole texts.
+Fitted on a bounded sample of rows of any length: of each language at most
+``SAMPLE`` documents with text by a hash of doc_id, the first of them
+landmarks; none is held out, and only text and language are read.  The sample
+is drawn by a threshold on the hash, so no task holds a language.  Learning and
+scoring read whole texts.
 
 Cases: null text and text without a letter give ``und`` and score 0; no
 labelled document gives ``und`` for all; null languages are not learnt; rows
-without doc_id are scored and not learnt from; repeated rows score alike; ties
+without doc_id are scored and not learnt from; of several texts with one doc_id
+and language the least is learnt from; repeated rows score alike; ties
 go to the language first in the alphabet; an empty table gives no rows; other
 columns are ignored.
 """
@@ -27,14 +30,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quantloom.llm.shared import binary_values, held_out, materialize, read, text_batches
+from quantloom.llm.shared import binary_values, discard, held_out, materialize, read, small, text_batches
 
-#: Documents of a language in the sample, landmarks in all, bytes of a sampled document.
-SAMPLE, LANDMARKS, LONGEST = 800, 160, 20_000
+#: Documents of a language in the sample, landmarks in all.
+SAMPLE, LANDMARKS = 800, 160
 RIDGE, SHARPNESS = 1e-2, 3.0
 #: Texts and bytes of text in a batch.
 ROWS, BYTES = 256, 2_000_000
@@ -50,12 +53,20 @@ _LETTER = re.compile(r"[^\W\d_]")
 
 def _codes(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For n of 1 to 3: codes of the n-grams of all texts, and whose they are.
-    Two gaps between texts keep n-grams from joining two of them."""
+    A text is read as if gaps followed it, so what it holds does not depend on
+    the text after it."""
     c = _CLASS[np.frombuffer(b"  ".join(texts) + b"  ", np.uint8)]
-    whose = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) + 2 for t in texts])
+    sizes = np.array([len(t) + 2 for t in texts])
+    whose = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+    last = np.cumsum(sizes) - 1  # of each text's two gaps the second
     yield c, whose
-    yield _N + c[:-1] * _N + c[1:], whose[:-1]
-    yield _N + _N**2 + (c[:-2] * _N + c[1:-1]) * _N + c[2:], whose[:-2]
+    two = _N + c[:-1] * _N + c[1:]
+    two[last[:-1]] = _N
+    yield two, whose[:-1]
+    three = _N + _N**2 + (c[:-2] * _N + c[1:-1]) * _N + c[2:]
+    for at in (last[:-1] - 1, last[:-1]):
+        three[at] = _N + _N**2
+    yield np.append(three, _N + _N**2).astype(three.dtype), whose[:-1]
 
 
 def presence(texts: list[bytes], place: np.ndarray, width: int) -> np.ndarray:
@@ -115,15 +126,13 @@ class Model:
         return names, scores
 
 
-def landmarks_basis(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams that occur in a landmark and the landmarks' unit presence vectors."""
-    seen = np.zeros(_CODES, bool)
-    for codes, _ in _codes(texts):
-        seen[codes] = True
-    known = np.flatnonzero(seen)
-    place = np.full(_CODES, -1, np.int32)
-    place[known] = np.arange(len(known), dtype=np.int32)
-    held = presence(texts, place, len(known))
+def landmarks_basis(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams that occur in a landmark (given as its codes) and the
+    landmarks' unit presence vectors."""
+    known = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.int64)
+    held = np.zeros((len(grams), len(known)), np.float32)
+    for k, some in enumerate(grams):
+        held[k, np.searchsorted(known, some)] = 1
     return known, held / np.sqrt(np.maximum(held.sum(axis=1, keepdims=True), 1))
 
 
@@ -146,21 +155,33 @@ def solve(kernel: np.ndarray, among: np.ndarray, target: np.ndarray, ridge: floa
 def fit(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS) -> Model:
     """``docs``: ``doc_id``, ``text``, ``lang``; held-out rows are not read."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    known = rows.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.filter(F.octet_length("text").between(1, LONGEST)).select("doc_id", "lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # Identifiers only: at most `sample` for each language.
-    picked = known.distinct().withColumn("place", F.row_number().over(order)).filter(F.col("place") <= sample).toArrow()
+    known = rows.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & (F.octet_length("text") > 0))
+    # Half as many again as wanted of each language, then the first of them.
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) / F.lit(float(1 << 31))
+    sizes = known.groupBy("lang").agg((F.lit(1.5 * sample) / F.approx_count_distinct("doc_id", 0.02)).alias("share")).toArrow()
     empty = Model([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32))
-    if not picked.num_rows:
+    if not sizes.num_rows:
         return empty
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.octet_length("text").between(1, LONGEST))
-    chosen = text.join(F.broadcast(spark.createDataFrame(picked)), "doc_id").dropDuplicates(["doc_id", "lang"])
+    shares = small(spark.createDataFrame(sizes), sizes.num_rows)
+    some = known.select("doc_id", "lang", place.alias("place")).join(shares, "lang").filter("place < share").select("doc_id", "lang", "place").distinct()
+    drawn = some.toPandas().sort_values(["lang", "place", "doc_id"])
+    drawn["place"] = drawn.groupby("lang").cumcount() + 1
+    picked = drawn[drawn["place"] <= sample]
+    wanted = small(spark.createDataFrame(pa.Table.from_pandas(picked, preserve_index=False)), len(picked))
+    text = known.select("doc_id", "lang", "text")
+    chosen = text.join(wanted, ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.first("place").alias("place"), F.min("text").alias("text"))
     chosen = materialize(spark, chosen, "language-sample")
-    languages = sorted(set(picked.column("lang").to_pylist()))
+    languages = sorted(set(picked["lang"]))
     each = max(1, landmarks // len(languages))
-    marks = chosen.filter(F.col("place") <= each).orderBy("lang", "place").select("text").toArrow()
-    known_grams, unit = landmarks_basis(binary_values(marks.column(0)))
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [np.unique(np.concatenate([c for c, _ in _codes([t])])).astype(np.int32) for t in binary_values(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(held, pa.list_(pa.int32()))], ["lang", "place", "grams"])
+
+    marks = chosen.filter(F.col("place") <= each).select("lang", "place", "text").mapInArrow(grams, "lang string, place long, grams array<int>")
+    lists = marks.orderBy("lang", "place").select("grams").toArrow().column(0)
+    known_grams, unit = landmarks_basis([np.array(row.values) for row in lists])
     model = Model(languages, known_grams, np.zeros((len(known_grams), len(languages)), np.float32))
 
     def kernel_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,6 +197,7 @@ def fit(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE, landmarks: i
     got = chosen.select("lang", "text").mapInArrow(kernel_rows, "lang string, kernel array<float>").toArrow()
     kernel = got.column("kernel").combine_chunks().flatten().to_numpy().astype(float).reshape(-1, len(unit))
     target = (np.array(got.column("lang").to_pylist(), object)[:, None] == np.array(languages, object)[None]).astype(float)
+    discard(spark, chosen)
     of_landmark, offset = solve(kernel, (unit @ unit.T).astype(float), target)
     weights = unit.T.astype(float) @ of_landmark
     return Model(languages, known_grams, weights.astype(np.float32), offset)

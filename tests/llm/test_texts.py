@@ -106,18 +106,54 @@ def test_language(spark, documents, empty):
     assert {r["lang_pred"] for r in language_id.predict(documents, none).collect()} == {"und"}
 
 
-def test_kernel_is_the_count_of_shared_grams():
-    texts = [b"Hello there", b"hello world", b"\xc3\xa9t\xc3\xa9", b""]
-    known, unit = language_id.landmarks_basis(texts)
+def grams(t):
+    t = "".join(chr(c + 500) for c in language_id._CLASS[np.frombuffer(t + b"    ", np.uint8)])
+    return {t[k : k + n] for n in (1, 2, 3) for k in range(len(t) - 3 + (n == 3))}
+
 
-    def grams(t):
-        t = "".join(chr(c + 500) for c in language_id._CLASS[np.frombuffer(t + b"  ", np.uint8)])
-        return {t[k : k + n] for n in (1, 2, 3) for k in range(len(t) - n + 1)}
+TEXTS = [b"Hello there", b"hello world", b"\xc3\xa9t\xc3\xa9", b"", b"zz", b"a"]
 
-    for a, x in enumerate(texts):
-        for b, y in enumerate(texts):
+
+def test_kernel_is_the_count_of_shared_grams():
+    alone = [np.unique(np.concatenate([c for c, _ in language_id._codes([t])])) for t in TEXTS]
+    known, unit = language_id.landmarks_basis(alone)
+    place = np.full(language_id._CODES, -1, np.int32)
+    place[known] = np.arange(len(known))
+    together = language_id.presence(TEXTS, place, len(known))
+    assert (together > 0).tolist() == (unit > 0).tolist()  # whatever stands beside a text
+    for a, x in enumerate(TEXTS):
+        for b, y in enumerate(TEXTS):
             want = len(grams(x) & grams(y)) / np.sqrt(len(grams(x)) * len(grams(y)))
-            assert abs(float(unit[a] @ unit[b]) - want) < 0.05
+            assert np.isclose(float(unit[a] @ unit[b]), want, atol=1e-6)
+
+
+def test_landmarks_give_dense_ridge_regression():
+    """With every row a landmark the result is that of the whole kernel."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(14, 5))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    kernel = x @ x.T + 0.05 * np.eye(14)
+    target = np.eye(2)[rng.integers(0, 2, 14)]
+    weights, offset = language_id.solve(kernel, kernel, target, ridge=0.1)
+    share = target @ (1 / target.sum(axis=0))
+    ridge = 0.1 * share.sum() / 14
+    # The same problem over the kernel itself: min sum s (y - K a - b)^2 + ridge (a K a + b^2).
+    wide = np.hstack([kernel, np.ones((14, 1))])
+    penalty = np.zeros((15, 15))
+    penalty[:14, :14], penalty[14, 14] = kernel, 1
+    dense = np.linalg.solve(wide.T @ (share[:, None] * wide) + ridge * penalty, wide.T @ (share[:, None] * (2 * target - 1)))
+    assert np.allclose(kernel @ weights + offset, wide @ dense, atol=1e-6)
+
+
+def test_language_ties_and_long_texts(spark):
+    same = language_id.Model(["a", "b"], np.array([1]), np.zeros((1, 2), np.float32))
+    assert same.predict([b"word"], same.place()) == (["a"], [0.5])
+    rows = [(i, ("der schnelle braune fuchs " * 1500 if i % 2 else "the quick brown fox ") + str(i), "de" if i % 2 else "en") for i in range(40)]
+    rows += [(1, "aaa", "de"), (None, "xyz abc", "fr")]
+    fitted = language_id.fit(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert fitted.languages == ["de", "en"]  # however long all documents of a language are
+    got = language_id.predict(spark.createDataFrame([(1, "der fuchs"), (2, "the fox")], "doc_id long, text string"), fitted).collect()
+    assert [r["lang_pred"] for r in got] == ["de", "en"]
 
 
 TEXT = st.text(alphabet=st.sampled_from(list("ab\\#<>/: \nturn")), max_size=30)
