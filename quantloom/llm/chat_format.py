@@ -98,7 +98,10 @@ def reply_paths(spark: SparkSession, nodes: DataFrame, branches: int | None = 1)
     """``nodes``: ``tree`` (string), ``node``, ``parent`` (long), ``score``
     (double, null: 0).  For the ``branches`` best root-to-leaf paths of each
     root's tree (None: all), by the sum of scores, ties to the smaller leaf:
-    ``tree``, ``root``, ``leaf``, ``rank``, ``path_score``, ``path`` (nodes)."""
+    ``tree``, ``root``, ``leaf``, ``rank``, ``path_score``, ``path`` (nodes).
+    Rows that repeat a node are one, with its least parent and best score."""
+    score = F.max(F.coalesce("score", F.lit(0.0))).alias("score")
+    nodes = nodes.groupBy("tree", "node").agg(F.min("parent").alias("parent"), score)
     deep = _depths(spark, nodes.select("tree", "node", "parent"))
     inner = deep.filter("parent is not null").select(F.col("tree").alias("t"), F.col("parent").alias("p")).distinct()
     leaf = F.col("p").isNull().alias("leaf")
@@ -129,7 +132,9 @@ def reply_paths(spark: SparkSession, nodes: DataFrame, branches: int | None = 1)
 def format_paths(messages: DataFrame, paths: DataFrame) -> DataFrame:
     """``messages``: ``tree``, ``node``, ``role``, ``text``.  Per path its
     ``tree``, ``leaf``, ``rank``, ``formatted`` and ``loss_mask`` (array of
-    start and end, in code points)."""
+    start and end, in code points).  Of rows that repeat a node the least role
+    and text count."""
+    messages = messages.groupBy("tree", "node").agg(F.min(F.struct("role", "text")).alias("said")).select("tree", "node", "said.role", "said.text")
     steps = paths.select(F.col("tree").alias("t"), "leaf", "rank", F.posexplode("path").alias("pos", "n"))
     said = messages.join(steps, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("n")))
     turn = F.struct("pos", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))

@@ -3,8 +3,9 @@
 Documents are packed into bins of ``capacity`` bytes.  A document longer than
 a bin is cut: its full pieces are bins of their own, the rest is packed like
 any document.  Documents are dealt evenly to shards of bounded size by a hash
-of their id, so a source or a group of copies that holds a third of all rows
-is spread over all shards.  In a shard, longest first, a search starts at the
+of their id, rows that are equal in all that counts by their number too, so a
+source, a group of copies or a row repeated for a third of all rows is spread
+over all shards.  In a shard, longest first, a search starts at the
 bin with the least sufficient residual and goes on to its successors until the
 first compatible one: bins carry a bitmap of their sources (a plane for each
 of the ``per_source`` documents a source may have in a bin) and of their
@@ -74,8 +75,12 @@ def pack(spark: SparkSession, items: DataFrame, n_items: int, capacity: int = CA
     (long).  One row per piece: ``doc_id``, ``piece``, ``piece_start``,
     ``piece_length``, ``source``, ``bin_id`` (null for length 0)."""
     shards = parts(spark, n_items, SHARD)
-    shard = F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(shards))
-    rows = items.select(shard.alias("shard"), "doc_id", "length", "source", "cluster")
+    # Equal rows are interchangeable: they are counted and numbered, not moved.
+    columns = ["doc_id", "length", "source", "cluster"]
+    counted = items.groupBy(*columns).agg(F.count("*").alias("n"))
+    numbered = counted.select(*columns, F.explode(F.sequence(F.lit(1), F.col("n"))).alias("number"))
+    shard = F.pmod(F.xxhash64("doc_id", "cluster", "number"), F.lit(shards))
+    rows = numbered.select(shard.alias("shard"), *columns)
     schema = "doc_id long, piece int, piece_start long, piece_length long, source string, bin_id long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,13 +127,18 @@ def pack(spark: SparkSession, items: DataFrame, n_items: int, capacity: int = CA
     return rows.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(run, schema)
 
 
-def pack_documents(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE) -> DataFrame:
-    """Documents by bytes of text; copies of one text are a cluster."""
+def pack_documents(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, cluster: str | None = None) -> DataFrame:
+    """Documents by bytes of text.  ``cluster`` names a column of duplicate
+    clusters (such as a ``component_id``; a null stands for the text); without
+    it copies of one text are a cluster."""
+    of = F.xxhash64("text")
+    if cluster is not None:
+        of = F.when(F.col(cluster).isNotNull(), F.xxhash64(cluster, F.lit("cluster"))).otherwise(of)
     items = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("length"),
         F.col("source").cast("string").alias("source"),
-        F.xxhash64("text").alias("cluster"),
+        of.alias("cluster"),
     )
     return pack(spark, items, docs.count(), capacity, per_source)
 

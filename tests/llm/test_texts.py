@@ -52,6 +52,43 @@ def test_restoring_at_edges_and_over_any_blanks():
     assert toxicity.spaced_words("a mood 1 2 3 4", m) == []
 
 
+def test_long_tokens_take_linear_time():
+    m = model()
+    token = "ab1c9" * 30_000
+    assert "".join(toxicity.restore(token, m))
+    reader = toxicity.Reader(toxicity.smoothed(toxicity.trigram_counts([b"moron"])))
+    reader.features(("x1" * 5000 + " m0r0n").encode())
+    assert list(reader.tokens) == ["m0r0n"]  # long tokens are not kept
+
+
+def test_regression_against_newton_steps():
+    rng = np.random.default_rng(3)
+    rows = [sorted(rng.choice(6, rng.integers(0, 5), replace=False).tolist()) for _ in range(200)]
+    x = np.array([[k in r for k in range(6)] for r in rows], float)
+    y = (rng.random(200) < 1 / (1 + np.exp(-(x @ [2, -1, 0, 1, 0, 0] - 0.5)))).astype(float)
+    weight = rng.random(200) + 0.5
+    w, b = toxicity.logistic_regression(rows, y, weight, 6, rounds=3000)
+    design, share = np.hstack([x, np.ones((200, 1))]), weight / weight.mean()
+    decay = np.array([1.0] * 6 + [0.0])
+    beta = np.zeros(7)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-design @ beta))
+        hessian = (design * (share * p * (1 - p))[:, None]).T @ design + np.diag(decay)
+        beta -= np.linalg.solve(hessian, design.T @ (share * (p - y)) + decay * beta)
+    assert np.allclose([*w, b], beta, atol=2e-3)
+
+
+def test_repeated_ids_and_ties_in_toxicity(spark):
+    docs, labels = corpus(spark)
+    twice = docs.unionByName(docs.withColumn("text", F.concat(F.lit("~ "), "text")))
+    a = toxicity.fit(spark, docs, labels)
+    b = toxicity.fit(spark, twice.repartition(7), labels.unionByName(labels))
+    c = toxicity.fit(spark, twice.coalesce(1), labels)
+    assert b.chosen == c.chosen == a.chosen and np.allclose(b.weights, c.weights)
+    same = toxicity.score(docs.limit(1).unionByName(docs.limit(1)), a).collect()
+    assert same[0]["toxic_score"] == same[1]["toxic_score"]
+
+
 def test_restoring_is_the_best_path():
     """The beam holds every state, so it finds what trying all paths finds."""
     m = model()
@@ -177,6 +214,18 @@ def test_probe_and_repeated_rows(spark):
     assert chat_format.parse_turns(chat_format.format_turns(probe)[0]) == probe
 
 
+def test_repeated_nodes_and_empty_tables(spark):
+    rows = [("a", 1, None, 1.0, "user", "q"), ("a", 2, 1, 1.0, "assistant", "x"), ("a", 2, 1, 3.0, "assistant", "w"), ("a", 2, 1, 3.0, "assistant", "w")]
+    nodes = spark.createDataFrame(rows, "tree string, node long, parent long, score double, role string, text string")
+    paths = chat_format.reply_paths(spark, nodes, None)
+    assert [(r["leaf"], r["rank"], r["path_score"], r["path"]) for r in paths.collect()] == [(2, 1, 4.0, [1, 2])]
+    out = chat_format.format_paths(nodes.withColumn("formatted", F.lit(1)), paths).collect()
+    assert [chat_format.parse_turns(r["formatted"]) for r in out] == [[("user", "q"), ("assistant", "w")]]
+    assert chat_format.reply_paths(spark, nodes.limit(0)).count() == 0
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string, tree int, node int")
+    assert chat_format.conversation_messages(none).count() == 0
+
+
 def test_reply_paths_against_brute_force(spark):
     rng = random.Random(9)
     rows = []
@@ -238,3 +287,26 @@ def test_packing_keeps_every_byte(spark, documents, empty):
     for doc_id, sizes in size.items():
         assert sum(r["piece_length"] for r in out if r["doc_id"] == doc_id) == sum(sizes)
     assert packing.pack_documents(spark, empty).count() == 0
+
+
+def test_shards_keep_conflicts_apart_and_split_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD", 50)
+    rng = random.Random(4)
+    rows = [(i, "w" * rng.randrange(1, 90) + str(i % 40), "hot" if i % 3 else "s%d" % (i % 7), i % 25) for i in range(300)]
+    rows += [(7, "same text", "hot", 7)] * 150
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, component_id long")
+    for cluster in (None, "component_id"):
+        out = packing.pack_documents(spark, docs, capacity=300, cluster=cluster).collect()
+        assert len(out) == 450 and len({r["bin_id"] >> 32 for r in out if r["doc_id"] == 7}) > 5
+        text = {}
+        for i, t, _, c in rows:
+            text.setdefault((i, len(t)), (t, c))
+        bins = {}
+        for r in out:
+            bins.setdefault(r["bin_id"], []).append(r)
+        for some in bins.values():
+            assert sum(r["piece_length"] for r in some) <= 300
+            sources = [r["source"] for r in some]
+            assert all(sources.count(x) <= packing.PER_SOURCE for x in sources)
+            marks = [text[r["doc_id"], r["piece_length"]][cluster is not None] for r in some]
+            assert len(set(marks)) == len(marks)
