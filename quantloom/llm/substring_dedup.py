@@ -6,7 +6,10 @@ packed string to the bucket of its minimiser, so equal windows always meet,
 each word is sent three times instead of thirteen, and a bucket sorts
 its windows and counts them exactly.
 
-Skew: windows are first compared within the unit of rows that a task holds.
+Skew: a 3-word sequence whose windows would fill a bucket (found by counting a
+fixed share of all windows, so the more text the more is counted) is no
+minimiser where a window has another; a window of such sequences alone goes to
+the bucket of its own digest.  Equal windows meet whatever is found.  Windows are first compared within the unit of rows that a task holds.
 Of equal windows in a unit only the one in the smallest doc_id is undecided
 and travels, so a passage that a third of all documents share reaches its
 bucket once per unit, not once per document.  A bucket returns ranges of
@@ -19,7 +22,8 @@ Cases: null text has no words; documents of fewer words than a window keep
 all; a window that occurs twice in one document only is kept; rows that repeat
 a doc_id never remove each other's words (they are told apart by their text);
 rows without doc_id are kept whole and remove nothing; an empty table gives no
-rows; other columns are untouched.
+rows; other columns are untouched.  Bytes, not characters, make words, so text
+that is not UTF-8 is handled like any other.
 """
 
 from __future__ import annotations
@@ -40,7 +44,10 @@ from quantloom.llm.shared import binary_values, parts, read, sorted_groups, text
 WINDOW, MINIMISER = 13, 3
 #: Text bytes a task compares at once; text bytes whose windows make a bucket.
 UNIT, BUCKET = 4_000_000, 2_700_000
+#: One in so many pieces of text of so many bytes is looked at for common sequences.
+PIECES, PIECE = 32, 16_384
 _U = np.uint64
+_LAST = _U(0xFFFFFFFFFFFFFFFF)
 _STEP, _MIX = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
 _BACK = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _WHITE = np.zeros(256, bool)
@@ -138,7 +145,7 @@ def _ranges(flag: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at[keep], size[keep]
 
 
-_SCHEMA = "bucket int, doc_id long, mark int, start int, n int, packed binary"
+_SCHEMA = "bucket int, doc_id long, mark long, start int, n int, packed binary"
 
 
 def _batch(bucket, doc_id, mark, start, n, packed) -> pa.RecordBatch:
@@ -146,7 +153,7 @@ def _batch(bucket, doc_id, mark, start, n, packed) -> pa.RecordBatch:
         [
             pa.array(bucket, pa.int32()),
             pa.array(doc_id, pa.int64()),
-            pa.array(mark, pa.int32()),
+            pa.array(mark, pa.int64()),
             pa.array(start, pa.int32()),
             pa.array(n, pa.int32()),
             pa.array(packed, pa.binary()),
@@ -157,19 +164,59 @@ def _batch(bucket, doc_id, mark, start, n, packed) -> pa.RecordBatch:
 
 def text_mark(text: bytes) -> int:
     """Tells texts of one doc_id apart; the same as ``_mark`` in SQL."""
-    return xxhash.xxh64_intdigest(text, 42) & 0xFFFF
+    digest = xxhash.xxh64_intdigest(text, 42)
+    return digest - (1 << 64) if digest >> 63 else digest
 
 
 def _mark() -> F.Column:
-    return F.xxhash64("text").bitwiseAND(F.lit(0xFFFF)).cast("int")
+    return F.xxhash64("text")
 
 
-def _scatter(rows: list[tuple[int, bytes]], n_buckets: int, window: int, minimiser: int) -> Iterator[pa.RecordBatch]:
-    """One unit of rows: ranges decided here, and packed runs by bucket."""
+def _minimisers(hashes: np.ndarray, window: int, minimiser: int, common: np.ndarray) -> np.ndarray:
+    """Of the window from each word on: the smallest hash of its sequences that
+    are not ``common`` (sorted), or the largest number if all are."""
+    values = _sequences(hashes, minimiser)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, values), len(common) - 1)
+        values[common[at] == values] = _LAST
+    return _smallest(values, window - minimiser + 1)
+
+
+def common_sequences(docs: DataFrame, window: int, minimiser: int, limit: int) -> np.ndarray:
+    """Hashes of the sequences that would be the minimisers of more than about
+    ``limit`` windows.  One in ``PIECES`` pieces of all texts is counted, by a
+    hash of the document's id and the piece's place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), binary_values(batch.column(1)), strict=True):
+                if doc_id is None or not text:
+                    continue
+                for k in range(-(-len(text) // PIECE)):
+                    if xxhash.xxh32_intdigest(b"%d/%d" % (doc_id, k)) % PIECES == 0:
+                        some.append(text[k * PIECE : (k + 1) * PIECE])
+            if not some:
+                continue
+            offsets = np.concatenate([[0], np.cumsum([len(t) for t in some])])
+            _, _, hashes, first = tokenize(np.frombuffer(b"".join(some), np.uint8), offsets)
+            here = np.arange(len(hashes))
+            at = here[here + window <= np.repeat(first[1:], np.diff(first))] if len(here) else here
+            least, n = np.unique(_minimisers(hashes, window, minimiser, np.zeros(0, np.uint64))[at], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), pa.array(n)], ["least", "n"])
+
+    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "least long, n long")
+    found = counted.groupBy("least").agg(F.sum("n").alias("n")).filter(F.col("n") * PIECES > limit).select("least").toArrow()
+    return np.sort(found.column(0).to_numpy().view(np.uint64))
+
+
+def _scatter(rows: list[tuple[int, bytes]], n_buckets: int, window: int, minimiser: int, common: np.ndarray, repeated: bool) -> Iterator[pa.RecordBatch]:
+    """One unit of rows: ranges decided here, and packed runs by bucket.
+    ``repeated``: documents carry the marks of their texts."""
     rows.sort(key=lambda r: r[0])
     data = b"".join(t for _, t in rows)
     ids = np.array([i for i, _ in rows], np.int64)
-    marks = np.array([text_mark(t) for _, t in rows], np.int64)
+    marks = np.array([text_mark(t) if repeated else 0 for _, t in rows], np.int64)
     offsets = np.concatenate([[0], np.cumsum([len(t) for _, t in rows])])
     starts, ends, hashes, first = tokenize(np.frombuffer(data, np.uint8), offsets)
     words = np.diff(first)
@@ -188,10 +235,12 @@ def _scatter(rows: list[tuple[int, bytes]], n_buckets: int, window: int, minimis
     if len(begin):
         who = owner[begin]
         yield _batch(ids[who] % n_buckets, ids[who], marks[who], at[begin] - first[who], size, [None] * len(begin))
-    least = _smallest(_sequences(hashes, minimiser), window - minimiser + 1)[at]
+    least = _minimisers(hashes, window, minimiser, common)[at]
     open_ = ~decided
+    alone = least == _LAST
+    least[alone] = digest[alone]
     edge = np.ones(len(at), bool)
-    edge[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])
+    edge[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1]) | alone[1:]
     run = np.cumsum(edge) - 1
     undecided = np.flatnonzero(open_)
     if not len(undecided):
@@ -214,7 +263,7 @@ def _scatter(rows: list[tuple[int, bytes]], n_buckets: int, window: int, minimis
             [
                 np.array([b - a, len(docs)], "<i4").tobytes(),
                 ids[docs].astype("<i8").tobytes(),
-                marks[docs].astype("<u2").tobytes(),
+                marks[docs].astype("<i8").tobytes() if repeated else b"",
                 which.astype("<i4").tobytes(),
                 word[a:b].astype("<i4").tobytes(),
                 np.array([len(s) for s in strings], "<i4").tobytes(),
@@ -230,7 +279,7 @@ def _scatter(rows: list[tuple[int, bytes]], n_buckets: int, window: int, minimis
         yield _batch(names, *[[None] * len(names)] * 4, blobs)
 
 
-def _gather(blobs: list[bytes], window: int) -> pa.RecordBatch | None:
+def _gather(blobs: list[bytes], window: int, repeated: bool) -> pa.RecordBatch | None:
     """One bucket: ranges of windows that start in a smaller doc_id too."""
     ids, marks, word, sizes, body = [], [], [], [], []
     for blob in blobs:
@@ -239,8 +288,8 @@ def _gather(blobs: list[bytes], window: int) -> pa.RecordBatch | None:
         at = 8
         docs = np.frombuffer(raw, "<i8", n_docs, at)
         at += 8 * n_docs
-        mark = np.frombuffer(raw, "<u2", n_docs, at)
-        at += 2 * n_docs
+        mark = np.frombuffer(raw, "<i8", n_docs, at) if repeated else np.zeros(n_docs, np.int64)
+        at += 8 * n_docs * repeated
         which = np.frombuffer(raw, "<i4", n, at)
         word.append(np.frombuffer(raw, "<i4", n, at + 4 * n))
         sizes.append(np.frombuffer(raw, "<i4", n, at + 8 * n))
@@ -267,14 +316,23 @@ def _gather(blobs: list[bytes], window: int) -> pa.RecordBatch | None:
         return None
     who = run[begin]
     none = [None] * len(begin)
-    return _batch(np.zeros(len(begin), np.int32), ids[who], marks[who].astype(np.int32), word[who] + (at[begin] - first[who]), size, none)
+    return _batch(np.zeros(len(begin), np.int32), ids[who], marks[who], word[who] + (at[begin] - first[who]), size, none)
+
+
+def ids_repeat(docs: DataFrame) -> bool:
+    """Whether any doc_id stands in two rows."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).dropna()
+    return bool(ids.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count())
 
 
-def repeated_ranges(spark: SparkSession, docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER) -> DataFrame:
+def repeated_ranges(spark: SparkSession, docs: DataFrame, repeated: bool, window: int = WINDOW, minimiser: int = MINIMISER) -> DataFrame:
     """``doc_id``, ``mark`` and ``ranges`` (array of first window and number
-    of windows) of the documents that share a window with a smaller doc_id."""
+    of windows) of the documents that share a window with a smaller doc_id.
+    ``repeated``: doc_ids may repeat, so ``mark`` tells their texts apart;
+    otherwise it is 0."""
     text_batches(spark)
     n = parts(spark, text_bytes(docs), BUCKET, 8)
+    common = common_sequences(docs, window, minimiser, BUCKET // 12)
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit: list[tuple[int, bytes]] = []
@@ -284,12 +342,12 @@ def repeated_ranges(spark: SparkSession, docs: DataFrame, window: int = WINDOW,
                 if doc_id is None or not text:
                     continue
                 if size and size + len(text) > UNIT:
-                    yield from _scatter(unit, n, window, minimiser)
+                    yield from _scatter(unit, n, window, minimiser, common, repeated)
                     unit, size = [], 0
                 unit.append((doc_id, text))
                 size += len(text)
         if unit:
-            yield from _scatter(unit, n, window, minimiser)
+            yield from _scatter(unit, n, window, minimiser, common, repeated)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed() -> Iterator[pa.RecordBatch]:
@@ -304,7 +362,7 @@ def repeated_ranges(spark: SparkSession, docs: DataFrame, window: int = WINDOW,
         for group in sorted_groups(packed(), ["bucket"]):
             yield from found
             found.clear()
-            out = _gather(group.column("packed").to_pylist(), window)
+            out = _gather(group.column("packed").to_pylist(), window, repeated)
             if out is not None:
                 yield out
         yield from found
@@ -321,10 +379,13 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, c
     docs = docs.drop("n_words", "n_removed")
     names = docs.columns
     at = names.index("text")
-    found = repeated_ranges(spark, docs, window).select(
+    repeated = ids_repeat(docs)
+    found = repeated_ranges(spark, docs, repeated, window).select(
         F.col("doc_id").alias("__ql_id"), F.col("mark").alias("__ql_mark"), F.col("ranges").alias("__ql_ranges")
     )
-    same = (F.col("doc_id").cast("long") == F.col("__ql_id")) & (_mark() == F.col("__ql_mark"))
+    same = F.col("doc_id").cast("long") == F.col("__ql_id")
+    if repeated:
+        same = same & (_mark() == F.col("__ql_mark"))
     joined = docs.join(found, same, "left").select(*names, "__ql_ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -160,6 +160,35 @@ def test_substring_against_brute_force(spark, monkeypatch):
     assert got == plain_repeats(rows)
 
 
+def test_common_sequences_are_split(spark, monkeypatch):
+    """Windows around a common phrase, and windows of it alone, are still counted exactly."""
+    monkeypatch.setattr(substring_dedup, "UNIT", 3000)
+    monkeypatch.setattr(substring_dedup, "BUCKET", 1200)
+    monkeypatch.setattr(substring_dedup, "PIECES", 1)
+    rng = random.Random(12)
+    rows = []
+    for i in range(120):
+        words = []
+        for _ in range(rng.randrange(1, 6)):
+            words += ["in", "order", "to"] * rng.choice((1, 1, 6)) + ["%x" % rng.randrange(40) for _ in range(rng.randrange(3, 15))]
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    common = substring_dedup.common_sequences(df, 13, 3, 100)
+    assert 0 < len(common) < 50
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["text"]) for r in substring_dedup.remove_repeats(spark, df).collect()}
+    assert got == plain_repeats(rows)
+
+
+def test_texts_of_one_id_keep_their_ranges_apart(spark):
+    rng = random.Random(13)
+    some = lambda n: " ".join("%x" % rng.randrange(10**6) for _ in range(n))
+    shared = some(20)
+    rows = [(1, shared)] + [(5, f"{some(k)} {shared} {some(3)}") for k in range(12)] + [(5, some(4)), (5, None)]
+    out = substring_dedup.remove_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    want = sorted((i, (t or "").replace(shared, "").split() if i == 5 else t.split()) for i, t in rows)
+    assert sorted((r["doc_id"], r["text"].split()) for r in out) == want
+
+
 def test_substring_cases(spark, documents, empty):
     got = substring_dedup.remove_repeats(spark, documents).collect()
     assert len(got) == 12
