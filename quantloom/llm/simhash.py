@@ -2,16 +2,17 @@
 
 Fingerprints are made where the text is read.  Equal fingerprints are one node
 with the smallest doc_id as its representative (aggregated before the
-shuffle), so copies cost nothing further.  The distinct fingerprints are dealt
-to shards by the leading bits of their Gray rank; a fingerprint is also sent
-to each shard whose leading bits differ from its own in no more bits than a
-link allows, since in any other shard the root already has too many
-differences.  In a shard the fingerprints are sorted by Gray rank; groups of
-neighbours factor out the bits all their members share, groups of groups do
-the same above them, and a search passes from the root down, adding the
-differences in the bits each node fixes and leaving a whole group as soon as
-they are too many.  What a shard returns is a spanning forest of the links it
-found, never the pairs; components are then joined by large-star/small-star.
+shuffle), so copies cost nothing further.  Of three parts of the 64 bits two
+linked fingerprints share one whole, so the distinct fingerprints are dealt
+three times, each time by the leading bits of another part: as many times
+whatever the input.  In a shard the fingerprints are sorted by Gray rank;
+groups of neighbours factor out the bits all their members share, groups of
+groups do the same above them, and a search passes from the root down, adding
+the differences in the bits each node fixes and leaving a whole group as soon
+as they are too many.  What a shard returns is a spanning forest of the links
+it found, never the pairs; components are then joined by large-star/small-star.
+A shard above ``CROWDED`` fingerprints is cut into blocks, and every two blocks
+meet in a task of their own.
 
 Cases: null text has no words, and no words give fingerprint 0, which links
 like any other; fewer words than a shingle give one shingle of all; repeated
@@ -21,8 +22,8 @@ fingerprint; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,16 +32,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm.components import connected_components
-from quantloom.llm.shared import binary_values, discard, local_components, materialize, parts, read, sorted_groups, text_batches, text_bytes
+from quantloom.llm.shared import binary_values, discard, local_components, materialize, parts, read, small, sorted_groups, text_batches, text_bytes
 
 SHINGLE, BITS_APART, SEED = 3, 2, 42
-#: Distinct fingerprints in a shard (of 64 bits, of more), children of a node.
-SHARD, WIDE_SHARD, FANOUT = 4096, 65_536, 8
-#: Fingerprint words and band bits that similar documents are looked for with;
-#: bytes of text of a group's block in the exact check.
-WIDE, BAND, BLOCK = 6, 20, 16 << 20
+#: Fingerprints wanted in a shard, and more than which a shard is cut; children of a node.
+SHARD, CROWDED, FANOUT = 16_384, 131_072, 8
+#: Similar documents: fingerprint words, shard size, bits searched in a band,
+#: recall planned at the threshold; bytes of text of a block in the exact check.
+WIDE, WIDE_SHARD, BAND, RECALL, BLOCK = 6, 65_536, 20, 0.9999, 8 << 20
 #: Queries searched at once, and (query, node) pairs held at once.
-AT_ONCE, FRONTIER = 2048, 1 << 21
+AT_ONCE, FRONTIER = 2048, 1 << 18
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -59,12 +60,24 @@ def shingle_hashes(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist(), strict=False)], np.uint64)
 
 
+_PLANES = np.arange(8, dtype=np.uint64)[None, :, None]
+_LANES = np.uint64(0x0101010101010101)
+
+
 def simhash(hashes: np.ndarray, n_words: int = 1) -> list[int]:
     """A bit is 1 if it is set in over half the hashes; further words of 64
     bits come from mixing the same hashes."""
     if not len(hashes):
         return [0] * n_words
-    return [majority(hashes if k == 0 else mixed(hashes, k)) for k in range(n_words)]
+    sums = np.zeros((n_words, 8, 8), np.int64)
+    for first in range(0, len(hashes), 32_640):
+        some = hashes[first : first + 32_640]
+        words = np.stack([some if k == 0 else mixed(some, k) for k in range(n_words)])
+        # A plane holds every eighth bit; its eight bytes count up to 255 hashes at once.
+        lanes = np.add.reduceat((words[:, None] >> _PLANES) & _LANES, np.arange(0, len(some), 255), axis=2)
+        sums += lanes.astype("<u8").view(np.uint8).reshape(n_words, 8, -1, 8).sum(axis=2, dtype=np.int64)
+    bits = (2 * sums > len(hashes)).transpose(0, 2, 1).reshape(n_words, 64)
+    return np.packbits(bits, axis=1, bitorder="little").view("<u8")[:, 0].tolist()
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE, n_words: int = 1) -> list[int]:
@@ -87,15 +100,6 @@ def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def majority(hashes: np.ndarray) -> int:
-    """Bits set in over half of the 64-bit hashes."""
-    sums = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 4096):
-        bits = np.unpackbits(hashes[at : at + 4096].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        sums += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * sums > len(hashes), bitorder="little").view("<u8")[0])
-
-
 def gray_rank(codes: np.ndarray) -> np.ndarray:
     """Place of each 64-bit code in Gray order."""
     rank = codes.copy()
@@ -148,21 +152,23 @@ class GrayIndex:
             todo.append((depth + 1, query[keep], child[keep], sum_[keep]))
 
 
-def _shard_links(codes: np.ndarray, words: np.ndarray, ids: np.ndarray, own: np.ndarray, apart: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest, as pairs of ids, of the links between the ``own``
-    rows and all rows of a shard: at most ``apart`` bits between the indexed
+def _shard_links(codes: np.ndarray, words: np.ndarray, ids: np.ndarray, indexed: np.ndarray, asking: np.ndarray, apart: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, as pairs of ids, of the links between the ``indexed``
+    and the ``asking`` rows of a shard: at most ``apart`` bits between the
     ``codes`` and at most ``limit`` between the whole ``words``."""
-    home = np.flatnonzero(own)
-    index = GrayIndex(codes[home])
+    index = GrayIndex(codes[indexed])
     label = np.arange(len(codes))
-    for at in range(0, len(codes), AT_ONCE):
-        for q, hit in index.search(codes[at : at + AT_ONCE], apart):
-            q, hit = q + at, home[hit]
+    for at in range(0, len(asking), AT_ONCE):
+        some = asking[at : at + AT_ONCE]
+        for q, hit in index.search(codes[some], apart):
+            q, hit = some[q], indexed[hit]
             new = label[q] != label[hit]  # else already known to be joined
             q, hit = q[new], hit[new]
             if words.shape[1] > 1:
-                near = np.bitwise_count(words[q] ^ words[hit]).sum(axis=1, dtype=np.int64) <= limit
-                q, hit = q[near], hit[near]
+                near = np.zeros(len(q), np.int64)
+                for k in range(words.shape[1]):
+                    near += np.bitwise_count(words[q, k] ^ words[hit, k])
+                q, hit = q[near <= limit], hit[near <= limit]
             if len(q):
                 q, hit = label[q], label[hit]
                 label = local_components(len(codes), np.concatenate([q, np.arange(len(label))]), np.concatenate([hit, label]))
@@ -170,62 +176,86 @@ def _shard_links(codes: np.ndarray, words: np.ndarray, ids: np.ndarray, own: np.
     return ids[linked], ids[label[linked]]
 
 
-def links(spark: SparkSession, nodes: DataFrame, n_nodes: int, n_words: int = 1, apart: int = BITS_APART, limit: int = BITS_APART, band: int = 64) -> DataFrame:
-    """``nodes``: ``rep`` (long) and ``words`` (array of ``n_words`` longs, the
-    bits of the fingerprint), distinct.  Indexes each band of ``band`` bits with
-    radius ``apart`` and keeps pairs of at most ``limit`` differing bits in all.
+def _log2(x: float) -> int:
+    return max(0, math.ceil(math.log2(max(x, 1))))
+
+
+def whole_tables(n_nodes: int, apart: int) -> tuple[int, list[np.ndarray]]:
+    """Key bits and, for each of ``apart + 1`` parts of the 64 bits, the order
+    of bits that brings the part to the front."""
+    part = 64 // (apart + 1)
+    key = min(part, _log2(n_nodes / SHARD))
+    return key, [np.roll(np.arange(64), -k * part) for k in range(apart + 1 if key else 1)]
+
+
+def band_tables(n_nodes: int, similarity: float, recall: float = RECALL) -> tuple[int, list[np.ndarray]]:
+    """Key bits and, for each band, the bits of the key and then those that are
+    searched.  There are so many bands that a pair of the similarity (each bit
+    differs with the probability of ``bits_apart``) agrees in a band's key and
+    differs in at most ``BITS_APART`` of its other bits with probability
+    ``recall`` in one of them (a little less where bands overlap)."""
+    key = _log2(n_nodes / WIDE_SHARD)
+    p = bits_apart(similarity)
+    meet = (1 - p) ** key * sum(math.comb(BAND, k) * p**k * (1 - p) ** (BAND - k) for k in range(BITS_APART + 1))
+    bands, width = math.ceil(math.log(1 - recall) / math.log(1 - meet)), key + BAND
+    rng = np.random.default_rng(64)
+    order = np.concatenate([rng.permutation(64 * WIDE) for _ in range(-(-bands * width // (64 * WIDE)) + 1)])
+    out, at = [], 0
+    while len(out) < bands:  # runs of shuffled bits, none twice in a band
+        run = order[at : at + width]
+        at += width
+        if len(set(run.tolist())) == width:
+            out.append(run)
+        if at + width > len(order):
+            order, at = np.concatenate([order[at:], rng.permutation(64 * WIDE)]), 0
+    return key, out
+
+
+def links(spark: SparkSession, nodes: DataFrame, key: int, tables: list[np.ndarray], n_nodes: int, apart: int = BITS_APART, limit: int = BITS_APART) -> DataFrame:
+    """``nodes``: ``rep`` (long) and ``words`` (array of longs, the bits of the
+    fingerprint), distinct.  Each of ``tables`` lists bits of the fingerprint;
+    the first ``key`` of them make the shard, all are indexed with radius
+    ``apart``, and pairs of at most ``limit`` differing bits in all are kept.
     Pairs ``a``, ``b`` of reps that span the same components as all links."""
-    bands = 64 * n_words // band
-    most = SHARD if n_words == 1 else WIDE_SHARD
-    depth = 0
-    while n_nodes >> depth > most and depth < band:
-        depth += 1
-    # Shard (leading bits of the code) and rank order agree: Gray code maps prefixes to prefixes.
-    flips = [sum(1 << b for b in some) for k in range(min(apart, depth) + 1) for some in combinations(range(depth), k)]
-
-    def band_codes(words: np.ndarray) -> Iterator[np.ndarray]:
-        bits = np.unpackbits(words.astype(">u8").view(np.uint8).reshape(len(words), -1), axis=1)
-        for k in range(bands):
-            code = np.zeros((len(words), 64), np.uint8)
-            code[:, :band] = bits[:, k * band : (k + 1) * band]
-            yield np.packbits(code, axis=1).view(">u8").ravel().astype(np.uint64)
+
+    def words_of(column: pa.Array) -> np.ndarray:
+        return column.flatten().to_numpy().view(np.uint64).reshape(len(column), -1)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rep, lists = batch.column(0).to_numpy(), batch.column(1)
-            words = lists.flatten().to_numpy().view(np.uint64).reshape(-1, n_words)
-            for k, code in enumerate(band_codes(words)):
-                home = (code >> np.uint64(64 - depth)).astype(np.int64) if depth else np.zeros(len(code), np.int64)
-                for flip in flips:
-                    there = home ^ flip
-                    # Each pair of shards meets in the one with the larger number.
-                    some = np.flatnonzero(there >= home)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array((k << 32) + there[some]),
-                            pa.array(code[some].view(np.int64)),
-                            pa.array(rep[some]),
-                            lists.take(pa.array(some)),
-                            pa.array(np.full(len(some), flip == 0)),
-                        ],
-                        ["shard", "code", "rep", "words", "own"],
-                    )
+            words = words_of(batch.column(1))
+            bits = np.unpackbits(words.astype(">u8").view(np.uint8).reshape(len(words), -1), axis=1)
+            for k, order in enumerate(tables):
+                code = np.zeros((len(words), 64), np.uint8)
+                code[:, : len(order)] = bits[:, order]
+                code = np.packbits(code, axis=1).view(">u8").ravel().astype(np.uint64)
+                home = (code >> np.uint64(64 - key)).astype(np.int64) if key else np.zeros(len(code), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array((k << 40) + home), pa.array(code.view(np.int64)), *batch.columns], ["shard", "code", "rep", "words"])
+
+    dealt = nodes.select("rep", "words").mapInArrow(deal, "shard long, code long, rep long, words array<long>")
+    sizes = materialize(spark, dealt.groupBy("shard").agg(F.count("*").alias("size")).filter(F.col("size") > CROWDED), "crowded-shards")
+    with_size = dealt.join(small(sizes, sizes.count()), "shard", "left")
+    blocks = F.coalesce(F.ceil(F.col("size") / CROWDED).cast("int"), F.lit(1))
+    mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    others = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, mine).alias("lo"), F.greatest(o, mine).alias("hi")))
+    met = with_size.select("shard", "code", "rep", "words", mine.alias("block"), F.explode(others).alias("pair"))
+    met = met.select("shard", "pair.lo", "pair.hi", "block", "code", "rep", "words")
+    names = ["shard", "lo", "hi"]
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in sorted_groups(batches, ["shard"]):
-            own = group.column("own").to_numpy()
-            if not own.any():
+        for group in sorted_groups(batches, names):
+            block, lo, hi = group.column("block").to_numpy(), group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
+            indexed, asking = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+            if not len(indexed) or not len(asking):
                 continue
-            words = group.column("words").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, n_words)
-            code = group.column("code").to_numpy().view(np.uint64)
-            a, b = _shard_links(code, words, group.column("rep").to_numpy(), own, apart, limit)
+            words, code = words_of(group.column("words").combine_chunks()), group.column("code").to_numpy().view(np.uint64)
+            a, b = _shard_links(code, words, group.column("rep").to_numpy(), indexed, asking, apart, limit)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    n = parts(spark, n_nodes * bands * len(flips) / 2, 100_000, spark.sparkContext.defaultParallelism)
-    dealt = nodes.select("rep", "words").mapInArrow(deal, "shard long, code long, rep long, words array<long>, own boolean")
-    return dealt.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(join, "a long, b long")
+    n = parts(spark, n_nodes * len(tables), 50_000, spark.sparkContext.defaultParallelism)
+    return met.repartition(n, *names).sortWithinPartitions(*names).mapInArrow(join, "a long, b long")
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, n_words: int = 1, of: Callable = fingerprint) -> DataFrame:
@@ -251,7 +281,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE
     row of ``docs``."""
     rows = materialize(spark, fingerprints(docs, shingle), "fingerprints")
     nodes = materialize(spark, rows.groupBy("words").agg(F.min("doc_id").alias("rep")), "nodes")
-    edges = materialize(spark, links(spark, nodes.dropna(), nodes.count(), apart=apart, limit=apart), "links")
+    n_nodes = nodes.count()
+    edges = materialize(spark, links(spark, nodes.dropna(), *whole_tables(n_nodes, apart), n_nodes, apart, apart), "links")
     found = _classes(spark, rows, nodes, edges)
     return found.select("doc_id", F.col("words")[0].alias("fp"), "component_id")
 
@@ -264,12 +295,16 @@ def _classes(spark: SparkSession, rows: DataFrame, nodes: DataFrame, edges: Data
     return rows.join(of, "words").select("doc_id", "words", "component_id")
 
 
+def bits_apart(similarity: float) -> float:
+    """Share of bits in which two sets of the similarity are expected to differ."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
 def bits_limit(similarity: float, n_bits: int) -> int:
-    """Differing bits that a pair of the similarity stays within.  A share p of
-    the bits is expected to differ; the majorities of very few shingles differ
-    in up to a quarter more (3/16 for 4 of 5), so four standard deviations are
-    added to that."""
-    p = 1.25 * float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    """Differing bits that a pair of the similarity stays within.  The
+    majorities of very few shingles differ in up to a quarter more than
+    expected (3/16 for 4 of 5), so four standard deviations are added to that."""
+    p = 1.25 * bits_apart(similarity)
     return int(n_bits * p + 4 * (n_bits * p * (1 - p)) ** 0.5)
 
 
@@ -335,14 +370,15 @@ def verified(spark: SparkSession, docs: DataFrame, label: DataFrame, shingle: in
 def similar_documents(spark: SparkSession, docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``doc_id`` and ``component_id`` over links of at least ``similarity``
     (shared part of all distinct shingles).  Pairs are looked for by
-    fingerprints of ``WIDE`` words, indexed by bands of ``BAND`` bits at
-    ``BITS_APART``, and each is then checked on the shingles themselves (their
+    fingerprints of ``WIDE`` words, indexed by bands (see ``band_tables``: their
+    keys grow with the number of documents, and their number with the keys),
+    and each is then checked on the shingles themselves (their
     64-bit hashes); equal sets are one node."""
     limit = bits_limit(similarity, 64 * WIDE)
     rows = materialize(spark, fingerprints(docs, shingle, WIDE, set_fingerprint), "fingerprints")
     nodes = materialize(spark, rows.groupBy("words").agg(F.min("doc_id").alias("rep")), "nodes")
-    known = nodes.dropna().select("rep", F.slice("words", 1, WIDE).alias("words"))
-    maybe = materialize(spark, links(spark, known, nodes.count(), WIDE, apart=BITS_APART, limit=limit, band=BAND), "candidates")
+    known, n_nodes = nodes.dropna().select("rep", F.slice("words", 1, WIDE).alias("words")), nodes.count()
+    maybe = materialize(spark, links(spark, known, *band_tables(n_nodes, similarity), n_nodes, BITS_APART, limit), "candidates")
     label = connected_components(spark, maybe)
     discard(spark, maybe)
     edges = materialize(spark, verified(spark, docs, label, shingle, limit, similarity), "links")

@@ -72,19 +72,38 @@ def test_gray_index_finds_all_within():
     assert ((rank ^ (rank >> np.uint64(1))) == codes).all()
 
 
-def test_shards_lose_no_link(spark, monkeypatch):
+@pytest.mark.parametrize("crowded", [1 << 17, 30])
+def test_shards_lose_no_link(spark, monkeypatch, crowded):
     monkeypatch.setattr(simhash, "SHARD", 64)
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
     rng = np.random.default_rng(8)
     base = rng.integers(0, 1 << 62, 150, dtype=np.uint64)
+    base[:60] >>= np.uint64(30)  # a third shares its leading bits
     one = np.uint64(1) << rng.integers(0, 64, 150).astype(np.uint64)
     two = one | np.uint64(1) << rng.integers(0, 64, 150).astype(np.uint64)
     codes = np.unique(np.concatenate([base, base ^ one, base ^ two, np.zeros(1, np.uint64)]))
     nodes = spark.createDataFrame([(k, [int(c)]) for k, c in enumerate(codes.view(np.int64))], "rep long, words array<long>")
-    edges = [(r["a"], r["b"]) for r in simhash.links(spark, nodes, len(codes)).collect()]
+    key, tables = simhash.whole_tables(len(codes), 2)
+    assert key and len(tables) == 3
+    edges = [(r["a"], r["b"]) for r in simhash.links(spark, nodes, key, tables, len(codes)).collect()]
     q, h = np.nonzero(np.bitwise_count(codes[:, None] ^ codes[None]) <= 2)
     assert closure(range(len(codes)), edges) == closure(range(len(codes)), zip(q.tolist(), h.tolist(), strict=True))
 
 
+@pytest.mark.parametrize("n", [1000, 300_000, 10**7])
+def test_bands_find_what_is_planned(n):
+    """Pairs that differ in the share of bits expected at 0.8 meet in a band,
+    also where bands overlap."""
+    key, tables = simhash.band_tables(n, 0.8)
+    assert all(len(t) == key + simhash.BAND == len(set(t.tolist())) for t in tables)
+    rng = np.random.default_rng(n)
+    apart = rng.random((20_000, 64 * simhash.WIDE)) < simhash.bits_apart(0.8)
+    found = np.zeros(len(apart), bool)
+    for t in tables:
+        found |= ~apart[:, t[:key]].any(axis=1) & (apart[:, t[key:]].sum(axis=1) <= simhash.BITS_APART)
+    assert found.mean() >= 0.995
+
+
 def test_similar_documents(spark):
     rng = random.Random(5)
     words = ["w%d" % k for k in range(3000)]
