@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm import language_id, packing, simhash, substring_dedup, toxicity
-from quantloom.llm.shared import materialize, read
+from quantloom.llm.shared import discard, materialize, read
 
-#: A document is rejected if its best language is no likelier than this many
-#: times an even share among the learnt ones.
-LEAST_LANGUAGE_SHARE = 1.1
+#: A document is rejected if its best language is no surer than this part of
+#: the way from an even share among the learnt languages to certainty.
+LEAST_SURENESS = 0.25
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,13 +26,15 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def reject_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: not null, not without letters, and not equally
-    likely in all learnt languages.  Without any labelled language all stay."""
+    """Documents with a language: not null, not without letters, and not about
+    equally likely in all learnt languages.  Without any labelled language, or
+    with one only, every text with a letter stays."""
     model = language_id.fit(spark, docs)
-    if not model.languages:
-        return docs
+    if len(model.languages) < 2:
+        return docs.filter(F.col("text").rlike(r"\p{L}")).select(*docs.columns)
     found = language_id.predict(docs, model)
-    least = LEAST_LANGUAGE_SHARE / max(len(model.languages), 2)
+    even = 1 / len(model.languages)
+    least = even + LEAST_SURENESS * (1 - even)
     sure = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("lang_score") > least)
     return found.filter(sure).select(*docs.columns)
 
@@ -75,7 +77,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = materialize(spark, docs, f"stage-{name}")
+            discard(spark, before)
     return docs
