@@ -71,9 +71,10 @@ def cusp_roots(alpha: Column, beta: Column) -> Column:
     one = F.array(F.cbrt(alpha / 2 + inner) + F.cbrt(alpha / 2 - inner))
 
     def polish(r: Column) -> Column:
-        for _ in range(3):
-            slope = 3 * r * r - beta
-            r = F.when(F.abs(slope) > 1e-12, r - cusp_gradient(r, alpha, beta) / slope).otherwise(r)
-        return r
+        slope = 3 * r * r - beta
+        return F.when(F.abs(slope) > 1e-12, r - cusp_gradient(r, alpha, beta) / slope).otherwise(r)
 
-    return F.array_sort(F.transform(F.when(disc > 0, three).otherwise(one), polish))
+    out = F.when(disc > 0, three).otherwise(one)
+    for _ in range(3):  # one transform a step, so each step computes a root once
+        out = F.transform(out, polish)
+    return F.array_sort(out)

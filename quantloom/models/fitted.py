@@ -249,28 +249,36 @@ def bootstrap_weights(blocks: int, seed: int) -> np.ndarray:
     return out
 
 
-def coupled_equilibria(a1: float, b1: float, a2: float, b2: float, c: float, seeds: list[tuple[float, float]], tol: float = 1e-10, rounds: int = 200) -> list[tuple]:
-    """Stationary points of V(x) + V(y) - c x y by damped Newton steps from each
-    seed: (x, y, potential, stability), equal points once."""
-    found: list[tuple] = []
-    for x, y in seeds:
-        for _ in range(rounds):
-            g = x**3 - b1 * x - a1 - c * y, y**3 - b2 * y - a2 - c * x
-            if math.hypot(*g) <= tol:
-                break
-            p, q = 3 * x * x - b1, 3 * y * y - b2
-            det = p * q - c * c
-            if abs(det) < 1e-12:
-                x, y = x - 0.05 * g[0], y - 0.05 * g[1]
-                continue
-            dx, dy = (q * g[0] + c * g[1]) / det, (c * g[0] + p * g[1]) / det
-            damp = 0.25 if math.hypot(dx, dy) > 1 else 1.0
-            x, y = x - damp * dx, y - damp * dy
-        g = x**3 - b1 * x - a1 - c * y, y**3 - b2 * y - a2 - c * x
-        if math.hypot(*g) > tol * 10 or any(math.hypot(f[0] - x, f[1] - y) < tol * 10 for f in found):
-            continue
-        low, high = np.linalg.eigvalsh([[3 * x * x - b1, -c], [-c, 3 * y * y - b2]])
-        kind = "degenerate" if min(abs(low), abs(high)) <= tol else "stable" if low > 0 else "unstable" if high < 0 else "saddle"
-        v = x**4 / 4 - b1 * x * x / 2 - a1 * x + y**4 / 4 - b2 * y * y / 2 - a2 * y - c * x * y
-        found.append((x, y, v, kind))
-    return found
+def coupled_equilibria(a1: float, b1: float, a2: float, b2: float, c: float, tol: float = 1e-9) -> list[tuple]:
+    """All stationary points of V1(x) + V2(y) - c x y: (x, y, potential,
+    stability), by x then y.
+
+    The first equation gives c y as a cubic p(x); put into the second one, times
+    c^3, that is a polynomial of degree nine in x alone.  Its real roots, each
+    with the real roots of the second equation in y, hold all solutions."""
+    p = np.poly1d([1.0, 0.0, -b1, -a1])
+    both = p if c == 0 else p**3 - b2 * c * c * p - np.poly1d([c**4, a2 * c**3])
+    near = lambda z: z.real[np.abs(z.imag) < 1e-3 * np.maximum(1, np.abs(z))]
+    points = [(x, y) for x in near(both.roots) for y in near(np.roots([1.0, 0.0, -b2, -(a2 + c * x)]))]
+    if not points:
+        return []
+    x, y = np.array(points).T
+
+    def slopes() -> np.ndarray:
+        return np.stack([x**3 - b1 * x - a1 - c * y, y**3 - b2 * y - a2 - c * x], axis=1)
+
+    def curvature() -> np.ndarray:
+        return np.stack([np.stack([3 * x * x - b1, np.full(len(x), -c)], 1), np.stack([np.full(len(x), -c), 3 * y * y - b2], 1)], 1)
+
+    for _ in range(20):  # least-squares steps, so a degenerate point is no obstacle
+        step = np.einsum("kij,kj->ki", np.linalg.pinv(curvature(), rcond=1e-10), slopes())
+        x, y = x - step[:, 0], y - step[:, 1]
+    good = np.abs(slopes()).max(axis=1) <= tol * np.maximum(1, np.abs(x) ** 3 + np.abs(y) ** 3)
+    values = np.linalg.eigvalsh(curvature())
+    found: dict[tuple[float, float], tuple] = {}
+    for k in np.flatnonzero(good).tolist():
+        low, high = values[k]
+        kind = "degenerate" if min(abs(low), abs(high)) <= tol else {2: "unstable", 1: "saddle", 0: "stable"}[int(low < 0) + int(high < 0)]
+        v = (x[k] ** 4 + y[k] ** 4) / 4 - (b1 * x[k] ** 2 + b2 * y[k] ** 2) / 2 - a1 * x[k] - a2 * y[k] - c * x[k] * y[k]
+        found.setdefault((round(float(x[k]), 6) + 0.0, round(float(y[k]), 6) + 0.0), (float(x[k]), float(y[k]), float(v), kind))
+    return [found[k] for k in sorted(found)]

@@ -103,7 +103,7 @@ def fair_price_weighted_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def capped_venue_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = venue_quotes(spark, sf_dir)
-    out = market.with_capped_weights(rows.select("part", "venue", "depth"), "part", "depth", "venue", 400_000)
+    out = market.with_capped_weights(rows.select("part", "venue", "depth"), ["part"], "depth", "venue", 400_000)
     return out.select("part", "venue", "depth", "weight_ppm")
 
 
@@ -373,6 +373,13 @@ c AS (SELECT *, 2 * sum(depth) OVER w AS cum, sum(depth) OVER (PARTITION BY part
   WINDOW w AS (PARTITION BY part ORDER BY price, venue ROWS UNBOUNDED PRECEDING)),
 h AS (SELECT part, CASE WHEN cum = tot THEN (price + nx) / 2 ELSE price END AS fp, row_number() OVER (PARTITION BY part ORDER BY cum, price, venue) AS rk FROM c WHERE cum >= tot)
 SELECT a.part, venues, excluded, fp AS fair_price FROM (SELECT part, count(*) AS venues, count(*) FILTER (bad) AS excluded FROM r GROUP BY part) a LEFT JOIN h ON a.part = h.part AND rk = 1""",
+    # The number of capped venues is tried, not derived: it is right if those are at the cap or above and the others below.
+    "capped_venue_weights": f"""WITH {_Q}, c AS (SELECT part, venue, depth, row_number() OVER (PARTITION BY part ORDER BY depth DESC, venue) AS place FROM q),
+g AS (SELECT part, count(*) AS n, greatest(400000, CAST(ceil(1000000 / count(*)) AS BIGINT)) - 1 AS cap FROM c GROUP BY part),
+t AS (SELECT g.part, n, cap, m, 1000000 - n - m * cap AS lft, coalesce(sum(depth) FILTER (place > m), 0) AS tot, coalesce(max(depth) FILTER (place > m), 0) AS big FROM g JOIN c USING (part), range(0, 4) r(m) WHERE m <= n GROUP BY ALL),
+b AS (SELECT part, n, cap, min(m) AS m, arg_min(lft, m) AS lft, arg_min(tot, m) AS tot FROM t WHERE lft >= 0 AND (tot = 0 OR lft * big < (cap + 1) * tot) GROUP BY ALL),
+s AS (SELECT c.*, cap, n, place <= m AS bound, CASE WHEN place <= m THEN cap ELSE lft * depth // tot END AS share, CASE WHEN place > m AND lft * depth // tot < cap THEN lft * depth % tot END AS rem FROM c JOIN b USING (part))
+SELECT part, venue, depth, CAST(share + 1 + CASE WHEN rem IS NOT NULL AND row_number() OVER (PARTITION BY part ORDER BY rem DESC NULLS LAST, venue) <= 1000000 - n - sum(share) OVER (PARTITION BY part) THEN 1 ELSE 0 END AS BIGINT) AS weight_ppm FROM s""",
     "venue_concentration": f"""WITH {_Q}, m AS (SELECT part, median(price) AS med FROM q GROUP BY part)
 SELECT q.part, count(*) AS venues, round(median(abs(price / med - 1)), 6) + 0.0 AS cross_venue_median_absolute_dispersion, round((max(price) - min(price)) / max(med), 6) + 0.0 AS indicative_cross_venue_price_range,
   round(sum(CAST(depth AS DOUBLE) * depth) / (CAST(sum(depth) AS DOUBLE) * CAST(sum(depth) AS DOUBLE)), 6) + 0.0 AS venue_concentration_index FROM q JOIN m USING (part) GROUP BY q.part""",

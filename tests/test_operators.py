@@ -14,17 +14,34 @@ from quantloom.models import fitted, roots, sequential
 from quantloom.operators import bars, flow, joins, labels, market, windows
 
 
-def test_capped_weights_keep_order_and_sum():
-    w = market.capped_weights([50, 30, 15, 5], 400_000)
-    assert sum(w) == 1_000_000 and max(w) <= 400_000 and w == sorted(w, reverse=True)
-
-
-@settings(deadline=None, max_examples=50)
-@given(st.lists(st.integers(1, 10**6), min_size=3, max_size=12))
-def test_capped_weights_property(raw):
-    cap = 400_000
-    w = market.capped_weights(raw, cap)
-    assert sum(w) == 1_000_000 and min(w) >= 1 and max(w) <= cap
+def shares_by_trial(raw, cap):
+    """Shares of a million by trying every number of capped weights (largest first)."""
+    cap = max(cap, -(-1_000_000 // len(raw)))
+    order = sorted(range(len(raw)), key=lambda i: (-raw[i], i))
+    for m in range(len(raw) + 1):
+        capped, free = order[:m], sorted(order[m:])
+        left, total = 1_000_000 - len(raw) - m * (cap - 1), sum(raw[i] for i in free)
+        if left < 0 or any(left * raw[i] // total >= cap for i in free):
+            continue
+        share = dict.fromkeys(capped, cap - 1) | {i: left * raw[i] // total for i in free}
+        can = sorted((i for i in free if share[i] < cap - 1), key=lambda i: (-(left * raw[i] % total), i))
+        for i in can[: 1_000_000 - len(raw) - sum(share.values())]:
+            share[i] += 1
+        return [share[i] + 1 for i in range(len(raw))]
+
+
+def test_capped_weights(spark):
+    rng = np.random.default_rng(6)
+    groups = [[50, 30, 15, 5], [1], [7, 7], [10**6, 1, 1, 1], [5, 5, 5], [10**9, 10**9, 3, 2, 1], *(rng.integers(1, 10 ** rng.integers(1, 7), rng.integers(1, 13)).tolist() for _ in range(60))]
+    rows = [(g, i, x) for g, raw in enumerate(groups) for i, x in enumerate(raw)] + [(900, 0, None), (900, 1, 0), (900, 2, 4)]
+    out = market.with_capped_weights(spark.createDataFrame(rows, "g long, i long, raw long"), ["g"], "raw", "i", 400_000)
+    got = {(r["g"], r["i"]): r["weight_ppm"] for r in out.collect()}
+    assert len(got) == len(rows)
+    for g, raw in enumerate(groups):
+        w = [got[g, i] for i in range(len(raw))]
+        assert w == shares_by_trial(raw, 400_000), raw
+        assert sum(w) == 1_000_000 and min(w) >= 1 and (len(raw) < 3 or max(w) <= 400_000)
+    assert [got[900, i] for i in range(3)] == [None, None, 1_000_000]
 
 
 def test_asof_joins(spark):
@@ -164,11 +181,26 @@ def test_hidden_states_separate():
     assert (p[:50].argmax(1) == p[0].argmax()).all() and (p[52:].argmax(1) != p[0].argmax()).all()
 
 
-def test_coupled_equilibria_reduce_to_single_ones():
-    found = fitted.coupled_equilibria(0.1, 1.0, 0.1, 1.0, 0.0, [(x, y) for x in (-1, 0, 1) for y in (-1, 0, 1)])
+def test_coupled_equilibria():
+    found = fitted.coupled_equilibria(0.1, 1.0, 0.1, 1.0, 0.0)
     single = roots.cubic_roots(0.1, 1.0)
     assert len(found) == 9 and {round(f[0], 6) for f in found} == {round(s, 6) for s in single}
     assert sum(f[3] == "stable" for f in found) == 4 and sum(f[3] == "saddle" for f in found) == 4
+    assert [f[3] for f in fitted.coupled_equilibria(0.0, 0.0, 0.0, 0.0, 0.0)] == ["degenerate"]
+
+
+@settings(deadline=None, max_examples=60)
+@given(*[st.floats(-2, 2)] * 4, st.sampled_from([0.0, 1e-6, 0.01, 0.3, -0.7, 2.0]))
+def test_coupled_equilibria_are_all_there(a1, b1, a2, b2, c):
+    found = fitted.coupled_equilibria(a1, b1, a2, b2, c)
+    assert any(f[3] in ("stable", "degenerate") for f in found)  # the potential has a minimum
+    for x, y, _, _ in found:
+        assert abs(x**3 - b1 * x - a1 - c * y) < 1e-6 and abs(y**3 - b2 * y - a2 - c * x) < 1e-6
+    lowest = min(f[2] for f in found)
+    g = np.linspace(-3, 3, 61)
+    x, y = np.meshgrid(g, g)
+    v = x**4 / 4 - b1 * x * x / 2 - a1 * x + y**4 / 4 - b2 * y * y / 2 - a2 * y - c * x * y
+    assert lowest <= v.min() + 1e-9
 
 
 def test_stack_constraints():
