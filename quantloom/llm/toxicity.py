@@ -27,7 +27,6 @@ learnt from; null labels are not used; no labels at all give score
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import groupby
@@ -45,7 +44,6 @@ SAMPLE, FEATURES = 8192, 1024
 THRESHOLD = 0.3
 #: Tokens of at most 64 characters whose features a worker keeps.
 CACHE = 200_000
-HASHED = 1 << 20
 
 #: Look-alikes of letters.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "2": "z", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "#": "h"}
@@ -57,6 +55,7 @@ _EDGE = ".,;:?!\"')]}>|*&%#$~-_=/\\"
 _FRONT = "\"'([{<|*&%#~-_=/\\.,;:?"
 #: Of these the look-alikes, which a token is also read with.
 _SOFT = "$!|("
+_SOFT_SET = frozenset(_SOFT)
 _HARD_EDGE, _HARD_FRONT = "".join(set(_EDGE) - set(_SOFT)), "".join(set(_FRONT) - set(_SOFT))
 _NUMBER = re.compile(r"[$€#(|+!]?\d[\d.,:/()+-]*(?:!+|[|$€+])?")
 _DOUBLE, _TRIPLE = re.compile(r"([^\W\d_])\1"), re.compile(r"([^\W\d_])\1\1")
@@ -162,6 +161,29 @@ def restore(token: str, model: list, least: int = 3) -> list[str]:
     return "".join(reversed(letters)).split()
 
 
+def _score(word: str, model: list) -> float:
+    """Log-probability of a word's letters and of the gap after it."""
+    c0 = c1 = 0
+    total = 0.0
+    for char in word:
+        c = _class(char)
+        total += model[c0][c1][c]
+        c0, c1 = c1, c
+    return total + model[c0][c1][0]
+
+
+def _single(core: str, model: list) -> list[str]:
+    """``restore(core, model, 2)`` of letters without a run of three.  The
+    lattice of few doubled letters has few paths, which are compared as such."""
+    places = [m.start() for m in _DOUBLE.finditer(core)]
+    if len(places) > 3:
+        return restore(core, model, 2)
+    paths = [(0.0, core)]
+    for at in reversed(places):
+        paths += [(cost + REPEAT, word[:at] + word[at + 1 :]) for cost, word in paths]
+    return [max(paths, key=lambda path: _score(path[1], model) - path[0])[1]]
+
+
 def _ends(edge: str) -> list[str]:
     """Beginnings of an edge that end between unlike characters: the first
     four, and all of it."""
@@ -176,23 +198,25 @@ def _core_readings(core: str, model: list) -> list[str]:
     """Words of a token without punctuation around it."""
     if not _DOUBLE.search(core):
         return [core] if core.isalpha() else restore(core, model)
-    plain = [core] if core.isalpha() and not _TRIPLE.search(core) else restore(core, model)
-    return plain + restore(core, model, 2)
+    if core.isalpha() and not _TRIPLE.search(core):
+        return [core, *_single(core, model)]
+    return restore(core, model) + restore(core, model, 2)
 
 
 def readings(token: str, model: list) -> list[str]:
     """Words that a lower-case token stands for."""
     core = token.rstrip(_EDGE).lstrip(_FRONT)
-    if any(map(str.isalpha, core)):
+    if core.isalpha() or any(map(str.isalpha, core)):
         out = _core_readings(core, model)
-        start = token.index(core)
-        before, after = token[:start], token[start + len(core) :]
-        before, after = before[len(before.rstrip(_SOFT)) :], after[: len(after) - len(after.lstrip(_SOFT))]
-        if before or after:
-            for front in _ends(before[::-1]):
-                for back in _ends(after):
-                    if front or back:
-                        out = out + _core_readings(front[::-1] + core + back, model)
+        if not _SOFT_SET.isdisjoint(token):
+            start = token.index(core)
+            before, after = token[:start], token[start + len(core) :]
+            before, after = before[len(before.rstrip(_SOFT)) :], after[: len(after) - len(after.lstrip(_SOFT))]
+            if before or after:
+                for front in _ends(before[::-1]):
+                    for back in _ends(after):
+                        if front or back:
+                            out = out + _core_readings(front[::-1] + core + back, model)
         return list(dict.fromkeys(out))
     whole = token.rstrip(_HARD_EDGE).lstrip(_HARD_FRONT)
     if len(whole) < 3 or len(set(whole) & LEET.keys()) < 2 or _NUMBER.fullmatch(whole):
@@ -210,33 +234,36 @@ def spaced_words(text: str, model: list) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-def word_features(word: str) -> list[int]:
-    """Hashes of the word and of its beginnings of four to six letters."""
-    raw = ["=" + word, *(word[:n] for n in (4, 5, 6) if len(word) >= n)]
-    return [zlib.crc32(x.encode()) % HASHED for x in raw]
+def word_features(word: str) -> list[str]:
+    """The word and its beginnings of four to six letters."""
+    return ["=" + word, *(word[:n] for n in (4, 5, 6) if len(word) >= n)]
 
 
 class Reader:
-    """Features of texts; keeps what the tokens it met last stand for.  With
-    ``chosen`` (hash to index) only those features are reported."""
+    """Features of texts; keeps what the disguised tokens it met last stand
+    for.  With ``chosen`` (feature to index) only those features are reported."""
 
-    def __init__(self, model: np.ndarray, chosen: dict[int, int] | None = None) -> None:
+    def __init__(self, model: np.ndarray, chosen: dict[str, int] | None = None) -> None:
         self.model, self.chosen = model.tolist(), chosen
+        #: First letters of all words that can have a chosen feature.
+        self.stems = None if chosen is None else {f.removeprefix("=")[:4] for f in chosen}
         self.tokens = Kept(CACHE)
         self.tokens.compute = lambda token: self._of(readings(token, self.model))
 
-    def _of(self, words: list[str]) -> tuple[int, ...]:
-        found = {f for w in words for f in word_features(w)}
-        if self.chosen is not None:
-            found = {self.chosen[f] for f in found if f in self.chosen}
-        return tuple(found)
+    def _of(self, words: list[str]) -> tuple:
+        if self.chosen is None:
+            return tuple({f for w in words for f in word_features(w)})
+        return tuple({self.chosen[f] for w in words if w[:4] in self.stems for f in word_features(w) if f in self.chosen})
 
-    def features(self, raw: bytes | None) -> set[int]:
+    def features(self, raw: bytes | None) -> set:
         text = (raw or b"").decode("utf-8", "replace").lower()
-        out: set[int] = set()
-        kept = self.tokens
+        out: set = set()
+        kept, stems, doubled = self.tokens, self.stems, _DOUBLE.search
         for token in set(text.split()):
-            if some := kept[token]:
+            if token.isalpha() and not doubled(token):  # its only reading is itself
+                if stems is None or token[:4] in stems:
+                    out.update(self._of([token]))
+            elif some := kept[token]:
                 out.update(some)
         words = spaced_words(text, self.model)
         if words:
@@ -249,7 +276,7 @@ class Classifier:
     """What scoring needs: character model, features with weights, intercept."""
 
     model: np.ndarray
-    chosen: dict[int, int] = field(default_factory=dict)
+    chosen: dict[str, int] = field(default_factory=dict)
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     intercept: float = -np.inf
 
@@ -297,9 +324,9 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
         reader = Reader(model)
         for batch in batches:
             found = [sorted(reader.features(t)) for t in binary_values(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["toxic", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], ["toxic", "found"])
 
-    rows = materialize(spark, rows.select("toxic", "text").mapInArrow(extract, "toxic int, found array<int>"), "sample")
+    rows = materialize(spark, rows.select("toxic", "text").mapInArrow(extract, "toxic int, found array<string>"), "sample")
     discard(spark, known)
     n, n_toxic = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not n_toxic or n_toxic == n:
@@ -309,7 +336,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
     gain = _gain(F.col("a"), F.col("n"), float(n_toxic), float(n))
     best = each.filter("a >= 2 or n - a >= 2").orderBy(F.desc(gain), "feature").limit(FEATURES).collect()
     chosen = {r["feature"]: k for k, r in enumerate(best)}
-    wanted = F.array(*[F.lit(f) for f in chosen]) if chosen else F.array().cast("array<int>")
+    wanted = F.array(*[F.lit(f) for f in chosen]) if chosen else F.array().cast("array<string>")
     design = rows.select("toxic", F.array_intersect("found", wanted).alias("found")).toArrow()
     discard(spark, rows)
     y = design.column("toxic").to_numpy().astype(float)

@@ -52,6 +52,16 @@ def test_restoring_at_edges_and_over_any_blanks():
     assert toxicity.spaced_words("a mood 1 2 3 4", m) == []
 
 
+@settings(deadline=None, max_examples=200)
+@given(st.text(alphabet="abdeilorst", max_size=14))
+def test_doubled_letters_are_decoded_as_by_the_lattice(word):
+    if toxicity._DOUBLE.search(word) and not toxicity._TRIPLE.search(word):
+        m = model()
+        a, b = toxicity._single(word, m), toxicity.restore(word, m, 2)
+        paths = [toxicity._score(x[0], m) - (len(word) - len(x[0])) for x in (a, b)]
+        assert a == b or np.isclose(*paths)
+
+
 def test_long_tokens_take_linear_time():
     m = model()
     token = "ab1c9" * 30_000
