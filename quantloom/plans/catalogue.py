@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quantloom.plans import flow, market, models, price
+from quantloom.plans import features, flow, market, models, price
 
-_MODULES = (price, flow, market, models)
+_MODULES = (price, flow, market, features, models)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _module in _MODULES:
