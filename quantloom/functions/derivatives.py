@@ -78,3 +78,21 @@ def cusp_roots(alpha: Column, beta: Column) -> Column:
     for _ in range(3):  # one transform a step, so each step computes a root once
         out = F.transform(out, polish)
     return F.array_sort(out)
+
+
+def cusp_topology(alpha: Column, beta: Column, tolerance: float = 1e-9) -> Column:
+    disc = cusp_discriminant(alpha, beta)
+    return (
+        F.when((F.abs(alpha) <= tolerance) & (F.abs(beta) <= tolerance), "critical")
+        .when((F.abs(disc) <= tolerance) & (beta > 0), "fold")
+        .when(disc > 0, "three")
+        .otherwise("one")
+    )
+
+
+def cusp_barriers(roots: Column) -> tuple[Column, Column]:
+    """Heights of the two barriers between three roots a < b < c of zero sum:
+    c (b-a)^3 / 4 and -a (c-b)^3 / 4; missing outside the fold."""
+    a, b, c = (F.get(roots, F.lit(k)) for k in range(3))
+    three = F.size(roots) == 3
+    return F.when(three, c * F.pow(b - a, 3) / 4), F.when(three, -a * F.pow(c - b, 3) / 4)

@@ -1,17 +1,47 @@
 """Sequential models over one ordered series: run lengths, hidden states,
 branches.  They are recursions, so each series is folded by one task; series
-are spread over the cluster by ``per_series``."""
+are spread over the cluster.  ``stream_series`` holds a series' state only;
+``per_series`` holds its rows, for models that read a series more than once
+(expectation-maximisation)."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
+def stream_series(df: DataFrame, key: str, value: str, start: Callable[[], Callable[[np.ndarray], list[np.ndarray]]], schema: str, partitions: int | None = None) -> DataFrame:
+    """Each key's values in order of ``(t, seq)`` through a function that
+    ``start`` makes for the key; it is called with one batch's values after the
+    other and returns as many rows.  Output: ``key``, ``seq`` and those columns
+    (``schema`` names all)."""
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, step = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, values = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            made = []
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if step is None or keys[a] != now:
+                    now, step = keys[a], start()
+                made.append(step(values[a:b]))
+            columns = [np.concatenate(c) for c in zip(*made, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, from_pandas=True) for c in columns)], names)
+
+    rows = df.select(key, "seq", value, "t")
+    dealt = rows.repartition(partitions, key) if partitions else rows.repartition(key)
+    return dealt.sortWithinPartitions(key, "t", "seq").select(key, "seq", value).mapInArrow(fold, schema)
+
+
 def per_series(df: DataFrame, key: str, fold: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """``fold`` of each key's rows in order of ``(t, seq)``."""
     return df.groupBy(key).applyInPandas(lambda g: fold(g.sort_values(["t", "seq"], kind="stable")), schema)
@@ -24,48 +54,76 @@ def _logsumexp(x: np.ndarray, axis: int | None = None) -> np.ndarray:
     return out.squeeze(axis) if axis is not None else float(out.squeeze())
 
 
-def run_lengths(values: np.ndarray, hazard: float, prior: tuple[float, float, float, float] = (0.0, 1.0, 1.0, 1.0), longest: int = 250) -> np.ndarray:
+class RunLengths:
     """Bayesian online changepoint detection with a constant hazard and a
-    normal-inverse-gamma prior (mean, strength, shape, scale).  Per value: the
-    probability that a run has just begun, the likeliest run length, its
-    expectation, and the probability cut off beyond ``longest``."""
-    mu, kappa, alpha, beta = (np.array([x]) for x in prior)
-    log_run = np.zeros(1)
-    out = np.empty((len(values), 4))
-    gamma = np.vectorize(math.lgamma, otypes=[float])
-    for k, x in enumerate(values):
-        dof, scale2 = 2 * alpha, beta * (kappa + 1) / (alpha * kappa)
-        density = gamma((dof + 1) / 2) - gamma(dof / 2) - 0.5 * np.log(np.pi * dof * scale2) - (dof + 1) / 2 * np.log1p((x - mu) ** 2 / (dof * scale2))
-        joint = log_run + density
-        grown = joint + math.log1p(-hazard)
-        joined = np.concatenate([[_logsumexp(joint + math.log(hazard))], grown[:longest]])
-        evidence = _logsumexp(joined)
-        cut = float(np.exp(grown[longest] - np.logaddexp(evidence, grown[longest]))) if len(grown) > longest else 0.0
-        log_run = joined - evidence
-        p = np.exp(log_run)
-        out[k] = p[0], float(p.argmax()), float(p @ np.arange(len(p))), cut
-        k1, m, keep = kappa + 1, mu, slice(0, longest)
-        mu = np.concatenate([[prior[0]], ((kappa * m + x) / k1)[keep]])
-        beta = np.concatenate([[prior[3]], (beta + kappa * (x - m) ** 2 / (2 * k1))[keep]])
-        alpha = np.concatenate([[prior[2]], (alpha + 0.5)[keep]])
-        kappa = np.concatenate([[prior[1]], k1[keep]])
-    return out
+    normal-inverse-gamma prior (mean, strength, shape, scale).  Holds one entry
+    per run length up to ``longest``; a missing value changes nothing."""
+
+    def __init__(self, hazard: float, prior: tuple[float, float, float, float] = (0.0, 1.0, 1.0, 1.0), longest: int = 250) -> None:
+        self.hazard, self.prior, self.longest = hazard, prior, longest
+        self.stats = [np.array([x]) for x in prior]
+        self.log_run = np.zeros(1)
+        # The density's gamma functions depend on the shape alone, and shapes are the prior's and halves more.
+        shapes = prior[2] + np.arange(longest + 1) / 2
+        self.gamma = np.array([math.lgamma(a + 0.5) - math.lgamma(a) for a in shapes])
+
+    def update(self, values: np.ndarray) -> np.ndarray:
+        """Per value: the probability that a run has just begun, the likeliest
+        run length, its expectation, and the probability cut off."""
+        out = np.full((len(values), 4), np.nan)
+        stay, leave = math.log1p(-self.hazard), math.log(self.hazard)
+        for k, x in enumerate(values):
+            if math.isnan(x):
+                continue
+            mu, kappa, alpha, beta = self.stats
+            dof, scale2 = 2 * alpha, beta * (kappa + 1) / (alpha * kappa)
+            density = self.gamma[: len(alpha)] - 0.5 * np.log(np.pi * dof * scale2) - (dof + 1) / 2 * np.log1p((x - mu) ** 2 / (dof * scale2))
+            joint = self.log_run + density
+            grown = joint + stay
+            joined = np.concatenate([[_logsumexp(joint + leave)], grown[: self.longest]])
+            evidence = _logsumexp(joined)
+            cut = float(np.exp(grown[self.longest] - np.logaddexp(evidence, grown[self.longest]))) if len(grown) > self.longest else 0.0
+            self.log_run = joined - evidence
+            p = np.exp(self.log_run)
+            out[k] = p[0], float(p.argmax()), float(p @ np.arange(len(p))), cut
+            more, keep = kappa + 1, slice(0, self.longest)
+            after = ((kappa * mu + x) / more, more, alpha + 0.5, beta + kappa * (x - mu) ** 2 / (2 * more))
+            self.stats = [np.concatenate([[first], new[keep]]) for first, new in zip(self.prior, after, strict=True)]
+        return out
+
+
+def run_lengths(values: np.ndarray, hazard: float, prior: tuple[float, float, float, float] = (0.0, 1.0, 1.0, 1.0), longest: int = 250) -> np.ndarray:
+    """``RunLengths`` over a whole series."""
+    return RunLengths(hazard, prior, longest).update(values)
+
+
+class LambdaVolatility:
+    """Lambda-weighted variance of returns as they come: per return the
+    variance after it, and the sum and number of squared one-step residuals."""
+
+    def __init__(self, decay: float) -> None:
+        self.decay, self.variance, self.squares, self.n = decay, None, 0.0, 0
+
+    def update(self, returns: np.ndarray) -> list[np.ndarray]:
+        out = np.empty((len(returns), 3))
+        for k, r in enumerate(returns):
+            x = r * r
+            if self.variance is None:
+                self.variance = x
+            else:
+                self.squares += (x - self.variance) ** 2
+                self.n += 1
+                self.variance = self.decay * self.variance + (1 - self.decay) * x
+            out[k] = self.variance, self.squares, self.n
+        return [out[:, 0], out[:, 1], out[:, 2].astype(np.int64)]
 
 
 def lambda_volatility(returns: np.ndarray, decay: float) -> tuple[float, float, float, float]:
     """Lambda-weighted variance of returns, and the forecast's interval from the
     root mean square of its one-step residuals."""
-    variance, squares, n = None, 0.0, 0
-    for r in returns:
-        x = r * r
-        if variance is None:
-            variance = x
-        else:
-            squares += (x - variance) ** 2
-            n += 1
-            variance = decay * variance + (1 - decay) * x
-    if variance is None:
+    if not len(returns):
         raise ValueError("no returns")
+    variance, squares, n = (c[-1].item() for c in LambdaVolatility(decay).update(returns))
     half = 1.96 * math.sqrt(squares / n) if n else 0.0
     return variance, max(variance - half, 0.0), variance + half, math.sqrt(variance)
 
