@@ -2,8 +2,8 @@
 
 As-of joins are a union and one window over the key: both sides are shuffled
 once by the key and nothing is multiplied.  The bitemporal join needs all rows
-before a time, so it is an equi-join on the entity with the knowledge guards
-as residual conditions, ranked by one window.
+before a time, so it is an equi-join on the entity with each revision's
+interval of knowledge as residual condition.
 """
 
 from __future__ import annotations
@@ -42,18 +42,19 @@ def asof_forward(left: DataFrame, right: DataFrame, key: str, tolerance_ns: int
     return _asof(left, right, key, tolerance_ns, forward=True)
 
 
-def known_by(when: Column) -> Column:
-    """The four guards of a point-in-time read."""
-    return (F.col("event_time_end_ns") <= when) & (F.col("as_known_at_ns") <= when) & (F.col("computed_at_ns") <= when) & (F.col("finality_as_known_at_ns") <= when)
-
-
 def point_in_time_join(predictions: DataFrame, features: DataFrame, entity: str, identity: list[str]) -> DataFrame:
     """For each prediction (``prediction_id``, ``entity``, ``prediction_ns``)
     the newest revision, known by then, of each feature identity (which holds
-    the window's start and end, so every past window is returned)."""
-    guarded = predictions.join(features, entity).filter(known_by(F.col("prediction_ns")))
-    newest = Window.partitionBy("prediction_id", *identity).orderBy(F.desc("revision"))
-    return guarded.withColumn("__rank", F.row_number().over(newest)).filter("__rank = 1").drop("__rank")
+    the window's start and end, so every past window is returned).
+
+    A revision is the newest from when all its guards hold until a later one's
+    do, so each gets its interval first, by a window over its own history; the
+    join then gives the result's rows and nothing more."""
+    known = F.greatest("event_time_end_ns", "as_known_at_ns", "computed_at_ns", "finality_as_known_at_ns")
+    later = Window.partitionBy(entity, *identity).orderBy(F.desc("revision")).rowsBetween(Window.unboundedPreceding, -1)
+    spans = features.withColumn("__from", known).withColumn("__until", F.min("__from").over(later))
+    spans = spans.filter(F.col("__until").isNull() | (F.col("__from") < F.col("__until")))
+    return range_join(predictions, spans, entity, "prediction_ns", "__from", "__until").drop("__from", "__until")
 
 
 def as_known_at(features: DataFrame, when: Column, identity: list[str]) -> DataFrame:

@@ -163,3 +163,14 @@ def fired(timers: DataFrame, clock: DataFrame, keys: list[str]) -> DataFrame:
     by then, and not cancelled before they were due."""
     rows = timers.join(clock, keys).filter((F.col("due_ns") <= F.col("now_ns")) & ~F.coalesce(F.col("cancelled_ns") < F.col("due_ns"), F.lit(False)))
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("due_ns", "timer")))
+
+
+def rolling_count(df: DataFrame, keys: list[str], at: str, span: int) -> DataFrame:
+    """Rows of each key in the ``span`` that ends with the row (``at``: a whole
+    number, ties included), as ``rolling``.  A key's time is cut into chunks of
+    a span; a row counts in its own chunk and is context in the next, so a key
+    that holds most rows is spread over as many tasks as it has chunks."""
+    chunk = F.floor(F.col(at) / span).cast("long")
+    both = df.withColumns({"__chunk": F.explode(F.array(chunk, chunk + 1)), "__own": chunk})
+    w = Window.partitionBy(*keys, "__chunk").orderBy(at).rangeBetween(-(span - 1), 0)
+    return both.withColumn("rolling", F.count("*").over(w)).filter("__chunk = __own").drop("__chunk", "__own")

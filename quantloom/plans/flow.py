@@ -42,7 +42,8 @@ def signed_volume_at_price(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trade_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = flow.large_trade_clusters(event_trades(spark, sf_dir), ["entity"], 50.0, 12 * NS_PER_HOUR)
-    return out.select("entity", "large_trade_cluster_count", F.col("clustered_large_trade_count").cast("long").alias("clustered_large_trade_count"), r6("clustered_large_trade_notional").alias("clustered_large_trade_notional"))
+    rate = F.col("large_trade_cluster_count") / F.lit(30 * 86_400.0)  # clusters of a window of 30 days
+    return out.select("entity", "large_trade_cluster_count", r6(rate, 12).alias("large_trade_cluster_activity_rate"), F.col("clustered_large_trade_count").cast("long").alias("clustered_large_trade_count"), r6("clustered_large_trade_notional").alias("clustered_large_trade_notional"))
 
 
 def sweep_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,10 +67,10 @@ def event_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def top_of_book_ofi(spark: SparkSession, sf_dir: str) -> DataFrame:
     quotes = event_quotes(spark, sf_dir)
     out = flow.order_flow_imbalance(quotes, ["entity"])
-    stale = flow.last_change(quotes, ["entity"], ["bid", "bid_qty"])
-    return out.join(stale.select("entity", (F.col("last_t") - F.col("changed_t")).alias("bid_stale_side_duration_ns")), "entity").select(
-        "entity", r6("top_of_book_ofi").alias("top_of_book_ofi"), "bid_stale_side_duration_ns"
-    )
+    for side in ("bid", "ask"):
+        stale = flow.last_change(quotes, ["entity"], [side, f"{side}_qty"])
+        out = out.join(stale.select("entity", (F.col("last_t") - F.col("changed_t")).alias(f"{side}_stale_side_duration_ns")), "entity")
+    return out.select("entity", r6("top_of_book_ofi").alias("top_of_book_ofi"), "bid_stale_side_duration_ns", "ask_stale_side_duration_ns")
 
 
 def trade_shock_response(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,8 +119,7 @@ def notional_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rolling_hour_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of each type in the hour that ends with the event."""
     rows = user_prices(spark, sf_dir).select("event_type", "seq", F.floor(F.col("t") / 1_000_000_000).cast("long").alias("sec"))
-    w = Window.partitionBy("event_type").orderBy("sec").rangeBetween(-3599, 0)
-    return rows.select("event_type", "seq", F.count("*").over(w).alias("last_hour"))
+    return windows.rolling_count(rows, ["event_type"], "sec", 3600).select("event_type", "seq", F.col("rolling").alias("last_hour"))
 
 
 def window_finality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,7 +185,7 @@ SELECT instrument, bc AS aggressive_buy_count, sc AS aggressive_sell_count, bq A
   SELECT *, CASE WHEN coalesce(t - lag(t) OVER w > {12 * _HOUR}, true) THEN 1 ELSE 0 END AS s FROM e WHERE price >= 50 WINDOW w AS (PARTITION BY entity ORDER BY t, seq)
 ), i AS (SELECT *, sum(s) OVER (PARTITION BY entity ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS island FROM l),
 c AS (SELECT entity, island, count(*) AS n, sum(price) AS v FROM i GROUP BY entity, island HAVING count(*) >= 2)
-SELECT entity, count(*) AS large_trade_cluster_count, CAST(sum(n) AS BIGINT) AS clustered_large_trade_count, round(sum(v), 6) + 0.0 AS clustered_large_trade_notional FROM c GROUP BY entity""",
+SELECT entity, count(*) AS large_trade_cluster_count, round(count(*) / {30 * 86_400.0!r}::DOUBLE, 12) + 0.0 AS large_trade_cluster_activity_rate, CAST(sum(n) AS BIGINT) AS clustered_large_trade_count, round(sum(v), 6) + 0.0 AS clustered_large_trade_notional FROM c GROUP BY entity""",
     "sweep_episodes": f"""WITH {_E}, l AS (
   SELECT *, CASE WHEN coalesce(lag(buy) OVER w <> buy, true) THEN 1 ELSE 0 END AS r, CASE WHEN coalesce(lag(buy) OVER w <> buy OR t - lag(t) OVER w > {24 * _HOUR}, true) THEN 1 ELSE 0 END AS s
   FROM e WINDOW w AS (PARTITION BY entity ORDER BY t, seq)
@@ -200,8 +200,9 @@ SELECT entity, count(*) AS n, round(CASE WHEN count(*) >= 3 AND avg(dt) > 0 THEN
 q AS (SELECT entity, t, seq, b, 1 + k AS bq, b + 1 + k % 3 AS a, 100 - k AS aq FROM k),
 l AS (SELECT *, lag(b) OVER w AS b0, lag(bq) OVER w AS bq0, lag(a) OVER w AS a0, lag(aq) OVER w AS aq0 FROM q WINDOW w AS (PARTITION BY entity ORDER BY t, seq)),
 o AS (SELECT entity, sum((CASE WHEN b >= b0 THEN bq ELSE 0 END - CASE WHEN b <= b0 THEN bq0 ELSE 0 END) - (CASE WHEN a <= a0 THEN aq ELSE 0 END - CASE WHEN a >= a0 THEN aq0 ELSE 0 END)) AS ofi FROM l WHERE b0 IS NOT NULL GROUP BY entity),
-s AS (SELECT entity, max(t) - max(CASE WHEN b IS DISTINCT FROM b0 OR bq IS DISTINCT FROM bq0 THEN t END) AS stale FROM l GROUP BY entity)
-SELECT entity, round(ofi, 6) + 0.0 AS top_of_book_ofi, stale AS bid_stale_side_duration_ns FROM o JOIN s USING (entity)""",
+s AS (SELECT entity, max(t) - max(CASE WHEN b IS DISTINCT FROM b0 OR bq IS DISTINCT FROM bq0 THEN t END) AS stale,
+  max(t) - max(CASE WHEN a IS DISTINCT FROM a0 OR aq IS DISTINCT FROM aq0 THEN t END) AS stale_a FROM l GROUP BY entity)
+SELECT entity, round(ofi, 6) + 0.0 AS top_of_book_ofi, stale AS bid_stale_side_duration_ns, stale_a AS ask_stale_side_duration_ns FROM o JOIN s USING (entity)""",
     "trade_shock_response": f"""WITH {_E}, m AS (SELECT entity, t, max(price) AS hi, min(price) AS lo FROM e WHERE event_type <> 'purchase' AND price > 0 GROUP BY entity, t),
 s AS (SELECT entity, t, seq, price FROM e WHERE event_type = 'purchase'),
 x AS (SELECT s.*, CASE WHEN s.t - m.t <= {5 * NS_PER_DAY} THEN m.hi END AS mid0 FROM s ASOF LEFT JOIN m ON s.entity = m.entity AND s.t >= m.t),

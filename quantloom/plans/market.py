@@ -235,12 +235,17 @@ def hazen_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_centroid_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Novelty of each embedding: nearest of its training centroids (one per
-    label, a small table whose size is the number of labels)."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "x"))
-    centre = rows.groupBy("label", "i").agg(F.avg("x").alias("c"))
-    d = rows.select("vec_id", "i", "x").join(centre, "i").groupBy("vec_id", "label").agg(F.sum((F.col("x") - F.col("c")) * (F.col("x") - F.col("c"))).alias("d2"))
-    return d.groupBy("vec_id").agg(F.min_by("label", F.struct(F.round("d2", 9), "label")).alias("nearest_label"), r6(F.sqrt(F.min("d2"))).alias("distance"))
+    """Novelty of each embedding: nearest of its training centroids, one per
+    label.  The centroids (labels times dimensions, a model's size) are one row
+    that every vector is compared with; vectors are neither exploded nor moved."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    means = rows.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("c"))
+    centre = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda z: z["c"]).alias("c"))
+    every = centre.agg(F.collect_list(F.struct("label", "c")).alias("centres"))
+    d = F.transform("centres", lambda z: F.struct(scoring.squared_distance(F.col("v"), z["c"]).alias("d2"), z["label"].alias("label")))
+    d = rows.crossJoin(F.broadcast(every)).select("vec_id", d.alias("d"))
+    nearest = F.array_min(F.transform("d", lambda z: F.struct(F.round(z["d2"], 9).alias("d2"), z["label"].alias("label"))))["label"]
+    return d.select("vec_id", nearest.alias("nearest_label"), r6(F.sqrt(F.array_min(F.transform("d", lambda z: z["d2"])))).alias("distance"))
 
 
 def fast_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -320,11 +325,12 @@ def forecast_outcome_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forecasts (clicks, horizons of 1 and 3 days) with the first purchase of
     the user known after issue and within the horizon."""
     rows = user_prices(spark, sf_dir)
-    points = rows.filter("event_type = 'click'").select(F.col("seq").alias("forecast_id"), "entity", F.col("t").alias("issued_ns"), F.explode(F.array(F.lit(1), F.lit(3))).alias("horizon_days"))
-    outcome = rows.filter("event_type = 'purchase'").select("entity", F.col("t").alias("known_ns"))
-    within = (F.col("known_ns") > F.col("issued_ns")) & (F.col("known_ns") <= F.col("issued_ns") + F.col("horizon_days").cast("long") * NS_PER_DAY)
-    hit = points.join(outcome, "entity").filter(within).groupBy("forecast_id", "horizon_days").agg(F.min("known_ns").alias("known_ns"))
-    return points.join(hit, ["forecast_id", "horizon_days"], "left").select("forecast_id", "horizon_days", "known_ns", F.col("known_ns").isNotNull().alias("occurred"))
+    issued = rows.filter("event_type = 'click'").select(F.col("seq").alias("forecast_id"), "entity", (F.col("t") + 1).alias("t"))
+    outcome = rows.filter("event_type = 'purchase'").select("entity", "t", F.col("t").alias("value"))
+    first = joins.asof_forward(issued, outcome, "entity").select("forecast_id", F.col("t").alias("after"), F.col("value").alias("first_ns"))
+    points = first.withColumn("horizon_days", F.explode(F.array(F.lit(1), F.lit(3))))
+    known = F.when(F.col("first_ns") < F.col("after") + F.col("horizon_days").cast("long") * NS_PER_DAY, F.col("first_ns"))
+    return points.select("forecast_id", "horizon_days", known.alias("known_ns"), known.isNotNull().alias("occurred"))
 
 
 def promotion_checks(spark: SparkSession, sf_dir: str) -> DataFrame:

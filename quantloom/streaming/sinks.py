@@ -46,10 +46,16 @@ def manifest(rows: DataFrame) -> DataFrame:
 
 
 def chained(log: DataFrame, order: str, content: list[str]) -> DataFrame:
-    """Adds a hash of each record's content and the record before it."""
-    own = F.sha2(F.concat_ws("\u0001", *content), 256)
-    w = Window.orderBy(order) if "chain" not in log.columns else Window.partitionBy("chain").orderBy(order)
-    return log.withColumn("own_hash", own).withColumn("record_hash", F.sha2(F.concat_ws("\u0001", F.coalesce(F.lag("own_hash").over(w), F.lit("")), "own_hash"), 256))
+    """Adds a hash of each record's content and the record before it, which is
+    the one whose number is one less (records are numbered without a gap; one
+    without a predecessor is chained to nothing).  An equi-join on the number,
+    so a long log is spread over all tasks."""
+    own = log.withColumn("own_hash", F.sha2(F.concat_ws("\u0001", *content), 256))
+    keys = ["chain"] if "chain" in log.columns else []
+    before = own.select(*keys, (F.col(order) + 1).alias(order), F.col("own_hash").alias("__before"))
+    linked = own.join(before, [*keys, order], "left")
+    record = F.sha2(F.concat_ws("\u0001", F.coalesce("__before", F.lit("")), "own_hash"), 256)
+    return linked.withColumn("record_hash", record).select(*log.columns, "own_hash", "record_hash")
 
 
 def chain_faults(log: DataFrame, order: str, content: list[str]) -> DataFrame:
@@ -60,6 +66,47 @@ def chain_faults(log: DataFrame, order: str, content: list[str]) -> DataFrame:
     return log.join(again, keys).filter("record_hash <> __hash").drop("__hash")
 
 
+def sealed(fragments: DataFrame, keys: list[str], identity: list[str]) -> DataFrame:
+    """One partition's fragments merged: a record that several fragments hold is
+    kept once, and conflicting contents of one identity are an error column
+    (``conflicts``), not a choice.  Order-free, so a retry gives the same."""
+    content = [c for c in fragments.columns if c not in keys + identity]
+    merged = fragments.groupBy(*keys, *identity).agg(F.min(F.struct(*content)).alias("__row"), (F.countDistinct(F.struct(*content)) - 1).alias("conflicts"))
+    return merged.select(*keys, *identity, "__row.*", "conflicts")
+
+
+def unverified(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Partitions whose count, time range or digest is not that of the
+    manifest, or that only one of both has."""
+    now = manifest(rows)
+    keys = [c for c in LAYOUT if c in rows.columns]
+    facts = ["rows", "first_ns", "last_ns", "digest"]
+    old = known.select(*keys, *(F.col(c).alias(f"__{c}") for c in facts))
+    same = F.lit(True)
+    for c in facts:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return now.join(old, keys, "full_outer").filter(~same).select(*keys, "rows", F.col("__rows").alias("manifest_rows"))
+
+
+def read_verified(spark: SparkSession, path: str, known: DataFrame) -> DataFrame:
+    """A dataset, after every partition was found as its manifest says."""
+    rows = spark.read.parquet(path)
+    bad = unverified(rows, known).limit(1).collect()
+    if bad:
+        raise ValueError(f"partition is not as its manifest says: {bad[0].asDict()}")
+    return rows
+
+
+def log_scan(bronze: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records of each stream and connection in their order, and the faults of
+    the log: sequences that do not follow, and times that go back."""
+    order = Window.partitionBy("stream_id", "connection_epoch").orderBy("record_sequence")
+    marked = bronze.withColumns({"__gap": F.col("record_sequence") - F.lag("record_sequence").over(order), "__back": F.col("receive_wall_time_ns") < F.lag("receive_wall_time_ns").over(order)})
+    fault = F.when(F.col("__gap") == 0, "duplicate_sequence").when(F.col("__gap") > 1, "sequence_gap").when(F.col("__back"), "time_regression")
+    checked = marked.withColumn("fault", fault).drop("__gap", "__back")
+    return checked.filter("fault is null").drop("fault"), checked.filter("fault is not null")
+
+
 def append_new(spark: SparkSession, existing: DataFrame, rows: DataFrame, request_id: str) -> DataFrame:
     """Rows whose request is not there yet (idempotent append)."""
     return rows.join(existing.select(request_id).distinct(), request_id, "left_anti").dropDuplicates([request_id])
