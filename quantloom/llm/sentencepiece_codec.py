@@ -222,11 +222,11 @@ class Codec:
                 out += [b" " + w for w in line.split(b" ")[1:]]
         return out
 
-    def encoded(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Identifiers of each word.  Words that are not kept are encoded now,
-        so many characters at a time, and the short ones among them kept."""
-        found = {w: self.words[w] for w in words if w in self.words}
-        new = [w for w in words if w not in found]
+    def learn(self, words: set[bytes]) -> None:
+        """Encode words that are not kept yet, so many characters at a time."""
+        if len(self.words) + len(words) > CACHE:
+            self.words.clear()
+        new = [w for w in words if w not in self.words]
         at = 0
         while at < len(new):
             size, end = 0, at
@@ -235,12 +235,9 @@ class Codec:
                 end += 1
             some = new[at:end]
             codes = self._index([decoded(w).replace(" ", SPACE) for w in some])
-            found.update(zip(some, codes, strict=True))
+            self.words.update(zip(some, codes, strict=True))
             at = end
-        if len(self.words) + len(found) > CACHE:
-            self.words.clear()
-        self.words.update((w, c) for w, c in found.items() if len(w) <= LONGEST_KEPT)
-        return found
+        self.passing = [w for w in new if len(w) > LONGEST_KEPT]
 
     def encode_batch(self, texts: list[bytes | None]) -> Iterator[bytes]:
         """Identifiers of each text as little-endian 32-bit numbers.  Texts are
@@ -252,9 +249,12 @@ class Codec:
                 size += len(texts[end] or b"")
                 end += 1
             cut = [self.split(t or b"") for t in texts[at:end]]
-            kept = self.encoded({w for words in cut for w in words})
+            self.learn({w for words in cut for w in words})
+            one = self.words.__getitem__
             for words in cut:
-                yield b"".join([kept[w] for w in words])
+                yield b"".join(map(one, words))
+            for w in self.passing:
+                del self.words[w]
             at = end
 
     def decode(self, ids: bytes) -> bytes:

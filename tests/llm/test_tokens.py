@@ -56,3 +56,23 @@ def test_frames(documents, empty):
 def test_clashing_names_are_replaced(documents):
     again = token_counts.count_tokens(token_counts.count_tokens(documents))
     assert again.columns.count("n_tokens") == 1
+
+
+def test_cold_and_warm_caches_agree(monkeypatch):
+    texts = [c.encode() for c in CASES] + [b"word " * 50, b"x" * 300 + b" word", b"ab\xff\xfe c", b"\xe6\x97 x"] * 2
+    warm = [bytes(i) for i in CODEC.encode_batch(texts)]
+    cold = [next(iter(sentencepiece_codec.Codec(CODEC.data).encode_batch([t]))) for t in texts]
+    assert [bytes(i) for i in CODEC.encode_batch(texts)] == warm == cold
+    assert all(len(w) <= sentencepiece_codec.LONGEST_KEPT for w in CODEC.words)
+    monkeypatch.setattr(sentencepiece_codec, "CACHE", 3)  # emptied all the time
+    assert [bytes(i) for i in sentencepiece_codec.Codec(CODEC.data).encode_batch(texts)] == warm
+
+
+def test_bytes_that_are_not_utf8():
+    for raw in (b"ab\xff\xfe c", b"\xe6\x97 x", b"a\xe6\x97\xa5\xe6 b", b"\xf0\x9f\x98", b"\xed\xa0\x80 z"):
+        want = LIBRARY.encode(raw)
+        assert np.frombuffer(next(iter(CODEC.encode_batch([raw]))), "<i4").tolist() == want
+        bare, spaced = token_counts._Bare(MODEL), token_counts._Spaced(MODEL)
+        assert token_counts.count_text(raw, bare, spaced) == len(want)
+        token_counts.count_text(b"y" * 5000, bare, spaced)
+        assert all(len(k) <= 64 for kept in (bare, spaced, bare.part) for k in kept)
