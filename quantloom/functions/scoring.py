@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,3 +115,31 @@ def cumulative_incidence(df: DataFrame, keys: list[str], hazards: list[str]) ->
     rows = rows.withColumn("survival_before", before)
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumns({f"cif_{h}": F.sum(F.col("survival_before") * F.col(h)).over(upto) for h in hazards}).drop("__log")
+
+
+def adaptive_bins(df: DataFrame, p: str, y: str, w: str, bins: int) -> DataFrame:
+    """Bins of equal weight: predictions in order fill a bin until it holds its
+    share of the whole weight; equal predictions stay together.  ``bin``,
+    ``weight``, ``mean_predicted``, ``mean_observed``.
+
+    Filling starts anew with each bin, so it is a fold, over the distinct
+    predictions only (aggregated first); one task holds one bin."""
+    distinct = df.groupBy(F.col(p).cast("double").alias("p")).agg(F.sum(w).cast("double").alias("w"), F.sum(F.col(w) * F.col(y)).cast("double").alias("wy"))
+    share = df.agg((F.sum(w).cast("double") / bins).alias("share"))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held = 0, [0.0, 0.0, 0.0]
+        out: list[tuple] = []
+        for batch in batches:
+            for q, weight, hit, target in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held = [held[0] + weight, held[1] + weight * q, held[2] + hit]
+                if held[0] >= target:
+                    out.append((number, held[0], held[1] / held[0], held[2] / held[0]))
+                    number, held = number + 1, [0.0, 0.0, 0.0]
+        if held[0] > 0:
+            out.append((number, held[0], held[1] / held[0], held[2] / held[0]))
+        columns = list(zip(*out, strict=True)) if out else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), *[pa.float64()] * 3], strict=True)], ["bin", "weight", "mean_predicted", "mean_observed"])
+
+    ordered = distinct.crossJoin(F.broadcast(share)).repartition(1).sortWithinPartitions("p").select("p", "w", "wy", "share")
+    return ordered.mapInArrow(fill, "bin long, weight double, mean_predicted double, mean_observed double")

@@ -15,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
-def stream_series(df: DataFrame, key: str, value: str, start: Callable[[], Callable[[np.ndarray], list[np.ndarray]]], schema: str, partitions: int | None = None) -> DataFrame:
+def stream_series(df: DataFrame, key: str, value: str, start: Callable[[object], Callable[[np.ndarray], list[np.ndarray]]], schema: str, partitions: int | None = None) -> DataFrame:
     """Each key's values in order of ``(t, seq)`` through a function that
-    ``start`` makes for the key; it is called with one batch's values after the
+    ``start(key)`` makes; it is called with one batch's values after the
     other and returns as many rows.  Output: ``key``, ``seq`` and those columns
     (``schema`` names all)."""
     names = [f.split()[0] for f in schema.split(", ")]
@@ -32,7 +32,7 @@ def stream_series(df: DataFrame, key: str, value: str, start: Callable[[], Calla
             made = []
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 if step is None or keys[a] != now:
-                    now, step = keys[a], start()
+                    now, step = keys[a], start(keys[a])
                 made.append(step(values[a:b]))
             columns = [np.concatenate(c) for c in zip(*made, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, from_pandas=True) for c in columns)], names)

@@ -104,3 +104,65 @@ def fold_membership(spark: SparkSession, samples: DataFrame, folds: list[dict])
     inside = (F.col("origin_ns") >= F.col("start_ns")) & (F.col("origin_ns") < F.col("end_ns"))
     done = (F.col("outcome_end_ns") <= F.col("end_ns")) & (F.col("as_known_ns") <= F.col("end_ns"))
     return samples.join(F.broadcast(table), inside & done)
+
+
+def price_threshold(kind: str, floor: float | None = None, multiple: float | None = None, volatility: Column | None = None) -> Column:
+    """Log-price threshold of a rule: a fixed fraction, a multiple of the
+    origin's volatility, or the larger of both; missing unless in (0, 1)."""
+    made = {"absolute": lambda: F.lit(floor), "scaled": lambda: volatility * multiple, "combined": lambda: F.greatest(F.lit(floor), volatility * multiple)}[kind]()
+    valid = (made > 0) & (made < 1)
+    if kind == "combined":  # without a volatility there is no threshold, not the floor alone
+        valid = valid & volatility.isNotNull()
+    return F.when(valid, made)
+
+
+def rules(threshold: Column, limits: dict[str, float]) -> dict[str, Column]:
+    """Conditions of the five event types on a frame against its origin
+    (``*_0``): log return, volatility ratio, and the states of liquidity and of
+    liquidations, each inclusive."""
+    c = F.col
+    thin = (c("depth") <= limits["depth_share"] * c("depth_0")) & (c("spread_bps") >= limits["spread_bps"])
+    cascade = (c("liquidation_notional") >= limits["liquidation_notional"]) & (c("open_interest") <= (1 - limits["oi_drop"]) * c("open_interest_0"))
+    return {
+        "downside": c("log_return") <= -threshold,
+        "upside": c("log_return") >= threshold,
+        "volatility_explosion": c("volatility") >= limits["volatility_multiple"] * c("volatility_0"),
+        "liquidity_vacuum": thin,
+        "liquidation_cascade": cascade,
+    }
+
+
+def resolve_overlaps(outcomes: DataFrame, keys: list[str], policy: str) -> DataFrame:
+    """Occurred events of each origin under an overlap policy: ``allow`` keeps
+    all, in order; ``primary`` the first, ties by priority; ``exclude_ties``
+    none where several come first at once.  ``events`` (in order), ``status``."""
+    rank = F.array_position(F.array(*map(F.lit, PRIORITY)), F.col("event_type"))
+    hit = F.when(F.col("outcome") == "occurred", F.struct("offset_s", rank.alias("rank"), "event_type"))
+    rows = outcomes.groupBy(*keys).agg(F.array_sort(F.collect_list(hit)).alias("all"))
+    ties = F.size(F.filter("all", lambda x: x["offset_s"] == F.col("all")[0]["offset_s"]))
+    names = F.transform("all", lambda x: x["event_type"])
+    keep = {"allow": names, "primary": F.slice(names, 1, 1), "exclude_ties": F.when(ties > 1, F.array().cast("array<string>")).otherwise(F.slice(names, 1, 1))}[policy]
+    status = F.when(F.size("all") == 0, "none").when((F.lit(policy) == "exclude_ties") & (ties > 1), "excluded").otherwise("resolved")
+    return rows.select(*keys, F.when(F.size("all") == 0, F.array().cast("array<string>")).otherwise(keep).alias("events"), status.alias("status"))
+
+
+def evidence_hash(columns: list[str]) -> Column:
+    """Digest of a label's evidence: its columns in order, nulls marked."""
+    return F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns)), 256)
+
+
+#: Days of the reference schedule: training, purge, calibration, purge, test, step (fixed values).
+REFERENCE_DAYS = (180, 60, 30, 30, 30, 30)
+
+
+def purge_ns(longest_horizon_s: int, longest_lag_s: int) -> int:
+    """What must lie between two parts of a fold: the longest outcome and the
+    longest time until one is known."""
+    return (longest_horizon_s + longest_lag_s) * 1_000_000_000
+
+
+def fold_manifest(samples: DataFrame, membership: DataFrame, identity: str) -> DataFrame:
+    """Per fold and part: number of samples and an order-free digest of them."""
+    digest = F.sum(F.xxhash64(identity).cast("decimal(38,0)")).cast("string")
+    rows = membership.join(samples.select(identity).distinct(), identity)
+    return rows.groupBy("fold", "part").agg(F.count("*").alias("samples"), digest.alias("digest"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quantloom.plans import features, flow, market, models, price, streams
+from quantloom.plans import evaluation, features, flow, market, models, price, streams
 
-_MODULES = (price, flow, market, features, streams, models)
+_MODULES = (price, flow, market, features, streams, evaluation, models)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _module in _MODULES:

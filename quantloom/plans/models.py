@@ -67,7 +67,7 @@ def changepoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     state as it is and has no result."""
     rows = user_prices(spark, sf_dir).select("entity", "t", "seq", F.log(valid_price(F.col("price"))).alias("x"))
 
-    def start():
+    def start(_):
         model = sequential.RunLengths(1 / 50, (3.5, 1.0, 2.0, 1.0))
         return lambda x: list(model.update(x).T)
 
@@ -103,7 +103,7 @@ def ewma_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("entity").orderBy("t", "seq")
     rows = user_prices(spark, sf_dir).withColumn("r", log_return(F.col("price"), F.lag("price").over(w))).filter("r is not null")
 
-    def start():
+    def start(_):
         return sequential.LambdaVolatility(0.94).update
 
     steps = sequential.stream_series(rows.select("entity", "t", "seq", "r"), "entity", "r", start, "entity long, seq long, variance double, squares double, n long")
