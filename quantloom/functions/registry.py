@@ -110,6 +110,48 @@ source_completeness_gate gating +
 cascade_eligibility_gate gating +
 """.split("\n")
 
+#: The query that computes each emitted feature (as a column, or as rows of ``feature_rows``).
+COMPUTED_BY = {
+    **dict.fromkeys(
+        """log_return cumulative_return high_low_range open_close_range consolidated_fair_price_distance trend_slope trend_acceleration maximum_drawdown maximum_run_up upside_semivariance
+        downside_semivariance return_autocorrelation variance_ratio rolling_skewness rolling_excess_kurtosis return_reversal realized_variance realized_volatility parkinson_volatility
+        garman_klass_volatility bipower_variation jump_variation volatility_forecast_residual""".split(),
+        "feature_rows",
+    ),
+    **dict.fromkeys(["rolling_vwap_distance", "anchored_vwap_distance"], "vwap_distance"),
+    "finalized_interval_gap": "interval_gap_daily",
+    "exponentially_weighted_volatility": "ewma_volatility_daily",
+    **dict.fromkeys(["volatility_of_volatility", "volatility_term_ratio", "seasonality_adjusted_volatility"], "volatility_structure"),
+    **dict.fromkeys(["realized_covariance", "realized_correlation"], "realized_pairs"),
+    **dict.fromkeys(BOOK_FEATURES, "book_features"),
+    "book_quote_age_ms": "book_admission",
+    **dict.fromkeys(["bid_stale_side_duration_ns", "ask_stale_side_duration_ns", "top_of_book_ofi"], "top_of_book_ofi"),
+    **dict.fromkeys(["bid_depth_change", "ask_depth_change", "absolute_spread_change"], "book_changes"),
+    **dict.fromkeys(["displayed_depth_replenishment_fraction", "displayed_depth_recovery_time_ns", "book_half_life_ns"], "depth_recovery"),
+    **dict.fromkeys([f"aggressive_{s}_{k}" for k in ("count", "quantity", "notional") for s in ("buy", "sell")], "trade_flow_imbalance"),
+    **dict.fromkeys([f"signed_trade_{k}_imbalance" for k in ("count", "quantity", "notional")], "trade_flow_imbalance"),
+    **dict.fromkeys("placement_rate_per_second cancellation_rate_per_second modification_rate_per_second cancellation_to_trade_ratio quote_to_trade_ratio".split(), "lifecycle_rates"),
+    **dict.fromkeys(["trade_intensity_per_second", "trade_interarrival_coefficient_of_variation"], "interarrival_cv"),
+    "signed_volume_at_price": "signed_volume_at_price",
+    **dict.fromkeys("trade_shock_midprice_impact trade_effective_spread trade_realized_spread trade_adverse_selection_proxy".split(), "trade_shock_response"),
+    "trade_print_sweep_direction": "sweep_episodes",
+    **dict.fromkeys("large_trade_cluster_count clustered_large_trade_count clustered_large_trade_notional large_trade_cluster_activity_rate".split(), "trade_clusters"),
+    **dict.fromkeys(["venue_midprice_deviation", "venue_depth_share"], "venue_features"),
+    **dict.fromkeys(["cross_venue_median_absolute_dispersion", "indicative_cross_venue_price_range", "venue_concentration_index"], "venue_concentration"),
+    **dict.fromkeys(["healthy_venue_fraction", "source_coverage_fraction", "cross_source_disagreement", "cascade_eligibility_gate"], "venue_coverage"),
+    **dict.fromkeys(
+        """predicted_funding_rate funding_rate_change open_interest_native open_interest_relative_change mark_index_divergence liquidation_observed_count
+        liquidation_observed_notional liquidation_observed_velocity""".split(),
+        "derivative_features",
+    ),
+    **dict.fromkeys(
+        """liquidation_source_completeness_flag source_latency_ns feed_jitter_ns clock_skew_estimate_ns sequence_gap_count checksum_failure_count reconnect_count recovery_count
+        stale_quote_duration_ns feature_age_ns correction_count revision_count raw_to_normalized_rejection_count disk_pressure_fraction local_processing_lag_ns source_outage_indicator
+        source_health_gate source_completeness_gate""".split(),
+        "operational_features",
+    ),
+}
+
 ROLES = {"model": "model_eligible", "uncertainty": "uncertainty_only", "gating": "gating_only"}
 #: Lifecycle features need certified order-by-order data; sweep costs need a conversion to dollars.
 NOT_SUPPORTED = {"expected_buy_sweep_cost_usd_10000", "expected_sell_sweep_cost_usd_10000"}
@@ -147,8 +189,8 @@ def catalogue() -> list[Feature]:
 
 def registry(spark: SparkSession) -> DataFrame:
     """The catalogue as a table (172 rows)."""
-    rows = [(f.feature_id, f.family, f.role, f.emits, f.missing_reason, f.extent_ns, f.advance_ns, f.lateness_ns) for f in catalogue()]
-    return spark.createDataFrame(rows, "feature_id string, family string, role string, emits boolean, missing_reason string, extent_ns long, advance_ns long, lateness_ns long")
+    rows = [(f.feature_id, f.family, f.role, f.emits, f.missing_reason, f.extent_ns, f.advance_ns, f.lateness_ns, COMPUTED_BY.get(f.feature_id) if f.emits else None) for f in catalogue()]
+    return spark.createDataFrame(rows, "feature_id string, family string, role string, emits boolean, missing_reason string, extent_ns long, advance_ns long, lateness_ns long, computed_by string")
 
 
 def unavailable_rows(spark: SparkSession, windows: DataFrame) -> DataFrame:

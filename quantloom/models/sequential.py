@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 def stream_series(df: DataFrame, key: str, value: str, start: Callable[[object], Callable[[np.ndarray], list[np.ndarray]]], schema: str, partitions: int | None = None) -> DataFrame:
     """Each key's values in order of ``(t, seq)`` through a function that
     ``start(key)`` makes; it is called with one batch's values after the
-    other and returns as many rows.  Output: ``key``, ``seq`` and those columns
-    (``schema`` names all)."""
+    other (a struct's fields side by side) and returns as many rows.  Output:
+    ``key``, ``seq`` and those columns (``schema`` names all)."""
     names = [f.split()[0] for f in schema.split(", ")]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -27,7 +27,11 @@ def stream_series(df: DataFrame, key: str, value: str, start: Callable[[object],
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys, values = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
+            keys, values = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
+            if pa.types.is_struct(values.type):
+                values = np.stack([f.to_numpy(zero_copy_only=False).astype(float) for f in values.flatten()], axis=1)
+            else:
+                values = values.to_numpy(zero_copy_only=False)
             edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
             made = []
             for a, b in zip(edges[:-1], edges[1:], strict=True):
@@ -188,21 +192,27 @@ class StudentHMM:
         return self
 
 
+def follow(p: float, now: str | None, y: float, lower: float, upper: float, stay: float = 0.98, sigma: float = 0.25, switch: float = 0.8) -> tuple[float, str]:
+    """One step of a two-branch filter with hysteresis: the probability of the
+    upper branch, and the branch followed.  A branch without a root (NaN) has
+    no weight; the other is followed only once its probability reaches
+    ``switch``."""
+    ahead = p * stay + (1 - p) * (1 - stay)
+    weights = [0.0 if math.isnan(root) else prior * math.exp(-0.5 * ((y - root) / sigma) ** 2) for prior, root in ((1 - ahead, lower), (ahead, upper))]
+    total = sum(weights)
+    p = weights[1] / total if total > 0 else ahead
+    best = "upper" if p > 0.5 else "lower"
+    if now is not None and best != now:
+        chance, kept = (p, 1 - p) if best == "upper" else (1 - p, p)
+        if chance < switch and kept > 0:
+            best = now
+    return p, best
+
+
 def track_branches(state: np.ndarray, lower: np.ndarray, upper: np.ndarray, stay: float = 0.98, sigma: float = 0.25, switch: float = 0.8) -> list[tuple[float, str]]:
-    """Two-branch filter with hysteresis: probability of the upper branch, and
-    the branch followed.  A branch without a root (NaN) has no weight; the
-    other is followed only once its probability reaches ``switch``."""
+    """``follow`` over a whole series."""
     p, now, out = 0.5, None, []
     for y, lo, hi in zip(state, lower, upper, strict=True):
-        ahead = p * stay + (1 - p) * (1 - stay)
-        weights = [0.0 if math.isnan(root) else prior * math.exp(-0.5 * ((y - root) / sigma) ** 2) for prior, root in ((1 - ahead, lo), (ahead, hi))]
-        total = sum(weights)
-        p = weights[1] / total if total > 0 else ahead
-        best = "upper" if p > 0.5 else "lower"
-        if now is not None and best != now:
-            chance, kept = (p, 1 - p) if best == "upper" else (1 - p, p)
-            if chance < switch and kept > 0:
-                best = now
-        now = best
+        p, now = follow(p, now, y, lo, hi, stay, sigma, switch)
         out.append((p, now))
     return out

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions import scoring
 from quantloom.functions.returns import log_return, valid_price
-from quantloom.models import sequential
+from quantloom.models import cusp, sequential
 from quantloom.operators import labels, lifecycle, triggers
 from quantloom.plans.flow import event_quotes
 from quantloom.plans.inputs import NS_PER_DAY, NS_PER_HOUR, r6, user_prices
@@ -182,10 +183,51 @@ def trigger_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("entity", "as_of_ns", *(r6(n).alias(n) for n in TRIGGERS), F.array_join("missing", ",").alias("missing"), "health")
 
 
+CONTROLS = [cusp.ControlFeature("price", 50.0, 40.0, 0.2, 0.5, required=True), cusp.ControlFeature("k", 50.0, 25.0, 0.9, -0.3), cusp.ControlFeature("gap_h", 24.0, 12.0, -0.1, 0.4)]
+
+
+def _controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Controls of each event from its price, ``props.k`` (missing every tenth)
+    and the hours since the user's event before."""
+    rows = _rows(spark, sf_dir)
+    w = Window.partitionBy("entity").orderBy("t", "seq")
+    rows = rows.withColumns({"price": valid_price(F.col("price")), "gap_h": (F.col("t") - F.lag("t").over(w)) / NS_PER_HOUR, "k": F.when(F.col("k") % 10 != 0, F.col("k").cast("double"))})
+    alpha, beta, missing, reason = cusp.controls(CONTROLS, (0.05, 0.8))
+    return rows.select("entity", "t", "seq", (F.col("price") / 50 - 1).alias("state"), alpha.alias("alpha"), beta.alias("beta"), missing.alias("missing"), reason.alias("reason"))
+
+
+def cusp_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _controls(spark, sf_dir)
+    return out.select("seq", r6("alpha").alias("alpha"), r6("beta").alias("beta"), F.array_join("missing", ",").alias("missing"), "reason")
+
+
+def cusp_online(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Branch followed and probability of the cusp region after each event."""
+    shifts = cusp.draws(np.zeros(2), np.diag([0.04, 0.02]), 64, 7)
+    out = cusp.online(_controls(spark, sf_dir), "entity", shifts)
+    return out.select("entity", "seq", r6("p_upper").alias("p_upper"), F.when(F.col("followed") == 1, "upper").when(F.col("followed") == 0, "lower").alias("branch"), r6("region").alias("region"))
+
+
+POLICY = {"baselines": 3, "improved_ppm": 400_000, "positives": 5, "episodes": 10, "regimes": 2, "recent": -0.5, "slope_low": 0.2, "slope_high": 1.8, "intercept": 0.9, "ece": 0.6, "drift": 99}
+
+
+def cusp_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate's twelve checks of each user as a candidate; folds are fifths
+    of the days, scores from the events' values."""
+    rows = _rows(spark, sf_dir).withColumns({"fold": F.col("day") % 5, "y": (F.col("price") > 50).cast("double"), "q": F.lit(0.4)})
+    rows = rows.withColumn("p", F.least(F.col("price") / 100, F.lit(1.0)))
+    more = rows.groupBy("entity", "fold").agg(
+        F.max("event_type").alias("regime"), F.count_distinct("day").alias("episodes"), (F.avg("k") / 50).alias("slope"), (F.avg("k") / 100 - 0.5).alias("intercept"), F.abs(F.avg("p") - F.avg("y")).alias("ece"),
+        (F.avg("p") - 0.5).alias("alert_delta"), F.max("k").alias("drift"), (F.min("k") >= 0).alias("parity"), F.count_if(F.col("k") > 99).alias("failures"), F.count_distinct("event_type").alias("baselines"),
+    )
+    folds = cusp.fold_skills(rows, ["entity"], "fold").join(more, ["entity", "fold"])
+    return cusp.gate(folds, ["entity"], POLICY).select("entity", F.array_join("failed", ",").alias("failed"), r6("brier_skill").alias("brier_skill"), "folds", "status")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        lifecycle_rates, book_changes, depth_recovery, multi_horizon_returns, label_rules, overlap_policies, adaptive_calibration, volatility_selection,
+        cusp_controls, cusp_online, cusp_gate, lifecycle_rates, book_changes, depth_recovery, multi_horizon_returns, label_rules, overlap_policies, adaptive_calibration, volatility_selection,
         normalized_state, representative_paths, base_rate_forecasts, top_levels, trigger_vectors,
     )
 }
@@ -245,4 +287,15 @@ SELECT part, CASE WHEN bid THEN 'bids' ELSE 'asks' END AS side, level, price, qt
 r AS (SELECT *, {", ".join(("CASE WHEN lost THEN 'source_disconnected' " if n in TRIGGERS[:3] else "CASE ") + f"WHEN {n}_v IS NULL THEN 'missing' WHEN as_of_ns - {n}_t > {n}_l THEN 'expired' END AS {n}_r" for n in TRIGGERS)} FROM n)
 SELECT entity, as_of_ns, {", ".join(f"CASE WHEN {n}_r IS NULL THEN round({n}_v, 6) + 0.0 END AS {n}" for n in TRIGGERS)}, concat_ws(',', {", ".join(f"'{n}:' || {n}_r" for n in TRIGGERS)}) AS missing,
   CASE WHEN lost THEN 'unavailable' WHEN {" OR ".join(f"{n}_r IS NOT NULL" for n in TRIGGERS)} OR quality < 900000 THEN 'degraded' ELSE 'healthy' END AS health FROM r""",
+    "cusp_controls": f"""WITH {_E}, c AS (SELECT seq, CASE WHEN price > 0 THEN price END AS p, CASE WHEN k % 10 <> 0 THEN k END AS k, (t - lag(t) OVER (PARTITION BY entity ORDER BY t, seq)) / {float(H)!r}::DOUBLE AS g FROM e),
+z AS (SELECT seq, p, k, g, (p - 50) / 40 AS zp, coalesce((k - 50) / 25.0::DOUBLE, 0) AS zk, coalesce((g - 24) / 12, 0) AS zg FROM c)
+SELECT seq, round(0.05::DOUBLE + 0.2::DOUBLE * zp + 0.9::DOUBLE * zk - 0.1::DOUBLE * zg, 6) + 0.0 AS alpha, round(0.8::DOUBLE + 0.5::DOUBLE * zp - 0.3::DOUBLE * zk + 0.4::DOUBLE * zg, 6) + 0.0 AS beta,
+  concat_ws(',', CASE WHEN k IS NULL THEN 'k' END, CASE WHEN g IS NULL THEN 'gap_h' END) AS missing, CASE WHEN p IS NULL THEN 'required_feature_missing' END AS reason FROM z""",
+    "cusp_gate": f"""WITH {_E}, r AS (SELECT *, day % 5 AS fold, CASE WHEN price > 50 THEN 1.0 ELSE 0.0 END::DOUBLE AS y, least(price / 100, 1.0) AS p FROM e),
+f AS (SELECT entity, fold, count(*) AS w, avg((0.4::DOUBLE - y) * (0.4::DOUBLE - y)) AS b, avg((p - y) * (p - y)) AS c, sum(y) AS pos, max(event_type) AS regime, count(DISTINCT day) AS ep, avg(k) / 50 AS sl, avg(k) / 100 - 0.5 AS ic, abs(avg(p) - avg(y)) AS ece, avg(p) - 0.5 AS al, max(k) AS dr, count(DISTINCT event_type) AS bl FROM r GROUP BY entity, fold),
+g AS (SELECT entity, count(*) AS folds, 1 - sum(w * c) / nullif(sum(w * b), 0) AS skill, min(bl) AS bl, avg(CASE WHEN c < b THEN 1.0 ELSE 0.0 END) * 1000000 AS imp, sum(pos) AS pos, sum(ep) AS ep, count(DISTINCT CASE WHEN c < b THEN regime END) AS rg, arg_max(1 - c / nullif(b, 0), fold) AS rec,
+  bool_and(sl BETWEEN 0.2 AND 1.8 AND abs(ic) <= 0.9 AND ece <= 0.6) AS cal, sum(w * al) AS al, max(dr) AS dr FROM f GROUP BY entity),
+x AS (SELECT *, concat_ws(',', CASE WHEN bl < 3 THEN 'required_baselines' END, CASE WHEN coalesce(round(skill * 1000000) <= 0, true) THEN 'positive_primary_score' END, CASE WHEN imp < 400000 THEN 'improved_fold_fraction' END, CASE WHEN pos < 5 THEN 'minimum_positive_events' END,
+  CASE WHEN ep < 10 THEN 'independent_episodes' END, CASE WHEN rg < 2 THEN 'multi_regime_improvement' END, CASE WHEN coalesce(rec < -0.5, true) THEN 'recent_fold_safety' END, CASE WHEN NOT cal THEN 'calibration' END, CASE WHEN al > 0 THEN 'alert_budget_improvement' END, CASE WHEN dr > 99 THEN 'coefficient_stability' END) AS failed FROM g)
+SELECT entity, failed, round(skill, 6) + 0.0 AS brier_skill, folds, CASE WHEN failed = '' THEN 'eligible' ELSE 'research_only' END AS status FROM x""",
 }

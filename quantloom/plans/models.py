@@ -21,8 +21,9 @@ from quantloom.streaming import order_book, sinks
 
 
 def feature_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features by family and role, and how many of them a query computes."""
     out = registry.registry(spark)
-    return out.groupBy("family", "role", "emits").agg(F.count("*").alias("features"))
+    return out.groupBy("family", "role", "emits").agg(F.count("*").alias("features"), F.count("computed_by").alias("computed"))
 
 
 def unavailable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,7 +224,7 @@ SELECT event_type, day, last(la ORDER BY t, seq) AS source_latency_ns, max(ji) A
 ORACLE_SQL["feature_catalogue"] = """SELECT * FROM (VALUES
   ('price', 'model_eligible', true, 32::BIGINT), ('book', 'model_eligible', true, 48::BIGINT), ('book', 'model_eligible', false, 2::BIGINT), ('flow', 'model_eligible', true, 27::BIGINT),
   ('venue', 'model_eligible', true, 13::BIGINT), ('venue', 'model_eligible', false, 23::BIGINT), ('venue', 'uncertainty_only', true, 19::BIGINT), ('venue', 'uncertainty_only', false, 4::BIGINT),
-  ('venue', 'gating_only', true, 3::BIGINT), ('venue', 'gating_only', false, 1::BIGINT)) t(family, role, emits, features)"""
+  ('venue', 'gating_only', true, 3::BIGINT), ('venue', 'gating_only', false, 1::BIGINT)) t(family, role, emits, features), LATERAL (SELECT CASE WHEN emits THEN features ELSE 0 END AS computed)"""
 
 _NEWTON = "s - CASE WHEN 10 * s ** 4 + 9 * s * s - 2 * a * s - b > 0 THEN (2 * s ** 5 + 3 * s ** 3 - a * s * s - b * s) / (10 * s ** 4 + 9 * s * s - 2 * a * s - b) ELSE 0 END"
 ORACLE_SQL["cusp_geometry"] = f"""WITH RECURSIVE {_E}, c AS (SELECT seq, CAST(k AS DOUBLE) / 50 - 1.013 AS a, least(price / 50, 4.0) - 1.007 AS b FROM e),
