@@ -210,3 +210,34 @@ def top_level_text_crc(levels: Column, depth: int = 10) -> Column:
 def book_crc(asks: Column, bids: Column) -> Column:
     """CRC-32 of the ten best asks, then bids (raw text levels)."""
     return F.crc32(F.concat(top_level_text_crc(asks), top_level_text_crc(bids)))
+
+
+LEVEL3 = "array<struct<symbol: string, checksum: long, timestamp: string, bids: array<struct<order_id: string, limit_price: string, order_qty: string, timestamp: string, event: string>>, asks: array<struct<order_id: string, limit_price: string, order_qty: string, timestamp: string, event: string>>>>"
+
+
+def level3(bronze: DataFrame) -> DataFrame:
+    """Kraken order-by-order messages: one row per order event, in the shape of
+    ``lifecycle.l3_levels``, with the message's checksum."""
+    r = bronze.withColumn("m", F.from_json("raw", "channel string, type string, data string")).filter("m.channel = 'level3'")
+    d = r.select("record_sequence", F.col("m.type").alias("type"), F.posexplode(F.from_json("m.data", LEVEL3)).alias("at", "d"))
+    every = lambda side: F.transform(F.coalesce(F.col(f"d.{side}s"), F.array()), lambda o, k: F.struct(F.lit(side).alias("side"), k.alias("place"), o.alias("o")))
+    rows = d.select("record_sequence", "type", F.col("d.symbol").alias("symbol"), F.col("d.checksum").alias("checksum"), F.explode(F.concat(every("bid"), every("ask"))).alias("x"))
+    action = F.coalesce("x.o.event", F.when(F.col("type") == "snapshot", "add"))
+    return rows.select(
+        "symbol", "checksum", F.col("x.side").alias("side"), F.col("x.o.order_id").alias("order_id"), action.alias("action"), _decimal(F.col("x.o.limit_price"), PRICE).alias("price"), _decimal(F.col("x.o.order_qty"), QUANTITY).alias("qty"),
+        F.col("x.o.limit_price").alias("price_text"), F.col("x.o.order_qty").alias("qty_text"), _iso_ns(F.col("x.o.timestamp")).alias("t"), (F.col("record_sequence") * 1_000_000 + F.col("x.place")).alias("seq"),
+    )
+
+
+def level3_crc(orders: DataFrame, keys: list[str], depth: int = 10) -> DataFrame:
+    """CRC-32 of each group's open orders: the ten best asks, then bids, each
+    level's orders in queue order, as raw decimal text without point and
+    leading zeros."""
+    bare = lambda s: F.regexp_replace(F.regexp_replace(s, r"\.", ""), "^0+", "")
+    text = F.concat(bare(F.col("price_text")), bare(F.col("qty_text")))
+    queue = F.transform(F.array_sort(F.collect_list(F.struct("t", "seq", text.alias("text")))), lambda x: x["text"])
+    level = orders.groupBy(*keys, "side", "price").agg(F.array_join(queue, "").alias("text"))
+    signed = F.when(F.col("side") == "ask", F.col("price")).otherwise(-F.col("price"))
+    side = level.groupBy(*keys, "side").agg(F.array_sort(F.collect_list(F.struct(signed.alias("at"), "text"))).alias("all"))
+    joined = F.array_join(F.transform(F.slice("all", 1, depth), lambda x: x["text"]), "")
+    return side.groupBy(*keys).agg(F.crc32(F.concat(F.coalesce(F.max(F.when(F.col("side") == "ask", joined)), F.lit("")), F.coalesce(F.max(F.when(F.col("side") == "bid", joined)), F.lit("")))).alias("crc"))
