@@ -65,6 +65,29 @@ def nearest_rank(values: Column, percent: int) -> Column:
     return F.get(v, F.greatest(F.ceil(F.size(v) * F.lit(percent) / 100).cast("int") - 1, F.lit(0)))
 
 
+def order_statistics(df: DataFrame, keys: list[str], value: str, hazens: dict[str, float], ranks: dict[str, int]) -> DataFrame:
+    """Exact quantiles of a column by key: Hazen's (position n p - 0.5) and
+    nearest ranks (the ceil(n p / 100)-th smallest).  Values are counted first,
+    so what is ordered are the distinct ones, and no column is collected."""
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    order = Window.partitionBy(*keys).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    rows = counted.withColumns({"__upto": F.sum("__n").over(order), "__all": F.sum("__n").over(Window.partitionBy(*keys))})
+
+    def at(place: Column) -> Column:  # the value of a place, counted from 0
+        inside = F.greatest(F.least(place, F.col("__all") - 1), F.lit(0))
+        return F.max(F.when((F.col("__upto") - F.col("__n") <= inside) & (inside < F.col("__upto")), F.col("__v")))
+
+    made = []
+    for name, p in hazens.items():
+        place = F.col("__all") * F.lit(float(p)) - 0.5
+        low = F.floor(place).cast("long")
+        part = F.max(F.when((place <= 0) | (place >= F.col("__all") - 1), F.lit(0.0)).otherwise(place - low))
+        made.append((at(low) * (1 - part) + at(low + 1) * part).alias(name))
+    for name, p in ranks.items():
+        made.append(at(F.ceil(F.col("__all") * F.lit(p) / 100).cast("long") - 1).alias(name))
+    return rows.groupBy(*keys).agg(*made)
+
+
 def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 

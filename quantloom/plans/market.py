@@ -230,8 +230,9 @@ def reliability_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hazen_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = user_prices(spark, sf_dir).groupBy("event_type").agg(F.collect_list("price").alias("v"))
-    return rows.select("event_type", *(r6(scoring.hazen(F.col("v"), q / 100)).alias(f"p{q:02d}") for q in (5, 25, 50, 75, 95)), *(scoring.nearest_rank(F.col("v"), q).alias(f"nr{q:02d}") for q in (50, 95, 99)))
+    names = {f"p{q:02d}": q / 100 for q in (5, 25, 50, 75, 95)}
+    out = scoring.order_statistics(user_prices(spark, sf_dir), ["event_type"], "price", names, {f"nr{q:02d}": q for q in (50, 95, 99)})
+    return out.select("event_type", *(r6(n).alias(n) for n in names), "nr50", "nr95", "nr99")
 
 
 def label_centroid_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -310,7 +311,7 @@ def cusp_equilibria(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = rows.select("seq", "alpha", "beta", F.size("roots").cast("long").alias("n_roots"), F.posexplode("roots").alias("pos", "y"))
     residual = F.abs(derivatives.cusp_gradient(F.col("y"), F.col("alpha"), F.col("beta")))
     stable = F.when(3 * F.col("y") * F.col("y") > F.col("beta"), "stable").otherwise("unstable")
-    return flat.select("seq", "n_roots", F.col("pos").cast("long").alias("pos"), (residual < 1e-9).alias("solves"), stable.alias("stability"))
+    return flat.select("seq", "n_roots", F.col("pos").cast("long").alias("pos"), r6("y").alias("root"), (residual < 1e-9).alias("solves"), stable.alias("stability"))
 
 
 def evidence_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -503,4 +504,4 @@ d AS (SELECT *, 4 * power(b, 3) - 27 * a * a AS disc FROM c),
 r AS (SELECT seq, b, 3 AS n_roots, unnest([2, 1, 0]) AS k, acos(greatest(least(3 * a / (2 * b) * sqrt(3 / b), 1.0), -1.0)) / 3 AS th, a FROM d WHERE disc > 0),
 y AS (SELECT seq, b, n_roots, 2 * sqrt(b / 3) * cos(th - 2 * pi() * k / 3) AS y FROM r
   UNION ALL SELECT seq, b, 1, cbrt(a / 2 + sqrt(greatest(a * a / 4 - power(b, 3) / 27, 0))) + cbrt(a / 2 - sqrt(greatest(a * a / 4 - power(b, 3) / 27, 0))) FROM d WHERE disc <= 0)
-SELECT seq, CAST(n_roots AS BIGINT) AS n_roots, row_number() OVER (PARTITION BY seq ORDER BY y) - 1 AS pos, true AS solves, CASE WHEN 3 * y * y > b THEN 'stable' ELSE 'unstable' END AS stability FROM y"""
+SELECT seq, CAST(n_roots AS BIGINT) AS n_roots, row_number() OVER (PARTITION BY seq ORDER BY y) - 1 AS pos, round(y, 6) + 0.0 AS root, true AS solves, CASE WHEN 3 * y * y > b THEN 'stable' ELSE 'unstable' END AS stability FROM y"""
