@@ -52,11 +52,26 @@ def depth(side: str, bps: int) -> Column:
     return _sum(inside, lambda x: x["qty"])
 
 
-def imbalance(bps: int) -> Column:
-    b, a = depth("bids", bps), depth("asks", bps)
+def depths(side: str, m: Column) -> Column:
+    """The depths of all ``BANDS`` around a mid (a column of its own) in one
+    pass over a side's levels: a struct with a field ``b<bps>`` each."""
+    start = F.struct(m.alias("m"), *(F.lit(0.0).alias(f"b{b}") for b in BANDS))
+
+    def add(s: Column, x: Column) -> Column:
+        away = ((s["m"] - x["price"]) if side == "bids" else (x["price"] - s["m"])) * 10_000
+        return F.struct(s["m"].alias("m"), *(F.when(away <= s["m"] * b, s[f"b{b}"] + x["qty"]).otherwise(s[f"b{b}"]).alias(f"b{b}") for b in BANDS))
+
+    return F.aggregate(F.col(side), start, add)
+
+
+def imbalance_of(b: Column, a: Column) -> Column:
     return (b - a) / F.nullif(b + a, F.lit(0.0))
 
 
+def imbalance(bps: int) -> Column:
+    return imbalance_of(depth("bids", bps), depth("asks", bps))
+
+
 def weighted_midpoint() -> Column:
     b, a = best("bids"), best("asks")
     return (b["price"] * b["qty"] + a["price"] * a["qty"]) / (b["qty"] + a["qty"])

@@ -126,16 +126,18 @@ def book_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def book_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = book_snapshots(spark, sf_dir)
+    rows = book_snapshots(spark, sf_dir).withColumn("mid", book.mid())
+    rows = rows.withColumns({"near_bids": book.depths("bids", F.col("mid")), "near_asks": book.depths("asks", F.col("mid"))})
+    near = lambda side, bps: F.when(F.col("mid").isNotNull(), F.col(f"near_{side}.b{bps}")).otherwise(0.0)
     entropy, concentration = book.entropy_and_concentration()
     bid_slope, bid_convexity = book.slope_and_convexity("bids", 1.0)
     ask_slope, ask_convexity = book.slope_and_convexity("asks", 1.0)
     made = {
         "absolute_spread": book.absolute_spread(),
         "relative_spread": book.relative_spread(),
-        **{f"bid_depth_{b}bps": book.depth("bids", b) for b in book.BANDS},
-        **{f"ask_depth_{b}bps": book.depth("asks", b) for b in book.BANDS},
-        **{f"book_imbalance_{b}bps": book.imbalance(b) for b in book.BANDS},
+        **{f"bid_depth_{b}bps": near("bids", b) for b in book.BANDS},
+        **{f"ask_depth_{b}bps": near("asks", b) for b in book.BANDS},
+        **{f"book_imbalance_{b}bps": book.imbalance_of(near("bids", b), near("asks", b)) for b in book.BANDS},
         "weighted_midpoint": book.weighted_midpoint(),
         "microprice": book.microprice(),
         "bid_book_slope": bid_slope,
