@@ -308,21 +308,24 @@ def bits_limit(similarity: float, n_bits: int) -> int:
     return int(n_bits * p + 4 * (n_bits * p * (1 - p)) ** 0.5)
 
 
-def exact_links(sets: list[np.ndarray], words: np.ndarray, limit: int, similarity: float) -> np.ndarray:
+def exact_links(sets: list[np.ndarray], words: np.ndarray, limit: int, similarity: float, label: np.ndarray | None = None, first: int = 1) -> np.ndarray:
     """For each set the first member of its component, over pairs of at most
     ``limit`` differing bits whose intersection is at least ``similarity`` of
-    the union.  Pairs that are already joined are not compared."""
+    the union.  Sets from ``first`` on are compared with all before them.
+    Pairs that are already joined (by ``label`` or through others) are not
+    compared."""
     size = np.array([len(s) for s in sets], np.int64)
     ends = np.cumsum(size)
     tokens = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
     mark = np.zeros(int(tokens.max(initial=-1)) + 1, bool)
-    label = np.arange(len(sets))
-    for k in range(1, len(sets)):
+    label = np.arange(len(sets)) if label is None else label.copy()
+    for k in range(max(first, 1), len(sets)):
         if not size[k]:
             continue
-        near = np.bitwise_count(words[:k] ^ words[k]).sum(axis=1, dtype=np.int64) <= limit
+        near = label[:k] != label[k]
         near &= np.minimum(size[:k], size[k]) / np.maximum(size[:k], size[k]) >= similarity
-        left, at_once = np.flatnonzero(near), 1
+        left = np.flatnonzero(near)
+        left, at_once = left[np.bitwise_count(words[left] ^ words[k]).sum(axis=1, dtype=np.int64) <= limit], 1
         mine = tokens[ends[k] - size[k] : ends[k]]
         mark[mine] = True
         while len(left := left[label[left] != label[k]]):
@@ -339,32 +342,67 @@ def exact_links(sets: list[np.ndarray], words: np.ndarray, limit: int, similarit
 def verified(spark: SparkSession, docs: DataFrame, label: DataFrame, shingle: int, limit: int, similarity: float) -> DataFrame:
     """Of the candidates' components ``label`` (``node``, ``component``), the
     links that hold exactly, as pairs that span the same components as all of
-    them.  A component of over ``BLOCK`` bytes of text is cut into blocks, and
-    each two blocks meet in a group of their own; so no group holds more than
-    about two blocks, and no pair of the component is left out."""
+    them.
+
+    A component of over ``BLOCK`` bytes of text is cut into blocks.  Each block
+    is compared within itself; then one document of each group found in a block
+    is compared with the first block, which joins what belongs together; at
+    last every document outside the component's largest group is compared with
+    all blocks.  So two documents that never meet are in one group already, no
+    task holds more than about two blocks, and the work for a large group of
+    similar documents grows with its size, not with its square."""
     member = label.unionByName(label.select(F.col("component").alias("node"), "component")).distinct()
     text = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
-    sizes = text.select("node", F.octet_length("text").cast("long").alias("n")).join(member, "node").groupBy("component").agg(F.sum("n").alias("n"))
-    sizes = sizes.select("component", F.ceil(F.greatest("n", F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    member = materialize(spark, member.join(sizes, "component"), "members")
-    block = F.pmod(F.xxhash64("node"), "blocks").cast("int")
-    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block"))))
-    dealt = text.join(member, "node").withColumn("block", block).select("node", "component", "text", "block", other.alias("other"))
-    dealt = dealt.select("node", "component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "text")
+    bytes_of = text.select("node", F.octet_length("text").cast("long").alias("n"))
+    in_blocks = lambda rows: rows.groupBy("component").agg(F.ceil(F.greatest(F.sum("n"), F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    sizes = in_blocks(bytes_of.join(member, "node"))
+    member = materialize(spark, member.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")), "members")
+    keys = ["component", "part", "other"]
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in sorted_groups(batches, ["component", "low", "high"]):
-            ids = group.column("node").to_numpy()
-            sets = [np.unique(shingle_hashes(t, shingle)) for t in binary_values(group.column("text"))]
+        for group in sorted_groups(batches, keys):
+            probe = group.column("probe").to_numpy()
+            order = np.argsort(probe, kind="stable")  # those that are compared come last
+            ids = group.column("node").to_numpy()[order]
+            texts = binary_values(group.column("text"))
+            sets = [np.unique(shingle_hashes(texts[k], shingle)) for k in order.tolist()]
             words = np.array([simhash(s, WIDE) for s in sets], np.uint64)
-            first = exact_links(sets, words, limit, similarity)
-            linked = np.flatnonzero(first != np.arange(len(first)))
+            _, place, known = np.unique(group.column("known").to_numpy()[order], return_index=True, return_inverse=True)
+            first = exact_links(sets, words, limit, similarity, place[known], int((~probe).sum()))
+            linked = np.flatnonzero(first != place[known])
             yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(ids[first[linked]])], ["a", "b"])
 
     text_batches(spark)
     n = parts(spark, text_bytes(docs), 2 * BLOCK, spark.sparkContext.defaultParallelism)
-    keys = ["component", "low", "high"]
-    return dealt.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(check, "a long, b long")
+
+    def links_of(rows: DataFrame) -> DataFrame:
+        dealt = rows.join(text, "node").select(*keys, "node", "known", "probe", "text")
+        return materialize(spark, dealt.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(check, "a long, b long"), "links")
+
+    def dealt(rows: DataFrame, part, other, probe: bool) -> DataFrame:
+        return rows.select("node", "component", part.alias("part"), other.alias("other"), "known", F.lit(probe).alias("probe"))
+
+    none = F.lit(0)
+    links = links_of(dealt(member.withColumn("known", F.col("node")), F.col("block"), none, True))
+    large = member.filter("blocks > 1")
+    if not large.limit(1).count():
+        return links
+
+    def groups(edges: DataFrame) -> DataFrame:
+        found = connected_components(spark, edges).withColumnsRenamed({"node": "__node", "component": "__known"})
+        return materialize(spark, large.join(found, F.col("node") == F.col("__node"), "left").select(*large.columns, F.coalesce("__known", "node").alias("known")), "groups")
+
+    known = groups(links)
+    bridge = dealt(known.filter("block = 0"), F.explode(F.sequence(F.lit(1), F.col("blocks") - 1)), none, False)
+    links = links.unionByName(links_of(bridge.unionByName(dealt(known.filter("block > 0 and node = known"), F.col("block"), none, True))))
+    known = groups(links)
+    counted = known.groupBy("component", "known").agg(F.count("*").alias("n"))
+    largest = counted.groupBy("component").agg(F.max_by("known", F.struct("n", "known")).alias("largest"))
+    outside = known.join(largest, "component").filter("known <> largest").drop("largest")
+    rest = in_blocks(outside.join(bytes_of, "node")).withColumnRenamed("blocks", "parts")
+    part, every = F.pmod(F.xxhash64("node"), "parts").cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    probes = dealt(outside.join(rest, "component"), part, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), True)
+    return links.unionByName(links_of(probes.unionByName(dealt(known.join(rest, "component"), every, F.col("block"), False))))
 
 
 def similar_documents(spark: SparkSession, docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
