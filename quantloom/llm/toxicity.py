@@ -288,22 +288,24 @@ class Classifier:
 def logistic_regression(rows: list[list[int]], y: np.ndarray, weight: np.ndarray, width: int, ridge: float = 1.0, rounds: int = 400) -> tuple[np.ndarray, float]:
     """Weighted logistic regression on binary features (given as index lists),
     by accelerated gradient descent."""
-    x = np.zeros((len(rows), width + 1), np.float32)
-    x[:, width] = 1
-    for k, r in enumerate(rows):
-        x[k, r] = 1
-    weight = (weight / weight.mean()).astype(np.float32)
-    bound = float((x.sum(axis=1) * weight).max() * 0.25 * 0.5 + ridge / len(rows))
-    w = np.zeros(width + 1, np.float32)
+    sizes = np.array([len(r) for r in rows])
+    index = np.fromiter((k for r in rows for k in r), np.int64, int(sizes.sum()))
+    owner = np.repeat(np.arange(len(rows)), sizes)
+    weight = weight / weight.mean()
+    bound = float(((sizes + 1) * weight).max() * 0.25 * 0.5 + ridge / len(rows))
+    w = np.zeros(width + 1)
     ahead, t = w.copy(), 1.0
-    decay = np.full(width + 1, ridge / len(rows), np.float32)
+    decay = np.full(width + 1, ridge / len(rows))
     decay[width] = 0
+    slope = np.empty(width + 1)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ ahead, -30, 30)))
-        step = ahead - ((x.T @ (weight * (p - y))) / len(rows) + decay * ahead) / bound
+        z = np.bincount(owner, ahead[index], len(rows)) + ahead[width]
+        off = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(rows)
+        slope[:width], slope[width] = np.bincount(index, off[owner], width), off.sum()
+        step = ahead - (slope + decay * ahead) / bound
         t, old = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
         ahead, w = step + (old - 1) / t * (step - w), step
-    return w[:width].astype(float), float(w[width])
+    return w[:width], float(w[width])
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:

@@ -243,6 +243,44 @@ def test_embeddings_against_brute_force(spark):
     assert embedding_dedup.near_duplicates(spark, df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("spectrum", ["flat", "steep", "grouped"])
+@pytest.mark.parametrize("n", [2_000, 50_000, 10**9])
+def test_tables_find_pairs_at_the_threshold(spectrum, n):
+    """Share of pairs at cosine 0.95 that meet in a table and stay within the
+    Hamming radius, with the shipped recall and the plan for n vectors."""
+    rng = np.random.default_rng(3)
+    width = {"flat": np.ones(64), "steep": 1 / np.arange(1, 65) ** 0.5, "grouped": np.ones(64)}[spectrum]
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    centre = rng.normal(size=(40, 64)) * 2 if spectrum == "grouped" else np.zeros((1, 64))
+    base = unit(centre[rng.integers(0, len(centre), 1500)] + rng.normal(size=(1500, 64)) * width)
+    noise = rng.normal(size=base.shape) * width
+    noise -= (noise * base).sum(axis=1, keepdims=True) * base
+    pair = 0.95 * base + (1 - 0.95**2) ** 0.5 * unit(noise)
+    bits, per_code, n_rotations = embedding_dedup.plan(n)
+    n_rotations = min(n_rotations, 40)
+    rotations = [embedding_dedup.learn_rotation(base, 64, seed, rounds=10) for seed in range(n_rotations)]
+    a, b = embedding_dedup._codes(base, rotations), embedding_dedup._codes(pair, rotations)
+    met = np.zeros(len(a), bool)
+    for t in range(n_rotations * per_code):
+        met |= embedding_dedup._key(a, t, bits, per_code) == embedding_dedup._key(b, t, bits, per_code)
+    apart = np.bitwise_count(a ^ b).sum(axis=1)
+    assert (met & (apart <= embedding_dedup.radius(0.95, 64 * n_rotations))).mean() >= 0.95
+
+
+def test_large_buckets_are_cut_without_loss(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    centre = rng.normal(size=16)
+    rows = [(k, (centre + rng.normal(size=16) * 0.12).tolist()) for k in range(150)] + [(1000 + k, rng.normal(size=16).tolist()) for k in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {r["vec_id"]: tuple(r) for r in embedding_dedup.near_duplicates(spark, df).collect()}
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 17)
+    monkeypatch.setattr(embedding_dedup, "AT_ONCE", 64)
+    assert {r["vec_id"]: tuple(r) for r in embedding_dedup.near_duplicates(spark, df).collect()} == whole
+    good = {i: np.array(v) / np.linalg.norm(v) for i, v in rows}
+    true = sum(good[a] @ good[b] >= 0.95 for a in good for b in good if a != b)
+    assert 0.97 * true <= sum(r[1] for r in whole.values()) <= true > 5000
+
+
 @pytest.mark.parametrize("scale", [1.0, 1e5, 1e30])
 def test_topk_against_brute_force(spark, monkeypatch, scale):
     monkeypatch.setattr(topk_search, "SHARD", 50)

@@ -153,6 +153,16 @@ def test_language(spark, documents, empty):
     assert {r["lang_pred"] for r in language_id.predict(documents, none).collect()} == {"und"}
 
 
+def test_language_sample_of_one_hot_language(spark, monkeypatch):
+    """A language that holds most rows, and a doc_id that holds many, are sampled like any other."""
+    rows = [(i, f"the quick brown fox {i}", "en") for i in range(900)] + [(5000, "the lazy dog", "en")] * 600 + [(2000 + i, f"der schnelle fuchs {i}", "de") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(12)
+    fitted = language_id.fit(spark, docs, sample=50, landmarks=10)
+    assert fitted.languages == ["de", "en"]
+    again = language_id.fit(spark, docs.repartition(3), sample=50, landmarks=10)
+    assert (again.known == fitted.known).all() and np.allclose(again.weights, fitted.weights)
+
+
 def grams(t):
     t = "".join(chr(c + 500) for c in language_id._CLASS[np.frombuffer(t + b"    ", np.uint8)])
     return {t[k : k + n] for n in (1, 2, 3) for k in range(len(t) - 3 + (n == 3))}
