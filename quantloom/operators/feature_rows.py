@@ -187,7 +187,7 @@ def feature_windows(prices: DataFrame, step_ns: int, steps: int, window_id: str,
         }
     )
     ready = F.col("whole") & (F.col("finality_state") == "final")
-    rows = rows.withColumns({"close": F.element_at("p", -1), "p": F.when(ready, F.col("p")), "r": F.when(ready, F.col("r"))})
+    rows = rows.withColumns({"close": F.try_element_at("p", F.lit(-1)), "p": F.when(ready, F.col("p")), "r": F.when(ready, F.col("r"))})
     rows, made = with_parts(rows, step_ns / 3_600_000_000_000), price_features()
     rows = rows.select("entity", "g", "window_id", "event_time_start_ns", "event_time_end_ns", "whole", "finality_state", "watermark_ns", "quality_millionths", "fair", "close", *(c.alias(n) for n, c in made.items()))
     before = F.lag("realized_variance", steps).over(Window.partitionBy("entity").orderBy("g"))
