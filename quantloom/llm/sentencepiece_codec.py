@@ -51,7 +51,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes of ``text`` (code points) in the order of their first ``depth``
     characters: prefix doubling."""
     rank = text.astype(np.int64)
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(text.astype(np.uint16) if text.max(initial=0) < 65_536 else text, kind="stable")
     width = 1
     while width < depth:
         follow = np.zeros(len(rank), np.int64)
@@ -144,13 +144,16 @@ class Codec:
         first = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
         word_at = np.repeat(np.arange(len(words)), sizes + 1)
         start, piece = self._edges(text)
-        alone = np.setdiff1d(np.arange(len(text)), np.concatenate([start[self.lengths[piece] == 1], first + sizes]))
+        covered = np.zeros(len(text), bool)
+        covered[start[self.lengths[piece] == 1]] = covered[first + sizes] = True
+        alone = np.flatnonzero(~covered)
         start = np.concatenate([start, alone])
         code = np.concatenate([piece, len(self.names) + text[alone].astype(np.int64)])
         size = np.concatenate([self.lengths[piece], np.ones(len(alone), np.int64)])
         at = start - first[word_at[start]]
         end = at + size
-        by = np.lexsort((start, end))
+        # Only one edge to a position is kept, so the order of those with one end does not matter.
+        by = np.argsort(end.astype(np.uint16) if end.max(initial=0) < 65_536 else end, kind="stable")
         start, code, size, at, end = start[by], code[by], size[by], at[by], end[by]
         last = np.full(len(text) + 1, -1, np.int64)  # at a position: the piece that ends there
         back = np.zeros(len(text) + 1, np.int64)
@@ -174,7 +177,7 @@ class Codec:
         if not taken:
             return [b""] * len(words)
         owner, here, codes = (np.concatenate(x) for x in zip(*taken, strict=True))
-        by = np.lexsort((here, owner))
+        by = np.argsort(here)  # positions grow with the words
         owner, codes = owner[by], codes[by]
         ids, spread = self._identifiers(codes)
         owner = np.repeat(owner, spread)
