@@ -146,19 +146,24 @@ class StudentHMM:
         self.weight = (self.dof + dims) / (self.dof + z)
         return const - (self.dof + dims) / 2 * np.log1p(z / self.dof)
 
+    def _filter(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Causal state probabilities, emissions (each row up to a factor), the
+        rows' scales, and the log-likelihood."""
+        emit = self._log_emission(x)
+        top = emit.max(axis=1)
+        e = np.exp(emit - top[:, None])
+        out, scale = np.empty_like(e), np.empty(len(x))
+        state = self.start
+        for k in range(len(x)):
+            state = (state @ self.move if k else state) * e[k]
+            scale[k] = state.sum()
+            state = out[k] = state / scale[k]
+        return out, e, scale, float(np.log(scale).sum() + top.sum())
+
     def forward(self, x: np.ndarray) -> tuple[np.ndarray, float]:
         """Causal state probabilities (use these as features) and log-likelihood."""
-        emit, total = self._log_emission(x), 0.0
-        out = np.empty_like(emit)
-        state = np.log(self.start)
-        for k in range(len(x)):
-            if k:
-                state = _logsumexp(state[:, None] + np.log(self.move), axis=0)
-            state = state + emit[k]
-            norm = _logsumexp(state)
-            total += norm
-            state = out[k] = state - norm
-        return np.exp(out), total
+        out, _, _, total = self._filter(x)
+        return out, total
 
     def fit(self, x: np.ndarray, rounds: int = 30) -> StudentHMM:
         n, k = len(x), self.states
@@ -168,19 +173,14 @@ class StudentHMM:
         self.scale = np.maximum(np.array([x[p].var(axis=0) for p in parts]), self.floor)
         self.start, self.move = np.full(k, 1 / k), np.full((k, k), 0.1 / max(k - 1, 1)) + np.eye(k) * (0.9 - 0.1 / max(k - 1, 1))
         for _ in range(rounds):
-            emit = self._log_emission(x)
-            weight, log_move = self.weight, np.log(self.move)
-            ahead, behind = np.empty((n, k)), np.zeros((n, k))
-            ahead[0] = np.log(self.start) + emit[0]
-            for t in range(1, n):
-                ahead[t] = _logsumexp(ahead[t - 1][:, None] + log_move, axis=0) + emit[t]
+            ahead, e, scale, _ = self._filter(x)
+            weight, behind = self.weight, np.ones((n, k))
+            carried = e / scale[:, None]
             for t in range(n - 2, -1, -1):
-                behind[t] = _logsumexp(log_move + (emit[t + 1] + behind[t + 1])[None], axis=1)
-            both = ahead + behind
-            smooth = np.exp(both - _logsumexp(both, axis=1)[:, None])
-            pair = ahead[:-1, :, None] + log_move[None] + (emit[1:] + behind[1:])[:, None, :]
-            pair = np.exp(pair - _logsumexp(ahead[-1]))
-            moved = pair.sum(axis=0) + self.pseudo
+                behind[t] = self.move @ (carried[t + 1] * behind[t + 1])
+            smooth = ahead * behind
+            smooth /= smooth.sum(axis=1, keepdims=True)
+            moved = self.move * (ahead[:-1].T @ (carried[1:] * behind[1:])) + self.pseudo
             self.move = moved / moved.sum(axis=1, keepdims=True)
             first = smooth[0] + self.pseudo
             self.start = first / first.sum()
