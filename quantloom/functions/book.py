@@ -83,12 +83,19 @@ def microprice() -> Column:
 
 
 def entropy_and_concentration() -> tuple[Column, Column]:
-    """Normalised Shannon entropy and Herfindahl index of displayed quantity."""
+    """Normalised Shannon entropy and Herfindahl index of displayed quantity.
+
+    The index is the sum of squares over the squared total, one division: the
+    sum of rounded shares depends on the order of the levels and may fall below
+    a half of the last digit that the index is exactly."""
     both = F.concat("bids", "asks")
     total, n = _sum(both, lambda x: x["qty"]), F.size(both)
-    share = F.transform(both, lambda x: x["qty"] / total)
-    plogp = F.aggregate(F.filter(share, lambda w: w > 0), F.lit(0.0), lambda s, w: s - w * F.log(w))
-    return F.when(n > 1, plogp / F.log(n)), F.aggregate(share, F.lit(0.0), lambda s, w: s + w * w)
+
+    def plogp(side: str) -> Column:
+        share = F.filter(F.transform(F.col(side), lambda x: x["qty"] / total), lambda w: w > 0)
+        return F.aggregate(share, F.lit(0.0), lambda s, w: s - w * F.log(w))
+
+    return F.when(n > 1, (plogp("bids") + plogp("asks")) / F.log(n)), _sum(both, lambda x: x["qty"] * x["qty"]) / (total * total)
 
 
 def wall_distance(side: str, notional: float) -> Column:

@@ -62,3 +62,11 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 def r6(column: Column | str, digits: int = 6) -> Column:
     """A double as results are compared: rounded, without a negative zero."""
     return F.round(column, digits) + F.lit(0.0)
+
+
+def sql_round(column: Column | str, digits: int) -> Column:
+    """The same rounded as the SQL equivalents do it, on the scaled double;
+    ``F.round`` rounds the shortest decimal, which differs for values of many
+    digits that end in a half (1024.2279296875 to nine digits)."""
+    scaled = F.round((F.col(column) if isinstance(column, str) else column) * 10.0**digits)
+    return scaled / 10.0**digits + F.lit(0.0)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quantloom.functions import book, derivatives, scoring
 from quantloom.functions.returns import log_return
 from quantloom.operators import joins, labels, market
-from quantloom.plans.inputs import NS_PER_DAY, NS_PER_HOUR, nanos, r6, table, user_prices
+from quantloom.plans.inputs import NS_PER_DAY, NS_PER_HOUR, nanos, r6, sql_round, table, user_prices
 
 IDENTITY = ["feature_id", "event_time_start_ns", "event_time_end_ns"]
 
@@ -160,7 +160,7 @@ def book_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         book.classification().alias("classification"),
         F.size("bids").cast("long").alias("bid_active_price_levels"),
         F.size("asks").cast("long").alias("ask_active_price_levels"),
-        *(r6(c, 9).alias(n) for n, c in made.items()),
+        *(sql_round(c, 9).alias(n) for n, c in made.items()),
     )
 
 
