@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,17 +13,19 @@ PRIORITY = ("liquidity_vacuum", "liquidation_cascade", "downside", "upside", "vo
 HORIZONS = (900, 3_600, 14_400, 86_400)
 
 
-def first_passage(frames: DataFrame, keys: list[str], condition: Column, horizon_s: int, persistence_s: int) -> DataFrame:
+def first_passage(frames: DataFrame, keys: list[str], condition: Column, horizon_s: int, persistence_s: int, ties: Sequence[str] = ()) -> DataFrame:
     """Outcome of each path at a horizon.  ``frames``: ``offset_s``,
     ``known_s``, ``trusted``, ``excluded`` (booleans) and what ``condition``
-    reads.
+    reads.  Frames at one offset follow each other in the order of the columns
+    ``ties``; without them in none that is certain.
 
     Only frames up to the horizon and before the first untrusted one count.
     The first run of matching frames that lasts ``persistence_s`` has occurred
     at its first frame, known at the confirming one.  Otherwise an excluded
     frame excludes, an untrusted one or a short path censors.
     """
-    order = Window.partitionBy(*keys).orderBy("offset_s")
+    order = Window.partitionBy(*keys).orderBy("offset_s", *ties)
+    place = F.struct("offset_s", *ties)
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     rows = frames.filter(F.col("offset_s") <= horizon_s)
     rows = rows.withColumn("__broken", F.max((~F.col("trusted")).cast("int")).over(so_far))
@@ -31,9 +35,9 @@ def first_passage(frames: DataFrame, keys: list[str], condition: Column, horizon
     run = Window.partitionBy(*keys, "__miss", "__match")
     good = good.withColumn("__start", F.min("offset_s").over(run))
     confirmed = good.filter(F.col("__match") & (F.col("offset_s") - F.col("__start") >= persistence_s))
-    hit = confirmed.groupBy(*keys).agg(F.min_by(F.struct("__start", "known_s"), "offset_s").alias("__hit"))
-    seen = good.groupBy(*keys).agg(F.max("offset_s").alias("__observed"), F.max_by("known_s", "offset_s").alias("__known"))
-    broken = rows.filter("__broken = 1").groupBy(*keys).agg(F.min_by(F.struct("excluded", "known_s"), "offset_s").alias("__first_bad"))
+    hit = confirmed.groupBy(*keys).agg(F.min_by(F.struct("__start", "known_s"), place).alias("__hit"))
+    seen = good.groupBy(*keys).agg(F.max("offset_s").alias("__observed"), F.max_by("known_s", place).alias("__known"))
+    broken = rows.filter("__broken = 1").groupBy(*keys).agg(F.min_by(F.struct("excluded", "known_s"), place).alias("__first_bad"))
     every = frames.select(*keys).distinct()
     joined = every.join(hit, keys, "left").join(seen, keys, "left").join(broken, keys, "left")
     excluded = F.coalesce(F.col("__first_bad.excluded"), F.lit(False))

@@ -166,14 +166,15 @@ def book_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def competing_first_passage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's first event is an origin; later ones are frames at their
-    offset in hours.  Upside and downside by value against the origin's."""
+    offset in seconds, in the order of time and id.  Upside and downside by
+    value against the origin's."""
     rows = user_prices(spark, sf_dir)
     start = rows.groupBy("entity").agg(F.min("t").alias("t0"), F.min_by("price", F.struct("t", "seq")).alias("p0"))
     f = rows.join(start, "entity").withColumn("offset_s", F.floor((F.col("t") - F.col("t0")) / 1e9).cast("long"))
     f = f.withColumns({"known_s": F.col("offset_s") + 60, "trusted": (F.col("event_type") != "error") | (F.col("offset_s") < 200_000), "excluded": (F.col("event_type") == "error") & (F.pmod("seq", F.lit(2)) == 0), "ret": log_return(F.col("price"), F.col("p0"))})
     out = None
     for name, condition in (("downside", F.col("ret") <= -1.0), ("upside", F.col("ret") >= 1.0)):
-        one = labels.first_passage(f, ["entity"], condition, 864_000, 3_600).withColumn("event_type", F.lit(name))
+        one = labels.first_passage(f, ["entity"], condition, 864_000, 3_600, ("t", "seq")).withColumn("event_type", F.lit(name))
         out = one if out is None else out.unionByName(one)
     first = labels.resolve_competing(out, ["entity"]).select("entity", F.col("event_type").alias("primary_event"))
     return out.join(first, "entity", "left").select("entity", "event_type", "outcome", "offset_s", "known_s", "observed_s", "primary_event")

@@ -37,3 +37,20 @@ def test_book_prices_are_rounded_as_in_sql(spark, tmp_path):
     """Best prices 1024 and 1027: the microprice is 1024.2279296875."""
     got, want = compared(spark, tmp_path, "book_features", "lineitem", book(25, [389], [None, 4731]))
     assert got == want and [r["microprice"] for r in got] == [1024.227929687]
+
+
+def test_first_passage_follows_time_within_a_second(spark, tmp_path):
+    """A purchase four tenths of a second before an error counts, wherever it
+    stands in the file; the SQL leaves their order open."""
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(0, 0.0, "view"), (3, 300_000.5, "error"), (2, 300_000.1, "purchase")]
+    columns = {
+        "event_id": [i for i, _, _ in rows],
+        "ts": [start + datetime.timedelta(seconds=s) for _, s, _ in rows],
+        "user_id": [1] * 3,
+        "event_type": [k for _, _, k in rows],
+        "value": [10.0] * 3,
+        "props": ['{"k": 1}'] * 3,
+    }
+    got, _ = compared(spark, tmp_path, "competing_first_passage", "events", columns)
+    assert [(r["outcome"], r["observed_s"], r["known_s"]) for r in got] == [("censored", 300_000, 300_060)] * 2
