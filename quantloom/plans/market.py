@@ -338,10 +338,16 @@ def forecast_outcome_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def promotion_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A candidate per user: folds are days, skill from the events' values."""
-    rows = user_prices(spark, sf_dir)
-    fold = rows.groupBy("entity", "day").agg((F.avg("price") - 45).alias("skill"), F.count_if(F.col("price") > 100).alias("positives"), F.max("event_type").alias("regime"))
-    m = fold.groupBy("entity").agg(F.sum("positives").alias("positives"), F.countDistinct("regime").alias("regimes"), F.avg((F.col("skill") > 0).cast("double")).alias("share"))
+    """A candidate per user: folds are days, skill from the events' values.
+
+    Whether a day's mean is above 45 is decided on an exact sum: a sum of
+    doubles may come out above it, by the order of the rows, where the mean is
+    45.  Values that a decimal does not hold are left to the doubles."""
+    rows = user_prices(spark, sf_dir).withColumn("exact", F.expr("try_cast(price as decimal(38, 20))"))
+    held = F.count("exact") == F.count("price")
+    above = F.when(held, F.try_sum("exact") > (F.count("price") * 45).cast("decimal(38, 20)"))
+    fold = rows.groupBy("entity", "day").agg(F.coalesce(above, F.avg("price") - 45 > 0).alias("skilled"), F.count_if(F.col("price") > 100).alias("positives"), F.max("event_type").alias("regime"))
+    m = fold.groupBy("entity").agg(F.sum("positives").alias("positives"), F.countDistinct("regime").alias("regimes"), F.avg(F.when(F.col("skilled"), 1.0).otherwise(0.0)).alias("share"))
     reasons = F.array_compact(F.array(F.when(F.col("positives") < 3, "insufficient_positives"), F.when(F.col("regimes") < 3, "insufficient_regimes"), F.when(F.col("share") < 0.7, "insufficient_skill")))
     return m.select("entity", F.col("positives").cast("long").alias("positives"), "regimes", r6("share").alias("share"), F.array_join(reasons, ",").alias("reasons"), (F.size(reasons) == 0).alias("promoted"))
 

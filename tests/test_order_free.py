@@ -1,6 +1,7 @@
 """Results that must not depend on the order in which rows arrive."""
 
 import datetime
+import functools
 
 import duckdb
 import pyarrow as pa
@@ -54,3 +55,14 @@ def test_first_passage_follows_time_within_a_second(spark, tmp_path):
     }
     got, _ = compared(spark, tmp_path, "competing_first_passage", "events", columns)
     assert [(r["outcome"], r["observed_s"], r["known_s"]) for r in got] == [("censored", 300_000, 300_060)] * 2
+
+
+def test_promotion_mean_is_exact(spark, tmp_path):
+    """Five values of mean 45 whose sum of doubles, in this order, is above 225."""
+    values = [79.04, 66.06, 25.67, 38.99, 15.24]
+    assert functools.reduce(float.__add__, values) > 225
+    n = len(values)
+    day = datetime.datetime(2024, 1, 1, 12)
+    columns = {"event_id": list(range(n)), "ts": [day] * n, "user_id": [1] * n, "event_type": ["view"] * n, "value": values, "props": ['{"k": 1}'] * n}
+    got, _ = compared(spark, tmp_path, "promotion_checks", "events", columns)
+    assert [r["share"] for r in got] == [0.0]
